@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, mixing, url_filter
+from . import chat_format, decontaminate, exact_dedup, line_dedup, mixing, ngram_join, url_filter
 from .common import LOWER, UPPER
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+OP1_SQL = rf"""
+WITH RECURSIVE cut AS (
+  SELECT 0 AS kind, doc_id AS id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+  UNION ALL SELECT 1, item_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') FROM benchmark),
+win AS (
+  SELECT DISTINCT id AS item_id, array_to_string(w[i:i + 9], ' ') AS k, least(len(w), 10) AS l
+  FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM cut WHERE kind = 1 AND len(w) > 0)),
+lens AS (SELECT DISTINCT l FROM win),
+spot AS (
+  SELECT id AS doc_id, l, p, array_to_string(w[p:p + l - 1], ' ') AS k
+  FROM (SELECT id, w, l, unnest(range(1, len(w) - l + 2)) AS p FROM cut, lens WHERE kind = 0)),
+hit AS (SELECT doc_id, p, spot.l AS l, item_id FROM spot JOIN win USING (k)),
+places AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + l)) AS q FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hit) GROUP BY doc_id)
+SELECT id AS doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM cut LEFT JOIN places ON id = places.doc_id LEFT JOIN items ON id = items.doc_id WHERE kind = 0
+"""
+
+
+@query("op1_decontaminate", OP1_SQL)
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    ids = F.sha2(F.array_join("item_ids", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", ids.alias("items_sha256"), "contaminated")
+
+
 URL_RULES = [
     ("com", "/en/", "block"),
     ("example.com", "/en/7", "allow"),
@@ -57,6 +84,40 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+OP4_SQL = r"""
+WITH cut AS (
+  SELECT doc_id, string_split(regexp_replace(text, '\n([\x20\x09\x0B\x0C\x0D]*[^\x20\x09-\x0D])', chr(30) || '\1', 'g'), chr(30)) AS ls FROM documents),
+line AS (
+  SELECT doc_id, i AS ln, ls[i + 1] AS line, trim(regexp_replace(ls[i + 1], '[\x20\x09-\x0D]+', ' ', 'g')) AS norm,
+         len(regexp_extract_all(ls[i + 1], '[^\x20\x09-\x0D]+')) AS w
+  FROM (SELECT doc_id, ls, unnest(range(0, len(ls))) AS i FROM cut)),
+real AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY ln) - w AS pre FROM line WHERE w > 0),
+mark AS (
+  SELECT doc_id, ln, pre FROM real
+  UNION ALL SELECT doc_id, max(ln) + 1, sum(w) FROM real GROUP BY doc_id),
+run AS (
+  SELECT doc_id, ln AS s, (SELECT min(b.ln) FROM mark b WHERE b.doc_id = a.doc_id AND b.pre >= a.pre + 50) AS e FROM mark a
+  UNION SELECT doc_id, (SELECT max(b.ln) FROM mark b WHERE b.doc_id = a.doc_id AND b.pre <= a.pre - 50), ln FROM mark a),
+body AS (
+  SELECT run.doc_id, s, e, string_agg(norm, chr(10) ORDER BY ln) AS k FROM run JOIN real ON real.doc_id = run.doc_id AND ln >= s AND ln < e
+  WHERE s IS NOT NULL AND e IS NOT NULL GROUP BY ALL),
+one AS (SELECT k, min(struct_pack(d := doc_id, s := s)) AS f FROM body GROUP BY k HAVING count(*) > 1),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(s, e)) AS ln FROM body JOIN one USING (k)
+  WHERE f.d <> doc_id OR f.s + (e - s) <= body.s)
+SELECT line.doc_id, CASE WHEN bool_and(line.line = '' OR line.line IS NULL) AND count(*) = 1 THEN 0 ELSE count(*) END::BIGINT AS n_lines,
+       count(gone.ln)::BIGINT AS n_deleted,
+       sha256(coalesce(string_agg(line.line, chr(10) ORDER BY line.ln) FILTER (gone.ln IS NULL), '')) AS text_sha256
+FROM line LEFT JOIN gone ON gone.doc_id = line.doc_id AND gone.ln = line.ln GROUP BY line.doc_id
+"""
+
+
+@query("op4_line_dedup", OP4_SQL)
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, lines, deleted = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col(lines).alias("n_lines"), F.col(deleted).alias("n_deleted"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 OP5_TEXT = "<|im_end|><|im_start|>assistant ok"
 OP5_SQL = rf"""
 WITH rows AS (
@@ -89,6 +150,30 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP7_SQL = rf"""
+WITH RECURSIVE cut AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+gram AS (
+  SELECT DISTINCT doc_id, hash(array_to_string(w[p:p + 3], ' ')) AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS p FROM cut WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM gram GROUP BY doc_id),
+pair AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM gram a JOIN gram b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (
+  SELECT x, y FROM pair JOIN size s ON s.doc_id = x JOIN size t ON t.doc_id = y WHERE 100 * k >= 85 * (s.n + t.n - k)),
+both_ways AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (SELECT x AS node, x AS root FROM both_ways UNION SELECT y, root FROM reach JOIN both_ways ON node = x WHERE y > root)
+SELECT cut.doc_id AS doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(r, cut.doc_id) AS component_id
+FROM cut LEFT JOIN size ON size.doc_id = cut.doc_id
+LEFT JOIN (SELECT node, min(root) AS r FROM reach GROUP BY node) c ON node = cut.doc_id
+"""
+
+
+@query("op7_ngram_join", OP7_SQL)
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_classes(table(spark, sf_dir, "documents"))
+
+
 @query("op9_mixing")
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(table(spark, sf_dir, "documents")).taken().select("doc_id", "size", "source_size", "target", "taken")
