@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, line_dedup, mixing, ngram_join, url_filter
+from . import chat_format, decontaminate, exact_dedup, line_dedup, mixing, ngram_join, quality, token_counts, url_filter, warc
 from .common import LOWER, UPPER
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,14 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", ids.alias("items_sha256"), "contaminated")
 
 
+@query("op2_quality")
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored, score = quality.score_documents(docs, table(spark, sf_dir, "labels"))
+    predicted = F.when(F.col(score) >= quality.THRESHOLD, 1).otherwise(0)
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), F.col(score).alias("score"), predicted.alias("predicted"))
+
+
 URL_RULES = [
     ("com", "/en/", "block"),
     ("example.com", "/en/7", "allow"),
@@ -150,6 +158,11 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op6_token_counts")
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 OP7_SQL = rf"""
 WITH RECURSIVE cut AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -174,6 +187,26 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_classes(table(spark, sf_dir, "documents"))
 
 
+_CHAR = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((v >> {}) & 31)::INT, 1)"
+OP8_SQL = f"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+digit AS (SELECT i, h, list_reduce(list_transform(range(1, 6), lambda k: instr('0123456789abcdef', substr(h, (5 * i + k)::INT, 1)) - 1), lambda a, b: a * 16 + b) AS v
+  FROM (SELECT DISTINCT h FROM p), range(0, 8) t(i)),
+named AS (SELECT h, string_agg({" || ".join(_CHAR.format(k) for k in (15, 10, 5, 0))}, '' ORDER BY i) AS d FROM digit GROUP BY h),
+top AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS r FROM p)
+SELECT page_id, payload_bytes, d AS payload_digest, CASE WHEN page_id = r THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> r THEN r END AS refers_to
+FROM top JOIN named USING (h)
+"""
+
+
+@query("op8_warc", OP8_SQL)
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.archive_folder(spark)
+    index = warc.write_archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
+    return warc.read_records(index, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op9_mixing")
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(table(spark, sf_dir, "documents")).taken().select("doc_id", "size", "source_size", "target", "taken")
