@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, count_words, own_name, small_or_join, stored
+from .common import SPACES, count_words, own_name, stored
 
 MIN_WORDS = 50
 #: A line feed, unless what follows up to the next one is blank.
@@ -52,7 +52,7 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     t = docs.where(F.col(text_col).isNotNull()).select(*_keys(docs, id_col, text_col), F.posexplode(_lines(F.col(text_col))).alias("ln", "line"))
     norm = F.trim(F.regexp_replace("line", SPACES, " "))
     t = t.select("did", "th", "ln", count_words(F.col("line")).cast("int").alias("w"), F.xxhash64(norm).alias("a"), F.xxhash64(norm, F.lit("line")).alias("b"))
-    t = t.where("w > 0")
+    t = stored(t.where("w > 0"), "all-lines")
     many = t.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("ln").alias("m")).where("n > 1").select("a", "b")
     return _ranked(t, many, ["a", "b"], "r0").select("did", "th", "ln", "w", "r0")
 
@@ -131,7 +131,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     g, d, t, n, m = (own_name(docs, x) for x in ("gone", "did", "th", "n_lines", "n_deleted"))
     gone = gone.select(F.col("did").alias(d), F.col("th").alias(t), F.col("gone").alias(g))
     did, th = _keys(docs, id_col, text_col)
-    out = docs.withColumns({d: did, t: th}).join(small_or_join(gone, 20_000), [d, t], "left")
+    out = docs.withColumns({d: did, t: th}).join(gone.hint("merge"), [d, t], "left")
     kept = F.array_join(F.filter(_lines(F.col(text_col)), lambda x, i: ~F.array_contains(F.col(g), i)), "\n")
     left = F.when(F.col(g).isNull(), F.col(text_col)).otherwise(kept)
     lines_of = F.when(F.col(text_col).isNull() | (F.col(text_col) == ""), 0).otherwise(F.size(_lines(F.col(text_col))))
