@@ -137,6 +137,14 @@ def movement_importance(vectors: DataFrame, column: str = "movement") -> DataFra
     return each.join(F.broadcast(total)).select(names.alias("feature"), F.when(F.col("t") > 0, F.col("v") / F.col("t")).otherwise(0.0).alias("importance"))
 
 
+#: Reducers of one's own: name to a function of (window column, n) that returns an array column.
+CUSTOM: dict[str, Callable[[Column, int], Column]] = {}
+
+
+def register(name: str, reduce: Callable[[Column, int], Column]) -> None:
+    CUSTOM[name] = reduce
+
+
 def reducer(kind: str, n: int, wavelet_name: str = "coif1", measure: DistanceMeasure = DistanceMeasure.EUCLIDEAN, **movement) -> Callable[[DataFrame], DataFrame]:
     """DataFrame of windows to DataFrame of features, by name: PIP, FFT, Wavelet, FFTWavelet, MVR."""
     column = {
@@ -147,6 +155,8 @@ def reducer(kind: str, n: int, wavelet_name: str = "coif1", measure: DistanceMea
     }
     if kind == "MVR":
         return lambda df: movement_vectors(df, n, **movement)
+    if kind in CUSTOM:
+        column[kind] = lambda: CUSTOM[kind](F.col("window"), n)
     if kind not in column:
         raise DataError(f"no such reducer: {kind}")
     return lambda df: check_window(df, "window", n).select(SERIES, "pos", column[kind]().alias("features"))

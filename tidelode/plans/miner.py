@@ -135,6 +135,7 @@ class Miner:
         self.stats: list[dict] = []
         self.scaling: DataFrame | None = None
         self.scorer: MovementScorer | None = None
+        self._training: DataFrame | None = None
 
     # features
     def _scaled(self, data: DataFrame, train: bool) -> DataFrame:
@@ -168,6 +169,7 @@ class Miner:
         scaled = self._scaled(data, train=True).persist()
         rows = self._features(scaled).persist()
         try:
+            self._training = data
             self.centers = cluster.fit(rows, c.n_clusters, c.model_type.value, c.distance, seed=c.seed)
             labels = self._assign(rows)
             r = self._returns(scaled, returns)
@@ -237,6 +239,41 @@ class Miner:
         labels = self._assign(self._features(scaled))
         return evaluate.metrics.performance(self._pooled(labels, self._returns(scaled, returns)), ["all"]).drop("all")
 
+    # what there is to know of the model
+    def get_params(self) -> dict:
+        return self.config.to_dict()
+
+    def set_params(self, **changes) -> Miner:
+        """Other settings; what was fitted by the old ones is dropped."""
+        self.__init__(self.config.to_dict() | changes)
+        return self
+
+    @property
+    def cluster_centers(self) -> list[list[float]]:
+        self._fitted()
+        return self.centers
+
+    @property
+    def labels(self) -> DataFrame:
+        """(series_id, pos, cluster) of the training data."""
+        return self._assign(self.training_data()).select(SERIES, "pos", "cluster")
+
+    def training_data(self, processed: bool = True) -> DataFrame:
+        """The features that the model was fitted on, or the series itself."""
+        if self._training is None:
+            raise DataError("no training data: the model was loaded, or is not fitted")
+        return self.transform(self._training) if processed else self._training
+
+    def cluster_metrics(self, cluster_id: int) -> dict | None:
+        return next((r for r in self.stats if r["cluster"] == cluster_id), None)
+
+    def cluster_signal(self, cluster_id: int) -> int:
+        return 1 if cluster_id in self.long else -1 if cluster_id in self.short else 0
+
+    def summary(self) -> dict:
+        """How many clusters were chosen, which, and the best score."""
+        return {"n_clusters": self.config.n_clusters, "n_selected": len(self.stats), "long": self.long, "short": self.short, "best_score": max((r["score"] for r in self.stats), default=None)}
+
     # on disk
     def save(self, path: str) -> None:
         self._fitted()
@@ -274,6 +311,16 @@ def cross_validate(config: Config, data: DataFrame, splits: int = 5) -> list[dic
     return out
 
 
+def cv_summary(rows: list[dict]) -> dict[str, tuple[float, float] | None]:
+    """Mean and population deviation of each metric over the folds that have it."""
+    out = {}
+    for k in CV_METRICS:
+        v = [r[k] for r in rows if r[k] is not None]
+        mean = sum(v) / len(v) if v else 0.0
+        out[k] = (mean, (sum((x - mean) ** 2 for x in v) / len(v)) ** 0.5) if v else None
+    return out
+
+
 def run_mining_test(data: DataFrame, config: Config | dict, path: str | None = None) -> dict:
     """Split 70 to 30, fit, evaluate on the rest, save: the whole pipeline once."""
     m = Miner(config)

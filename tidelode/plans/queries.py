@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidelode.functions import metrics
 from tidelode.operators import bars, cleaning, cluster, distance, evaluate, features, hold, reducers, scorer, windows
 from tidelode.operators.ordered import SERIES, framed, number_rows
-from tidelode.plans import miner
+from tidelode.plans import charts, miner
 from tidelode.plans.registry import query
 from tidelode.streaming import stability
 
@@ -274,7 +274,7 @@ def row_zscore(spark, d):
     return _each(features.zscore_rows(_vectors(spark, d)), "features", "vec_id")
 
 
-@query("dedup_consecutive", f"WITH {E_SQL}, q AS (SELECT series_id, pos, floor(value / 100) AS v FROM e), k AS (SELECT series_id, pos, lag(v, 3) OVER w AS a, lag(v, 2) OVER w AS b, lag(v) OVER w AS c, lag(v, 4) OVER w AS z FROM q WINDOW w AS (PARTITION BY series_id ORDER BY pos)) SELECT series_id, pos FROM k WHERE pos >= 3 AND NOT (pos > 3 AND b = a AND c = b)".replace("lag(v, 4) OVER w AS z", "v AS z").replace("b = a AND c = b", "a = b AND b = c"))
+@query("dedup_consecutive", f"WITH {E_SQL}, q AS (SELECT series_id, pos, floor(value / 100) AS v FROM e), k AS (SELECT series_id, pos, lag(v, 3) OVER w AS a, lag(v, 2) OVER w AS b, lag(v) OVER w AS c FROM q WINDOW w AS (PARTITION BY series_id ORDER BY pos)) SELECT series_id, pos FROM k WHERE pos >= 3 AND NOT (pos > 3 AND b = a AND c = b)")
 def dedup_consecutive(spark, d):
     rough = _events(spark, d).withColumn("value", F.floor(F.col("value") / 100).cast("double"))
     w = windows.sliding(rough, 4).withColumnRenamed("window", "features")
@@ -518,8 +518,8 @@ def information_ratio(spark, d):
 
 @query(
     "chart_metrics",
-    f"""WITH {R_SQL}, c AS (SELECT series_id, pos, returns, sum(returns) OVER (PARTITION BY series_id ORDER BY pos) AS q FROM r), e AS (SELECT *, q - max(q) OVER (PARTITION BY series_id ORDER BY pos) AS dd FROM c)
-SELECT series_id, {s6("avg(returns) / nullif(stddev_pop(returns), 0) * sqrt(252)")} AS sharpe, {s6("avg(returns) * 252")} AS annual_return, {s6("min(dd)")} AS max_drawdown FROM e GROUP BY 1""".replace(", e AS (SELECT *", ", f AS (SELECT *").replace("FROM e GROUP BY 1", "FROM f GROUP BY 1"),
+    f"""WITH {R_SQL}, c AS (SELECT series_id, pos, returns, sum(returns) OVER (PARTITION BY series_id ORDER BY pos) AS q FROM r), f AS (SELECT *, q - max(q) OVER (PARTITION BY series_id ORDER BY pos) AS dd FROM c)
+SELECT series_id, {s6("avg(returns) / nullif(stddev_pop(returns), 0) * sqrt(252)")} AS sharpe, {s6("avg(returns) * 252")} AS annual_return, {s6("min(dd)")} AS max_drawdown FROM f GROUP BY 1""",
 )
 def chart_metrics(spark, d):
     out = metrics.chart_metrics(windows.drawdown(_returns(spark, d)), [SERIES])
@@ -653,6 +653,42 @@ def memory_weights(spark, d):
     return stability.memory_weights(_batches(spark, d)).select("batch", r6(F.col("weight")).alias("weight"))
 
 
+# charts
+
+
+@query("cluster_chart", f"WITH {L_SQL} SELECT series_id, pos, value, CASE WHEN pos % 2 = 0 THEN cluster ELSE -1 END::INT AS cluster FROM l")
+def cluster_chart(spark, d):
+    l = _labels(spark, d)
+    return charts.clusters(l, l.where("pos % 2 = 0"))
+
+
+@query("equity_benchmark", f"WITH {R_SQL} SELECT series_id, pos, {s6('sum(returns) OVER w')} AS equity, {s6('sum(returns / 2) OVER w')} AS benchmark FROM r WINDOW w AS (PARTITION BY series_id ORDER BY pos)")
+def equity_benchmark(spark, d):
+    r = _returns(spark, d)
+    out = charts.equity(r, r.withColumn("returns", F.col("returns") / 2))
+    return out.select(SERIES, "pos", r6(F.col("equity")).alias("equity"), r6(F.col("benchmark")).alias("benchmark"))
+
+
+@query("cluster_performance", f"WITH {_HOLD_METRICS}, m AS (SELECT cluster::INT AS cluster, side, {s6('compounded / nullif(ulcer, 0)')} AS martin, {s6('sharpe')} AS sharpe, {s6('win_rate')} AS win_rate FROM z) SELECT cluster, side, unnest(['martin', 'sharpe', 'win_rate']) AS metric, unnest([martin, sharpe, win_rate]) AS value FROM m")
+def cluster_performance(spark, d):
+    l = _labels(spark, d)
+    out = charts.cluster_performance(evaluate.holding_metrics(l, l, 6, 1), ("martin", "sharpe", "win_rate"))
+    return out.select("cluster", "side", "metric", r6(F.col("value")).alias("value"))
+
+
+@query("grid_regularize", f"WITH {E_SQL}, k AS (SELECT *, date_trunc('minute', ts) AS m FROM e), t AS (SELECT series_id, min(epoch_us(m)) AS t0 FROM k GROUP BY 1) SELECT series_id, make_timestamp(t0 + floor((epoch_us(m) - t0) / 86400000000)::BIGINT * 86400000000) AS ts, sum(1.0::DOUBLE) AS volume FROM k JOIN t USING (series_id) WHERE (epoch_us(m) - t0) % 1800000000 = 0 GROUP BY series_id, t0, floor((epoch_us(m) - t0) / 86400000000)")
+def grid_regularize(spark, d):
+    m = _ticks(spark, d).withColumn("ts", F.date_trunc("minute", "ts").cast("timestamp_ntz"))
+    prices = m.select(SERIES, "ts", "event_id", *[F.col("value").alias(c) for c in ("open", "high", "low", "close")], F.lit(1.0).alias("volume"))
+    return bars.resample(prices, "30min", "1day", ties=("event_id",)).select(SERIES, "ts", "volume")
+
+
+@query("transform_windows", f"WITH {W_SQL}, {_HAAR}, k AS (SELECT series_id, pos, k, v, row_number() OVER (PARTITION BY series_id, pos ORDER BY k) AS i, avg(v) OVER p AS m, stddev_pop(v) OVER p AS s FROM t WHERE best <= 4 WINDOW p AS (PARTITION BY series_id, pos)) SELECT series_id, pos, (i - 1)::INT AS i, {s6('(v - m) / (s + 1e-10)')} AS x FROM k")
+def transform_windows(spark, d):
+    reduce = reducers.reducer("Wavelet", 4, "haar")
+    return _each(features.transform_windows(_windows(spark, d), reduce, 4), "features", SERIES, "pos")
+
+
 # the pipeline
 
 

@@ -17,6 +17,19 @@ SUBFOLDERS = ("daily", "crypto", "forex", "futures", "misc", "MT5")
 LEGACY_SUBFOLDERS = SUBFOLDERS[:-1]
 
 
+def read_env(path: str = ".env") -> dict[str, str]:
+    """NAME=value lines of a file, if it is there; names that the environment lacks are set in it."""
+    found = {}
+    if os.path.isfile(path):
+        with open(path) as f:
+            for line in f:
+                name, sep, value = line.strip().partition("=")
+                if sep and not name.startswith("#"):
+                    found[name.strip()] = value.strip().strip("'\"")
+                    os.environ.setdefault(name.strip(), found[name.strip()])
+    return found
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

@@ -95,9 +95,14 @@ def histogram_drift(df: DataFrame, value: str = "value", bins: int = 20) -> Data
     return n.select("batch", F.when(F.col("__i") <= 2, 1.0).otherwise(1 - js).alias("stability"))
 
 
-def overall(change: Column, distribution: Column, online: Column, density: Column, bayes: Column) -> Column:
+#: Weights of change, distribution, online, density and bayes in the overall figure.
+WEIGHTS = (0.25, 0.25, 0.15, 0.2, 0.15)
+
+
+def overall(change: Column, distribution: Column, online: Column, density: Column, bayes: Column, weights: tuple[float, ...] = WEIGHTS) -> Column:
     """The report's one figure; a change counts against it."""
-    return 0.25 * (1 - change) + 0.25 * distribution + 0.15 * online + 0.2 * density + 0.15 * bayes
+    parts = (1 - change, distribution, online, density, bayes)
+    return sum((w * p for w, p in zip(weights, parts, strict=True)), F.lit(0.0))
 
 
 def report(df: DataFrame, k: int) -> DataFrame:
