@@ -1,0 +1,36 @@
+"""The pipeline on the smallest tables: columns, what goes and what stays."""
+
+import __spark_entry__
+import corpus_pipeline
+import pytest
+from pyspark.sql import functions as F
+
+DIR = "/root/testdata/sf0.001"
+
+
+def test_stages(spark, tmp_path):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    n = docs.count()
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "line_dedup", "near_duplicates", "decontaminate", "mix"]
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, DIR)
+        path = str(tmp_path / str(i))
+        out.write.parquet(path)
+        out = spark.read.parquet(path)
+        if name != "mix":
+            assert out.columns == docs.columns
+        else:
+            assert out.agg(F.max(F.col("taken") - 2 * F.col("size"))).first()[0] <= 0
+        assert 0 < out.count() <= n
+        docs, n = out, out.count()
+
+
+def test_pipeline_is_registered():
+    q, o = __spark_entry__.queries(), __spark_entry__.oracle_sql()
+    assert "pipeline" in q and len([x for x in q if x.startswith("op")]) == 10
+    assert set(o) <= set(q)
+
+
+@pytest.mark.parametrize("name", ["op1_decontaminate", "op4_line_dedup", "op7_ngram_join"])
+def test_queries_take_far_paths(spark, name):
+    assert __spark_entry__.queries()[name](spark, f"file://{DIR}").count() == 200
