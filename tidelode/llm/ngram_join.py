@@ -11,15 +11,17 @@ class with its smallest doc_id as representative; only representatives go on.
 2. Candidates. Each set's n-grams in hash order have a prefix that a partner must share a part of
    (a shorter one for the smaller of the two), with bounds from both sizes, from the n-grams that
    others hold, and from the places in the two sets.
-3. Contraction. Each document is compared with the candidate leader (the least by hash of those that
-   share a prefix n-gram) with whom it has most prefix n-grams in common. Links give components,
-   which takes groups of copies together without their pairs.
-4. The rest. All candidate pairs from different components, of which in each n-gram's list one is
-   outside the list's most frequent component, are compared; then components again.
-
-Comparing is a product of incidence blocks: a leader's n-grams against those of up to MEMBERS
-documents, overlaps counted. It is exact; steps 1 to 4 leave out no pair that could connect what is
-not connected yet.
+3. Contraction. In rounds, each document is compared with a few leaders (the least by a hash of the
+   round) of the most frequent other component in its n-grams' lists, those with whom it shares most
+   prefix n-grams first. Links give components, which takes groups of copies together without
+   their pairs; what a round tests is linear in the lists.
+4. The rest. A document outside the most frequent component of an n-gram's list is compared with all
+   blocks of documents of which one is in the list and could link with it, by sizes and places; then
+   components again.
+
+Comparing is a product of incidence blocks: the n-grams of up to MEMBERS documents against those of
+another, all overlaps counted at once. It is exact; steps 1 to 4 leave out no pair that could
+connect what is not connected yet.
 
 Cases: null, empty and blank texts have no n-grams and link with nothing; texts of fewer words than
 n have one n-gram, the whole. Rows with equal id are separate documents. A null id links with
@@ -29,12 +31,11 @@ nothing, its component is null. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_or_join, stored
@@ -42,10 +43,12 @@ from .components import components
 from .shingles import set_digests, sets_of
 
 #: N-grams that a chunk gathers before it deals them out, and those that a block gets, about.
-CHUNK_GRAMS = 1_000_000
-BLOCK_GRAMS = 3_000_000
-#: Documents that are compared with one leader in one product.
+CHUNK_GRAMS = 400_000
+BLOCK_GRAMS = 1_500_000
+#: Documents in a block, and those compared with it in one task.
 MEMBERS = 256
+#: Rounds of contraction: leaders of an n-gram's list, and leaders that a document is compared with.
+ROUNDS = (2, 32)
 
 
 def set_table(docs: DataFrame, n: int, with_sets: bool) -> DataFrame:
@@ -194,48 +197,55 @@ def _prefix(num: int, den: int):
     return run
 
 
-def _compare(num: int, den: int):
-    """Rows (lead, member, grams) sorted so that a leader (member null) comes before its members: links (a, b)."""
+def _multiply(num: int, den: int):
+    """Products of incidence blocks: rows (block, doc, component, grams), each block's own documents (with a
+    component) before those that it is compared with (without). Links (a, b), one for each component that a
+    document links with in the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead, grams = None, np.zeros(0, np.uint64)
+        block, own, sets, parts = None, [], [], []
+        columns = None
         for batch in batches:
-            leads, members, data = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
-            links, at = [], 0
-            for _, same in groupby(zip(leads, members, strict=True), key=lambda x: (x[0], x[1] is None)):
-                same = list(same)
-                sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in data[at : at + len(same)]]
-                at += len(same)
-                if same[0][1] is None:
-                    lead, grams = same[0][0], sets[0]
+            links = []
+            for k, doc, part, data in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+                grams = np.frombuffer(data.as_buffer(), np.uint64)
+                if part is not None:
+                    if k != block or columns is not None:  # the same block comes again with each salt
+                        block, own, sets, parts, columns = k, [], [], [], None
+                    own.append(doc), sets.append(grams.copy()), parts.append(part)
                     continue
-                assert lead == same[0][0]
-                for k in range(0, len(sets), MEMBERS):
-                    block = sets[k : k + MEMBERS]
-                    sizes = np.array([len(x) for x in block])
-                    joined = np.concatenate(block)
-                    col = np.minimum(np.searchsorted(grams, joined), len(grams) - 1)
-                    sums = np.concatenate(([0], np.cumsum(grams[col] == joined)))
-                    ends = np.cumsum(sizes)
-                    both = sums[ends] - sums[ends - sizes]
-                    linked = den * both >= num * (sizes + len(grams) - both)
-                    links += [(lead, same[k + i][1]) for i in np.flatnonzero(linked)]
+                assert k == block
+                if columns is None:  # the block by n-gram: which of its documents have each
+                    sizes, of = np.array([len(x) for x in sets]), np.array(parts)
+                    joined = np.concatenate(sets)
+                    order = np.argsort(joined, kind="stable")
+                    keys, starts = np.unique(joined[order], return_index=True)
+                    rows = np.repeat(np.arange(len(sets)), sizes)[order]
+                    columns = keys, np.append(starts, len(joined)), rows
+                keys, starts, rows = columns
+                at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
+                at = at[keys[at] == grams]
+                runs = starts[at + 1] - starts[at]
+                hit = np.repeat(starts[at] - np.concatenate(([0], np.cumsum(runs)[:-1])), runs) + np.arange(runs.sum()) if len(at) else at
+                both = np.bincount(rows[hit], minlength=len(sizes))
+                linked = np.flatnonzero((den * both >= num * (sizes + len(grams) - both)) & (np.array(own) != doc))
+                _, one = np.unique(of[linked], return_index=True)
+                links += [(own[i], doc) for i in linked[one]]
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], names=["a", "b"])
 
     return run
 
 
-def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (lead, member) that link, as (a, b). A leader of many members is in several blocks."""
-    many = pairs.groupBy("lead").agg(F.count(F.lit(1)).alias("m")).withColumn("parts", F.ceil(F.col("m") / MEMBERS).cast("int"))
-    salted = pairs.join(many.where("parts > 1").select("lead", "parts"), "lead", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    salted = salted.withColumn("salt", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int"))
-    leads = many.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(F.col("lead").alias("cid"), "lead", F.lit(None).cast("long").alias("member"), "salt")
-    wanted = leads.unionByName(salted.select(F.col("member").alias("cid"), "lead", "member", "salt"))
-    rows = wanted.join(sets.select("cid", "grams"), "cid").select("lead", "member", "grams", "salt")
-    rows = rows.repartition("lead", "salt").sortWithinPartitions("lead", "salt", F.col("member").asc_nulls_first())
-    return rows.select("lead", "member", "grams").mapInArrow(_compare(num, den), "a long, b long")
+def _links(blocks: DataFrame, pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links of blocks (block, cid, component) with the documents of pairs (block, cid), MEMBERS of these at a time."""
+    many = pairs.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("parts"))
+    own = blocks.join(many, "block").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    other = pairs.join(many, "block").withColumn("salt", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    wanted = own.select("cid", "block", "salt", "component").unionByName(other.select("cid", "block", "salt", F.lit(None).cast("long").alias("component")))
+    rows = wanted.join(sets.select("cid", "grams"), "cid").select("block", "salt", "cid", "component", "grams")
+    rows = rows.repartition("block", "salt").sortWithinPartitions("block", "salt", F.col("component").asc_nulls_last(), "cid")
+    return rows.select("block", "cid", "component", "grams").mapInArrow(_multiply(num, den), "a long, b long")
 
 
 def _fits(x: str, y: str, num: int, den: int) -> Column:
@@ -246,6 +256,50 @@ def _fits(x: str, y: str, num: int, den: int) -> Column:
     return (nx * den >= ny * num) & (room * (num + den) >= (nx + ny) * num)
 
 
+def _fit_any(num: int, den: int) -> Column:
+    """Whether prefix rows x and y, of one n-gram, may belong to sets that link."""
+    x_small = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.cid") < F.col("y.cid")))
+    return F.when(x_small, F.col("x.small") & _fits("x", "y", num, den)).otherwise(F.col("y.small") & _fits("y", "x", num, den))
+
+
+def _mixed(prefix: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """Rows of n-grams that several components have, with their component and each list's most frequent one (top)."""
+    if parts is None:
+        of = prefix.withColumn("component", F.col("cid"))
+    else:
+        of = stored(prefix.join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid")), "prefixes")
+    each = of.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("m"))
+    lists = each.groupBy("gram").agg(F.max(F.struct("m", "component")).alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    return stored(of.join(lists.select("gram", F.col("top.component").alias("top")), "gram"), "mixed")
+
+
+def _rest(mixed: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Blocks (block, cid, component) of the documents in mixed lists, and the documents (block, cid) to compare with each.
+
+    A block has documents of one family: of one component, and those without one that most often meet
+    it as the top of their lists. A document goes to a block if it is outside the top component of
+    a list in which a document of the block could link with it, by the block's extremes."""
+    docs = mixed.groupBy("cid", "component", "top").agg(F.count(F.lit(1)).alias("m"))
+    docs = docs.groupBy("cid", "component").agg(F.max(F.struct("m", "top")).alias("t"))
+    sizes = docs.groupBy("component").agg(F.count(F.lit(1)).alias("k"))
+    docs = docs.join(sizes, "component").select("cid", "component", F.when(F.col("k") > 1, F.col("component")).otherwise(F.col("t.top")).alias("family"))
+    wide = docs.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("parts"))
+    docs = docs.join(wide, "family")
+    blocks = stored(docs.select(F.xxhash64("family", F.pmod(F.xxhash64("cid"), F.col("parts"))).alias("block"), "cid", "component"), "blocks")
+    of = mixed.join(blocks.select("cid", "block"), "cid")
+    extremes = of.groupBy("gram", "block").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.least("s", F.col("n") - F.col("place"))).alias("room"), F.min("component").alias("c"), F.max("component").alias("d"), F.max("small").alias("small")
+    )
+    x = mixed.where("component <> top").alias("x")
+    e = extremes.alias("e")
+    least = F.greatest(F.col("low"), F.floor(F.col("x.n") * num / den))
+    room = F.least("x.s", F.col("x.n") - F.col("x.place"), F.col("room"))
+    fits = (F.col("high") * den >= F.col("x.n") * num) & (F.col("x.n") * den >= F.col("low") * num) & (room * (num + den) >= (F.col("x.n") + least) * num)
+    other = (F.col("c") != F.col("d")) | (F.col("c") != F.col("component"))
+    pairs = x.join(e, F.col("x.gram") == F.col("e.gram")).where(fits & other & (F.col("x.small") | F.col("e.small"))).select("block", "x.cid").distinct()
+    return blocks, stored(pairs, "pairs")
+
+
 def link_classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs; component_id is the least linked doc_id."""
     spark = docs.sparkSession
@@ -264,29 +318,26 @@ def link_classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_
     sets = stored(sets.join(again.withColumnRenamed("doc_id", "cid"), "cid").where(F.expr(f"s * {den} >= n * {num}")).select("cid", "n", "grams", "s"), "grams")
     prefix = stored(sets.mapInArrow(_prefix(num, den), "gram long, cid long, n long, s long, place long, small boolean"), "prefixes")
 
-    # contraction: each with one leader
-    lead = prefix.groupBy("gram").agg(F.min(F.struct(F.xxhash64("cid").alias("h"), "cid", "n", "s", "place")).alias("l"), F.count(F.lit(1)).alias("m"))
-    lead = lead.where("m > 1").select("gram", F.col("l.cid").alias("cid"), F.col("l.n").alias("n"), F.col("l.s").alias("s"), F.col("l.place").alias("place"))
-    x, y = prefix.alias("x"), lead.alias("y")
-    either = F.when(F.col("x.n") <= F.col("y.n"), _fits("x", "y", num, den)).otherwise(_fits("y", "x", num, den))
-    found = x.join(y, "gram").where(F.col("x.cid") != F.col("y.cid")).where(either).groupBy(F.col("x.cid").alias("member"), F.col("y.cid").alias("lead")).agg(F.count(F.lit(1)).alias("m"))
-    one = found.groupBy("member").agg(F.max(F.struct("m", "lead")).alias("best")).select(F.col("best.lead").alias("lead"), "member")
-    edges = stored(_links(stored(one, "pairs"), sets, num, den), "links")
-    parts = stored(components(edges), "components")
-
-    # the rest: pairs from different components
-    of = prefix.join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    of = stored(of, "prefixes")
-    lists = of.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("gram").agg(F.max(F.struct("m", "component")).alias("top"), F.count(F.lit(1)).alias("kinds"))
-    mixed = of.join(lists.where("kinds > 1").select("gram", F.col("top.component").alias("top")), "gram")
-    mixed = stored(mixed, "mixed")
-    x, y = mixed.where("component <> top").alias("x"), mixed.alias("y")
-    x_small = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.cid") < F.col("y.cid")))
-    either = F.when(x_small, F.col("x.small") & _fits("x", "y", num, den)).otherwise(F.col("y.small") & _fits("y", "x", num, den))
-    rest = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") != F.col("y.component")) & either)
-    rest = rest.select(F.least("x.cid", "y.cid").alias("lead"), F.greatest("x.cid", "y.cid").alias("member")).distinct()
-    more = _links(stored(rest, "pairs"), sets, num, den)
-    edges = stored(edges.unionByName(more), "links")
+    parts, edges, tested = None, None, None
+    for salt, reps in enumerate(ROUNDS):
+        mixed = _mixed(prefix, parts)
+        order = Window.partitionBy("gram").orderBy(F.xxhash64("cid", F.lit(salt)), "cid")
+        leaders = mixed.where("component = top").withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= reps)
+        found = mixed.where("component <> top").alias("x").join(leaders.alias("y"), "gram").where(_fit_any(num, den))
+        found = found.groupBy(F.col("x.cid").alias("cid"), F.col("y.cid").alias("block")).agg(F.count(F.lit(1)).alias("m"))
+        best = Window.partitionBy("cid").orderBy(F.desc("m"), F.xxhash64("block", F.lit(salt)), "block")
+        pairs = found.withColumn("__r", F.row_number().over(best)).where(F.col("__r") <= reps).select("block", "cid")
+        if tested is not None:
+            pairs = pairs.join(tested, ["block", "cid"], "left_anti")
+        pairs = stored(pairs, "pairs")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        alone = pairs.select("block", F.col("block").alias("cid"), F.col("block").alias("component")).distinct()
+        new = _links(alone, pairs, sets, num, den)
+        edges = stored(new if edges is None else edges.unionByName(new), "links")
+        parts = stored(components(edges), "components")
+
+    blocks, pairs = _rest(_mixed(prefix, parts), num, den)
+    edges = stored(edges.unionByName(_links(blocks, pairs, sets, num, den)), "links")
     parts = stored(components(edges), "components")
 
     groups = classes.join(parts.withColumnRenamed("node", "cid"), "cid", "left").where("copies > 1 or component is not null")
