@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, ascii_lower, small_or_join, split_words, stored
+from .common import BROADCAST_ROWS, ascii_lower, own_name, small_or_join, split_words, stored
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
@@ -129,6 +129,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs without those that contain a window of an item."""
-    verdicts = stored(decontaminate(docs, items, window).where("contaminated").select(F.col("doc_id").alias("__gone")), "contaminated")
-    return docs.join(small_or_join(verdicts, BROADCAST_ROWS), docs["doc_id"].eqNullSafe(F.col("__gone")), "left_anti")
+    """docs without those that contain a window of an item; rows of equal id and other texts are told apart."""
+    key = own_name(docs, "key")
+    keyed = docs.withColumn(key, F.struct("doc_id", F.xxhash64("text").alias("th")))
+    gone = stored(decontaminate(keyed, items, window, id_col=key).where("contaminated").select(F.col("doc_id").alias("__gone")), "contaminated")
+    return keyed.join(small_or_join(gone, BROADCAST_ROWS), keyed[key].eqNullSafe(F.col("__gone")), "left_anti").drop(key)
