@@ -35,9 +35,13 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, deleted when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/tidelode-{name}-{uuid.uuid4().hex}"
+    delete_at_exit(spark, path)
+    return path
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, stored
+from .common import SPACES, delete_at_exit, stored
 
 #: A text held by more than one in so many rows is hot; there are at most as many hot texts.
 HOT_SHARE = 1024
@@ -85,13 +85,17 @@ def attach(rows: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def dedup(df: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Verdicts on df, whose new texts go into the index (a new one if none is given).
+    """Verdicts on df, whose new texts go into the index (if none is given, a new one that goes with the driver's JVM).
 
     Returns a row for each of df's: id_col, keep_id, group_size, kept, text_sha256."""
     spark = df.sparkSession
+    own = index is None
     index = index or DigestIndex(spark, f"tidelode_digests_{uuid.uuid4().hex}")
     rows = stored(digests(df, id_col, text_col), "digests")
     index.add(rows)
+    if own:
+        for folder in {f.rsplit("/", 1)[0] for f in index.table().inputFiles()}:
+            delete_at_exit(spark, folder)
     each = attach(rows, index.table()).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     return each.select(
         F.col("id").alias(id_col),
