@@ -23,7 +23,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -228,9 +227,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_
     net = spark.sparkContext.broadcast(fit_network(x, np.array([r[1] for r in got])))
     name = own_name(docs, "score")
 
-    @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        return pd.Series(net.value.score(pooled(pa.array(text, pa.string(), from_pandas=True), sent.value)))
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        return pa.array(net.value.score(pooled(text, sent.value)))
 
     return docs.withColumn(name, score(F.col("text"))), name
 
