@@ -396,11 +396,16 @@ def dtw_distance(spark, d):
     return pairs.select(SERIES, "pos", r6(distance.dtw(F.col("window"), F.col("before"))).alias("distance"))
 
 
-@query("mpdist_distance")
+@query(
+    "mpdist_distance",
+    """WITH s AS (SELECT vec_id, i, (embedding::DOUBLE[])[i + 1:i + 16] AS x FROM embeddings, range(0, 49) t(i)),
+m AS (SELECT a.vec_id, a.i, min(list_distance(a.x, b.x)) AS d FROM s a JOIN s b ON a.vec_id = b.vec_id AND abs(a.i - b.i) >= 16 GROUP BY 1, 2)
+SELECT a.vec_id, round(avg(abs(a.d - b.d)), 5) + 0.0 AS distance FROM m a JOIN m b ON b.vec_id = a.vec_id + 1 AND a.i = b.i GROUP BY 1""",
+)
 def mpdist_distance(spark, d):
     v = _vectors(spark, d)
     after = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("features").alias("b"))
-    return v.join(after, "vec_id").select("vec_id", r6(distance.mpdist(F.col("features"), F.col("b"))).alias("distance"))
+    return v.join(after, "vec_id").select("vec_id", (F.round(distance.mpdist(F.col("features"), F.col("b")), 5) + F.lit(0.0)).alias("distance"))
 
 
 # holding and evaluation
@@ -631,7 +636,15 @@ def cusum_score(spark, d):
     return stability.cusum(_batches(spark, d)).select("batch", r6(F.col("change")).alias("change"))
 
 
-@query("histogram_drift")
+@query(
+    "histogram_drift",
+    f"""WITH {_B_SQL}, u AS (SELECT batch, unnest(x) AS v FROM q), g AS (SELECT min(v) AS a, (max(v) - min(v)) / 20 AS w FROM u WHERE batch = 0),
+h AS (SELECT batch, greatest(least(floor((v - a) / w), 19), 0)::INT AS b, count(*) AS n FROM u, g GROUP BY 1, 2), t AS (SELECT batch, sum(n) AS t FROM h GROUP BY 1),
+p AS (SELECT t.batch, k, coalesce(n, 0) / t::DOUBLE AS p FROM t CROSS JOIN range(0, 20) r(k) LEFT JOIN h ON h.batch = t.batch AND h.b = k),
+l AS (SELECT batch, p, lag(p) OVER (PARTITION BY k ORDER BY batch) AS o FROM p),
+j AS (SELECT batch, sum((CASE WHEN p > 0 THEN p * ln(p / ((p + o) / 2)) ELSE 0 END + CASE WHEN o > 0 THEN o * ln(o / ((p + o) / 2)) ELSE 0 END) / 2) AS js FROM l GROUP BY 1)
+SELECT batch, {s6("CASE WHEN row_number() OVER (ORDER BY batch) <= 2 THEN 1 ELSE 1 - sqrt(greatest(js, 0)) END")} AS stability FROM j""",
+)
 def histogram_drift(spark, d):
     v = _batches(spark, d).select("batch", F.explode("features").alias("value"))
     return stability.histogram_drift(v).select("batch", r6(F.col("stability")).alias("stability"))
