@@ -137,7 +137,7 @@ class Mix:
         """A row for each document: doc_id, source, size, source_size, target, taken."""
         uses = self.slots().groupBy("source", "block").agg(F.count(F.lit(1)).alias("uses")).alias("u")
         p = self.pieces().alias("p")
-        drawn = p.join(uses, F.col("p.source").eqNullSafe(F.col("u.source")) & (F.col("p.block") == F.col("u.block"))).select(
+        drawn = p.join(uses.hint("merge"), F.col("p.source").eqNullSafe(F.col("u.source")) & (F.col("p.block") == F.col("u.block"))).select(
             "p.doc_id", "p.source", "p.bucket", "p.place", (F.col("words") * F.col("uses")).alias("taken"), F.lit(0).cast("long").alias("size"), F.lit(0).alias("here")
         )
         every = self.documents.select("doc_id", "source", "bucket", "place", F.lit(0).cast("long").alias("taken"), "size", F.lit(1).alias("here"))
