@@ -34,3 +34,19 @@ def test_pipeline_is_registered():
 @pytest.mark.parametrize("name", ["op1_decontaminate", "op4_line_dedup", "op7_ngram_join"])
 def test_queries_take_far_paths(spark, name):
     assert __spark_entry__.queries()[name](spark, f"file://{DIR}").count() == 200
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_take_odd_rows(spark, name, stage):
+    run = "\n".join("word " * 20 + str(i) for i in range(4))
+    rows = [
+        (1, None, None, None, None), (2, "", "en", "a", 0), (3, " \n ", "en", None, 3), (None, "some words here", None, "b", 15), (4, run, "en", "a", 9),
+        (4, run, "en", "a", 9), (5, run + "\nmore", "en", "a", 9), (6, "x " * 40_000, "en", "b", 80_000), (None, None, None, None, None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = stage(spark, docs, DIR)
+    assert out.count() <= len(rows)
+    if name != "mix":
+        assert out.columns == docs.columns
+        assert out.where("doc_id = 6").count() <= 1
+    assert stage(spark, docs.limit(0), DIR).count() == 0
