@@ -1,4 +1,4 @@
-"""Numpy kernels of what arrays expressions can't say: pivots, wavelets, warping, matrix profiles, movements."""
+"""Numpy kernels of what array expressions can't say or say slowly: pivots, wavelets, warping, matrix profiles, movements."""
 
 from __future__ import annotations
 
@@ -182,18 +182,23 @@ class MovementState:
         return [float(v) for v in out.ravel()]
 
 
-def dtw(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Dynamic time warping distance of each row of a to each row of b: root of the least sum of squares."""
-    cost = (a[:, None, :, None] - b[None, :, None, :]) ** 2
-    n, m = cost.shape[2:]
-    row = np.full((*cost.shape[:2], m + 1), np.inf)
-    row[..., 0] = 0
+def dtw_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dynamic time warping distance of each row of a and the same row of b: root of the least sum of squares."""
+    cost = (a[:, :, None] - b[:, None, :]) ** 2
+    rows, n, m = cost.shape
+    last = np.full((m + 1, rows), np.inf)
+    last[0] = 0
     for i in range(n):
-        new = np.full_like(row, np.inf)
+        new = np.full_like(last, np.inf)
         for j in range(m):
-            new[..., j + 1] = cost[..., i, j] + np.minimum(np.minimum(row[..., j], row[..., j + 1]), new[..., j])
-        row = new
-    return np.sqrt(row[..., m])
+            new[j + 1] = cost[:, i, j] + np.minimum(np.minimum(last[j], last[j + 1]), new[j])
+        last = new
+    return np.sqrt(last[m])
+
+
+def dtw(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of every row of a to every row of b."""
+    return np.stack([dtw_pairs(a, np.broadcast_to(y, (len(a), len(y)))) for y in b], axis=1)
 
 
 def profile_width(n: int) -> int:
@@ -217,3 +222,8 @@ def matrix_profile(x: np.ndarray, width: int | None = None) -> np.ndarray:
 def mpdist(a: np.ndarray, b: np.ndarray, width: int | None = None) -> np.ndarray:
     """Mean absolute difference of the matrix profiles of each row of a and each row of b."""
     return np.abs(matrix_profile(a, width)[:, None] - matrix_profile(b, width)[None]).mean(2)
+
+
+def mpdist_pairs(a: np.ndarray, b: np.ndarray, width: int | None = None) -> np.ndarray:
+    """The same for each row of a and the same row of b."""
+    return np.abs(matrix_profile(a, width) - matrix_profile(b, width)).mean(1)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelode.operators import distance
-from tidelode.schema import DataError
+from tidelode.schema import DataError, let
 
 SEED = 14
 
@@ -114,9 +114,12 @@ def fit(df: DataFrame, k: int, model: str = "standard", metric: str = "euclidean
 
 def probabilities(d: Column) -> Column:
     """Softmax of negative distances."""
-    e = F.transform(d, lambda x: F.exp(F.array_min(d) - x))
-    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(e, lambda x: x / total)
+
+    def scaled(e: Column) -> Column:
+        return let(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(e, lambda x: x / total))
+
+    nearest = lambda v: let(F.array_min(v), lambda m: F.transform(v, lambda x: F.exp(m - x)))
+    return let(d, lambda v: let(nearest(v), scaled))
 
 
 def _share(p: Column, clusters: list[int]) -> Column:

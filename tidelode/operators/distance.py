@@ -16,21 +16,29 @@ def l2(a: Column, b: Column) -> Column:
 
 
 def _paired(kernel) -> callable:
+    """kernel on stacked pairs, those of equal lengths together."""
+
     @F.pandas_udf("double")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([float(kernel(np.asarray([x], float), np.asarray([y], float))[0, 0]) for x, y in zip(a, b, strict=True)])
+        out = np.full(len(a), np.nan)
+        sizes = np.array([(len(x), len(y)) for x, y in zip(a, b, strict=True)]).reshape(-1, 2)
+        for size in np.unique(sizes, axis=0):
+            at = np.flatnonzero((sizes == size).all(1))
+            for part in np.array_split(at, -(-len(at) // 1024)):
+                out[part] = kernel(*(np.array([v.iloc[i] for i in part], float) for v in (a, b)))
+        return pd.Series(out)
 
     return run
 
 
 def dtw(a: Column, b: Column) -> Column:
     """Dynamic time warping distance, root of the least sum of squares; the arrays may differ in length."""
-    return _paired(kernels.dtw)(a, b)
+    return _paired(kernels.dtw_pairs)(a, b)
 
 
 def mpdist(a: Column, b: Column, width: int | None = None) -> Column:
     """Mean absolute difference of two equally long series' matrix profiles."""
-    return _paired(lambda x, y: kernels.mpdist(x, y, width))(a, b)
+    return _paired(lambda x, y: kernels.mpdist_pairs(x, y, width))(a, b)
 
 
 METRICS = {"euclidean": l2, "dtw": dtw, "mpdist": mpdist}

@@ -6,19 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelode.operators.ordered import framed
-from tidelode.schema import EPS, array_mean, array_std
+from tidelode.schema import EPS, array_mean, array_std, let
 
 
 def zscore(v: Column) -> Column:
     """(x - mean) / (population standard deviation + EPS)."""
-    return F.transform(v, lambda x: (x - array_mean(v)) / (array_std(v) + EPS))
+    stats = F.struct(array_mean(v).alias("m"), (array_std(v) + EPS).alias("s"))
+    return let(stats, lambda t: F.transform(v, lambda x: (x - t["m"]) / t["s"]))
 
 
 def zscore_rows(df: DataFrame, column: str = "features") -> DataFrame:
-    """df with the column's arrays standardised; mean and deviation are computed once a row."""
-    s = df.withColumn("__m", array_mean(F.col(column)))
-    s = s.withColumn("__s", F.sqrt(F.aggregate(column, F.lit(0.0), lambda a, x: a + (x - F.col("__m")) * (x - F.col("__m"))) / F.size(column)) + EPS)
-    return s.withColumn(column, F.transform(column, lambda x: (x - F.col("__m")) / F.col("__s"))).drop("__m", "__s")
+    """df with the column's arrays standardised."""
+    return df.withColumn(column, zscore(F.col(column)))
 
 
 def drop_repeats(df: DataFrame, n: int, column: str = "features") -> DataFrame:

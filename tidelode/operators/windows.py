@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelode.operators.ordered import SERIES, framed, running
-from tidelode.schema import YEAR
+from tidelode.schema import EPS, YEAR, array_mean, array_std, let
 
 
 def sliding(df: DataFrame, length: int, value: str = "value", target: bool = False) -> DataFrame:
@@ -36,24 +36,17 @@ def drawdown(df: DataFrame, value: str = "returns", out: str = "drawdown") -> Da
 def rolling(df: DataFrame, value: str = "returns", window: int = YEAR) -> DataFrame:
     """df with rolling_sharpe, rolling_vol and rolling_return; null until the window is full."""
 
-    def stat(f) -> callable:
-        def over(w) -> Column:
-            frame = w.rowsBetween(-(window - 1), 0)
-            return F.when(F.count(value).over(frame) == window, f(frame))
-
-        return over
-
-    mean = lambda frame: F.avg(value).over(frame)
-    std = lambda frame: F.stddev_samp(value).over(frame)
-    return framed(
-        df,
+    frame = lambda w: w.rowsBetween(-(window - 1), 0)
+    stats = {"__n": F.count(value), "__m": F.avg(value), "__s": F.stddev_samp(value)}
+    out = framed(df, {n: (lambda w, c=c: c.over(frame(w))) for n, c in stats.items()}, before=window - 1)
+    full = lambda c: F.when(F.col("__n") == window, c)
+    return out.withColumns(
         {
-            "rolling_sharpe": stat(lambda fr: mean(fr) / F.nullif(std(fr), F.lit(0.0)) * YEAR**0.5),
-            "rolling_vol": stat(lambda fr: std(fr) * YEAR**0.5),
-            "rolling_return": stat(lambda fr: mean(fr) * YEAR),
-        },
-        before=window - 1,
-    )
+            "rolling_sharpe": full(F.col("__m") / F.nullif(F.col("__s"), F.lit(0.0)) * YEAR**0.5),
+            "rolling_vol": full(F.col("__s") * YEAR**0.5),
+            "rolling_return": full(F.col("__m") * YEAR),
+        }
+    ).drop("__n", "__m", "__s")
 
 
 def with_length(df: DataFrame, out: str = "length") -> DataFrame:
@@ -80,10 +73,8 @@ def trend(window: Column, length: int) -> Column:
     """Each value's deviation from its moving average in standard deviations, clipped to -1 .. 1.
 
     The first length - 1 places take the first full average; all 0 in a shorter window."""
-    from tidelode.schema import EPS, array_mean, array_std
-
     start = lambda i: F.greatest(i - length + 1, F.lit(0))
     average = lambda i: array_mean(F.slice(window, start(i) + 1, F.lit(length)))
-    sd = array_std(window) + EPS
-    at = F.transform(window, lambda x, i: F.greatest(F.least((x - average(i)) / sd, F.lit(1.0)), F.lit(-1.0)))
+    clip = lambda z: F.greatest(F.least(z, F.lit(1.0)), F.lit(-1.0))
+    at = let(array_std(window) + EPS, lambda sd: F.transform(window, lambda x, i: clip((x - average(i)) / sd)))
     return F.when(F.size(window) < length, F.transform(window, lambda x: F.lit(0.0))).otherwise(at)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,11 +55,15 @@ def need_columns(df: DataFrame, *names: str) -> DataFrame:
     return df
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value computed once for a row, even where f uses it inside a lambda."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def array_mean(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.size(v)
 
 
 def array_std(v: Column) -> Column:
     """Population standard deviation of an array's values."""
-    m = array_mean(v)
-    return F.sqrt(F.aggregate(F.transform(v, lambda x: (x - m) * (x - m)), F.lit(0.0), lambda a, x: a + x) / F.size(v))
+    return let(array_mean(v), lambda m: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / F.size(v)))
