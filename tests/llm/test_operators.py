@@ -382,6 +382,28 @@ def test_mix(spark, monkeypatch):
     assert m.texts().count() == len(slots) and m.texts().agg(F.sum(common.count_words(F.col("text")))).first()[0] == sum(taken.values())
 
 
+def test_mix_draws_shard_counts(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLOTS_PER_SHARD", 64)
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 500)
+    df = spark.createDataFrame([(i, "w " * 128, "abc"[i % 3]) for i in range(900)], DOCS + ", source string")
+    m = mixing.Mix(df, block_words=16)
+    rows = m.slots().orderBy("shard", "slot").collect()
+    n = len(rows)
+    assert [r["shard"] * 64 + r["slot"] for r in rows] == list(range(n))
+    counts = {(r["shard"], r["source"]): r["slots"] for r in m.shard_counts().collect()}
+    shards = n // 64
+    for s in "abc":
+        mine = [r for r in rows if r["source"] == s]
+        assert sum(c for (_, x), c in counts.items() if x == s) == len(mine)
+        p = len(mine) / n
+        spread = sum((counts.get((i, s), 0) - 64 * p) ** 2 for i in range(shards)) / (64 * p * (1 - p) * (n - 64) / (n - 1))
+        assert abs(spread - shards) < 4 * (2 * shards) ** 0.5  # as many as drawn; an even deal has far less
+        blocks = 300 * 128 // 16
+        assert len({r["block"] for r in mine[:blocks]}) == min(blocks, len(mine))  # numbered from shard to shard
+    assert counts != {(r["shard"], r["source"]): r["slots"] for r in mixing.Mix(df, block_words=16, seed=18).shard_counts().collect()}
+    assert "shard" in m.taken()._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_mix_of_nothing(spark):
     df = spark.createDataFrame([], DOCS + ", source string")
     assert mixing.Mix(df).taken().count() == 0

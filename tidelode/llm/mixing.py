@@ -1,9 +1,9 @@
 """Mixing sources to target weights: blocks of packed words, drawn into output shards by index.
 
 Each source's documents are one stream of words, cut into blocks of fixed length. A source gets as
-many slots as its target asks for. All slots of the output are dealt to the sources by a
-pseudorandom permutation of the slot numbers, so a shard's counts are a multinomial draw under the
-condition that each source meets its total; a source's k-th slot takes the block that the source's
+many slots as its target asks for. All slots are shuffled by seeded hashes and cut into shards, so a
+shard's counts are a multinomial draw under the condition that each source meets its total. A source
+numbers its slots by the running sums of these counts; its k-th slot takes the block that the source's
 own permutation gives k, going round at most twice. Slots and blocks meet by a join on the index.
 
 Targets: sources in code-point order (null last) weigh 5, 2, 1 and so on repeating; they share
@@ -27,7 +27,7 @@ from .common import SPACES, count_words, split_words, stored
 BLOCK_WORDS = 256
 SLOTS_PER_SHARD = 4096
 WEIGHTS = (5, 2, 1)
-#: Documents in a bucket of which word positions are summed.
+#: Documents in a bucket of which word positions are summed, and slots in one that is shuffled.
 BUCKET_ROWS = 20_000
 _CHUNK = 4096
 _WIDE = "decimal(38,0)"
@@ -93,6 +93,7 @@ class Mix:
         offsets = summed.select("source", "bucket", (F.sum("words").over(order) - F.col("words")).alias("offset"))
         totals = summed.groupBy("source").agg(F.sum("words").alias("source_size"))
         self.sources = stored(self._with_slots(fill_to_caps(totals, epochs, most, weights)), "sources")
+        self._drawn = stored(self._draw(), "drawn")
         inside = Window.partitionBy("source", "bucket").orderBy("doc_id", "size")
         placed = sized.withColumn("place", F.row_number().over(inside)).withColumn(
             "within", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
@@ -107,23 +108,45 @@ class Mix:
         s = sources.withColumn("blocks", blocks).withColumn("slots", slots.cast("long"))
         before = Window.partitionBy(F.lit(0)).orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
         s = s.withColumn("first", F.coalesce(F.sum("slots").over(before), F.lit(0))).withColumn("all_slots", F.sum("slots").over(Window.partitionBy(F.lit(0))))
-        s = s.withColumn("mix_seed", F.lit(self.seed).cast("long")).withColumn("own_seed", F.xxhash64(F.col("source"), F.lit(self.seed)))
-        n, m = F.greatest("blocks", F.lit(1)), F.greatest("all_slots", F.lit(1))
-        return s.withColumn("step", _coprime_step(n, F.col("own_seed"))).withColumn("mix_step", _coprime_step(m, F.col("mix_seed")))
+        s = s.withColumn("own_seed", F.xxhash64(F.col("source"), F.lit(self.seed)))
+        return s.withColumn("step", _coprime_step(F.greatest("blocks", F.lit(1)), F.col("own_seed")))
+
+    def _draw(self) -> DataFrame:
+        """(shard, slot, rank): the source of every slot of the output, by its rank.
+
+        Each slot a source has coming draws a hash; its place in the output is the place of the hash in
+        their order, by bucket and then inside it."""
+        s = self.sources.where("slots > 0").select("rank", "first", "slots", "all_slots")
+        s = s.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(slots - 1) div {_CHUNK}")))).repartition("rank", "chunk")
+        k = F.explode(F.sequence(F.col("chunk") * _CHUNK, F.least(F.col("chunk") * _CHUNK + _CHUNK, F.col("slots")) - 1))
+        s = s.withColumn("k", k).select("rank", "all_slots", (F.col("first") + F.col("k")).alias("card"))
+        s = s.withColumn("hash", F.xxhash64(F.lit(self.seed), "card"))
+        s = s.select("rank", "card", "hash", F.pmod("hash", F.greatest(F.expr(f"all_slots div {BUCKET_ROWS}"), F.lit(1))).alias("bucket"))
+        sizes = s.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+        offsets = sizes.select("bucket", (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("bucket")) - F.col("n")).alias("offset"))
+        s = s.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("hash", "card")) - 1)
+        s = s.join(offsets, "bucket").select("rank", (F.col("offset") + F.col("place")).alias("at"))
+        return s.select(F.expr(f"at div {SLOTS_PER_SHARD}").alias("shard"), (F.col("at") % SLOTS_PER_SHARD).alias("slot"), "rank")
+
+    def _small_sources(self) -> DataFrame:
+        return F.broadcast(self.sources) if self.sources.count() <= 100_000 else self.sources
+
+    def _counts(self) -> DataFrame:
+        return self._drawn.groupBy("shard", "rank").agg(F.count(F.lit(1)).alias("n"))
 
     def slots(self) -> DataFrame:
         """(shard, slot, source, block): every slot of the output and the block it takes."""
-        s = self.sources.where("slots > 0")
-        s = s.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(slots - 1) div {_CHUNK}")))).repartition("source", "chunk")
-        s = s.withColumn("k", F.explode(F.sequence(F.col("chunk") * _CHUNK, F.least(F.col("chunk") * _CHUNK + _CHUNK, F.col("slots")) - 1)))
-        at = permuted(F.col("first") + F.col("k"), F.col("all_slots"), F.col("mix_step"), F.col("mix_seed"))
+        before = F.sum("n").over(Window.partitionBy("rank").orderBy("shard")) - F.col("n")
+        starts = self._counts().select("shard", "rank", before.alias("before"))
+        s = self._drawn.withColumn("turn", F.row_number().over(Window.partitionBy("shard", "rank").orderBy("slot")) - 1)
+        s = s.join(starts, ["shard", "rank"]).withColumn("k", F.col("before") + F.col("turn"))
+        s = s.join(self._small_sources().select("rank", "source", "blocks", "step", "own_seed"), "rank")
         block = permuted(F.col("k") % F.col("blocks"), F.col("blocks"), F.col("step"), F.col("own_seed"))
-        s = s.select("source", block.alias("block"), at.alias("at"))
-        return s.select(F.expr(f"at div {SLOTS_PER_SHARD}").alias("shard"), (F.col("at") % SLOTS_PER_SHARD).alias("slot"), "source", "block")
+        return s.select("shard", "slot", "source", block.alias("block"))
 
     def shard_counts(self) -> DataFrame:
         """(shard, source, slots): how many slots of each shard a source got."""
-        return self.slots().groupBy("shard", "source").agg(F.count(F.lit(1)).alias("slots"))
+        return self._counts().join(self._small_sources().select("rank", "source"), "rank").select("shard", "source", F.col("n").alias("slots"))
 
     def pieces(self) -> DataFrame:
         """(source, block, doc_id, size, bucket, place, start, from, words): what each block holds of each document."""
@@ -142,8 +165,7 @@ class Mix:
         )
         every = self.documents.select("doc_id", "source", "bucket", "place", F.lit(0).cast("long").alias("taken"), "size", F.lit(1).alias("here"))
         sums = every.unionByName(drawn).groupBy("source", "bucket", "place", "doc_id").agg(F.sum("taken").alias("taken"), F.max("size").alias("size")).alias("t")
-        s = F.broadcast(self.sources) if self.sources.count() <= 100_000 else self.sources
-        s = s.alias("s")
+        s = self._small_sources().alias("s")
         return sums.join(s, F.col("t.source").eqNullSafe(F.col("s.source"))).select("doc_id", "t.source", "size", "source_size", "target", "taken")
 
     def texts(self) -> DataFrame:
