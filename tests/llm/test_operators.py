@@ -121,6 +121,15 @@ def test_line_dedup_odd_rows(spark):
     assert line_dedup.dedup_lines(docs.limit(0))[0].count() == 0
 
 
+def test_line_dedup_of_copies(spark):
+    run = "\n".join("word " * 20 + str(i) for i in range(4))
+    own = "\n".join("own " * 20 + str(i) for i in range(4))
+    rows = [(4, run), (4, run), (5, run + "\nmore"), (6, run), (6, run), (7, own), (7, own), (7, "other")]
+    out, _, m = line_dedup.dedup_lines(docs_of(spark, rows))
+    want = [(4, run, 0), (4, run, 0), (5, "more", 4), (6, "", 4), (6, "", 4), (7, "other", 0), (7, own, 0), (7, own, 0)]
+    assert sorted((r["doc_id"], r["text"], r[m]) for r in out.collect()) == want
+
+
 def test_suffix_ranks_are_a_suffix_array(spark):
     seq = [3, 1, 2, 1, 2, 1, 2, 3, 1, 2]
     docs = docs_of(spark, [(0, "\n".join(f"line{x} a b" for x in seq))])

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, count_words, own_name, stored
+from .common import SPACES, count_words, own_name, small_or_join, stored
 
 MIN_WORDS = 50
 #: A line feed, unless what follows up to the next one is blank.
@@ -49,14 +49,26 @@ def _keys(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
 
 def repeated_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(did, th, ln, w, r0): lines that occur more than once, with their words and an ID of the line."""
-    t = docs.where(F.col(text_col).isNotNull()).select(*_keys(docs, id_col, text_col), F.posexplode(_lines(F.col(text_col))).alias("ln", "line"))
-    norm = F.trim(F.regexp_replace("line", SPACES, " "))
-    t = t.select("did", "th", "ln", count_words(F.col("line")).cast("int").alias("w"), F.xxhash64(norm).alias("a"), F.xxhash64(norm, F.lit("line")).alias("b"))
-    t = stored(t.where("w > 0"), "all-lines")
+    t = docs.where(F.col(text_col).isNotNull()).select(*_keys(docs, id_col, text_col), F.col(text_col).alias("text"))
+    again = stored(t.groupBy(*_DOC).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*_DOC), "again")
+    if again.isEmpty():
+        t = _hashed(t)
+    else:  # of rows that are one document, one; only their lines are shuffled
+        again = small_or_join(again)
+        t = _hashed(t.join(again, list(_DOC), "left_anti")).unionByName(_hashed(t.join(again, list(_DOC), "left_semi")).distinct())
+    t = stored(t, "all-lines")
     many = t.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("ln").alias("m")).where("n > 1").select("a", "b")
     return _ranked(t, many, ["a", "b"], "r0").select("did", "th", "ln", "w", "r0")
 
 
+def _hashed(docs: DataFrame) -> DataFrame:
+    """(did, th, ln, w, a, b): the lines of docs (did, th, text) that have words."""
+    t = docs.select(*_DOC, F.posexplode(_lines(F.col("text"))).alias("ln", "line"))
+    norm = F.trim(F.regexp_replace("line", SPACES, " "))
+    t = t.select(*_DOC, "ln", count_words(F.col("line")).cast("int").alias("w"), F.xxhash64(norm).alias("a"), F.xxhash64(norm, F.lit("line")).alias("b"))
+    return t.where("w > 0")
+
+
 def _ranked(rows: DataFrame, keys: DataFrame, by: list[str], name: str) -> DataFrame:
     """rows whose key is one of the distinct keys, with the key's number in sorted order."""
     ranged = keys.repartitionByRange(*by).sortWithinPartitions(*by)
