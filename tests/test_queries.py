@@ -40,6 +40,12 @@ def test_query(spark, duck, name):
         assert sorted([plain(r[i]) for i in at] for r in cur.fetchall()) == rows
 
 
+def test_whole_windows_are_checked(spark, duck):
+    got = registry.QUERIES["sliding_windows_whole"](spark, DIR).groupBy("series_id", "pos").count().select("count").distinct().collect()
+    assert [r[0] for r in got] == [25]
+    assert duck.execute(f"select count(distinct i) from ({registry.ORACLES['sliding_windows_whole']})").fetchone()[0] == 25
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

@@ -237,8 +237,13 @@ def rolling_metrics(spark, d):
 
 @query("sliding_windows", f"WITH {E_SQL} SELECT series_id, pos, i, x, target FROM (SELECT series_id, pos, value, lag(value, 24 - k) OVER (PARTITION BY series_id, k ORDER BY pos) AS x, k AS i, lead(value) OVER (PARTITION BY series_id, k ORDER BY pos) AS target FROM e, (VALUES (0), (12), (24)) t(k)) WHERE pos >= 24")
 def sliding_windows(spark, d):
+    return sliding_windows_whole(spark, d).where("i in (0, 12, 24)")
+
+
+@query("sliding_windows_whole", f"WITH {E_SQL} SELECT series_id, pos, i, x, target FROM (SELECT series_id, pos, value, lag(value, 24 - k) OVER (PARTITION BY series_id, k ORDER BY pos) AS x, k AS i, lead(value) OVER (PARTITION BY series_id, k ORDER BY pos) AS target FROM e, (SELECT unnest(range(0, 25)) AS k) t) WHERE pos >= 24")
+def sliding_windows_whole(spark, d):
     w = windows.sliding(_events(spark, d), 25, target=True)
-    return w.select(SERIES, "pos", "target", F.posexplode("window").alias("i", "x")).where("i in (0, 12, 24)")
+    return w.select(SERIES, "pos", "target", F.posexplode("window").alias("i", "x"))
 
 
 @query("train_test_split", f"WITH {E_SQL}, n AS (SELECT series_id, count(*) AS n FROM e GROUP BY 1) SELECT series_id, pos, CASE WHEN pos < floor(n * 0.7::DOUBLE) THEN 'train' ELSE 'test' END AS part FROM e JOIN n USING (series_id)")
