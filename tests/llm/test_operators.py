@@ -413,6 +413,13 @@ def test_mix_draws_shard_counts(spark, monkeypatch):
     assert "shard" in m.taken()._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_mix_keeps_texts_of_equal_id(spark):
+    df = spark.createDataFrame([(1, "a " * 32, "s"), (1, "b " * 32, "s"), (1, "b " * 32, "s"), (2, "c " * 32, "s")], DOCS + ", source string")
+    whole = mixing.Mix(df, block_words=16, epochs=2.0).texts().collect()
+    words = [w for r in whole for w in r["text"].split()]
+    assert {w: words.count(w) for w in "abc"} == {"a": 64, "b": 128, "c": 64}
+
+
 def test_mix_of_nothing(spark):
     df = spark.createDataFrame([], DOCS + ", source string")
     assert mixing.Mix(df).taken().count() == 0

@@ -13,7 +13,7 @@ shared anew by weight, until none is above.
 Word positions come from sums over hashed buckets of documents, so no task sees a whole source.
 
 Cases: null or empty text has size 0 and is never drawn; a null source is a source; rows of equal id
-are ordered by size and each keeps a row of the result; with no words at all every target is 0. Other
+are ordered by size and a hash of the text and each keeps a row of the result; with no words at all every target is 0. Other
 columns are ignored. The result depends on the rows alone, not on their order or partitions.
 """
 
@@ -85,7 +85,7 @@ class Mix:
     ):
         self.block_words, self.seed = block_words, seed
         self._text = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
-        sized = stored(self._text.select("doc_id", "source", count_words(F.col("text")).alias("size")), "sizes")
+        sized = stored(self._text.select("doc_id", "source", count_words(F.col("text")).alias("size"), F.xxhash64("text").alias("th")), "sizes")
         buckets = max(1, sized.count() // BUCKET_ROWS)
         sized = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), F.lit(buckets)))
         summed = sized.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
@@ -94,13 +94,13 @@ class Mix:
         totals = summed.groupBy("source").agg(F.sum("words").alias("source_size"))
         self.sources = stored(self._with_slots(fill_to_caps(totals, epochs, most, weights)), "sources")
         self._drawn = stored(self._draw(), "drawn")
-        inside = Window.partitionBy("source", "bucket").orderBy("doc_id", "size")
+        inside = Window.partitionBy("source", "bucket").orderBy("doc_id", "size", "th")
         placed = sized.withColumn("place", F.row_number().over(inside)).withColumn(
             "within", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
         )
         s, o = placed.alias("s"), offsets.alias("o")
         same = F.col("s.source").eqNullSafe(F.col("o.source")) & (F.col("s.bucket") == F.col("o.bucket"))
-        self.documents = s.join(o, same).select("s.doc_id", "s.source", "s.size", "s.bucket", "s.place", (F.col("offset") + F.col("within")).alias("start"))
+        self.documents = s.join(o, same).select("s.doc_id", "s.source", "s.size", "s.th", "s.bucket", "s.place", (F.col("offset") + F.col("within")).alias("start"))
 
     def _with_slots(self, sources: DataFrame) -> DataFrame:
         blocks = F.ceil(F.col("source_size") / self.block_words).cast("long")
@@ -149,12 +149,12 @@ class Mix:
         return self._counts().join(self._small_sources().select("rank", "source"), "rank").select("shard", "source", F.col("n").alias("slots"))
 
     def pieces(self) -> DataFrame:
-        """(source, block, doc_id, size, bucket, place, start, from, words): what each block holds of each document."""
+        """(source, block, doc_id, size, th, bucket, place, start, from, words): what each block holds of each document."""
         b = self.block_words
         d = self.documents.where("size > 0").withColumn("end", F.col("start") + F.col("size"))
         d = d.withColumn("block", F.explode(F.sequence(F.expr(f"start div {b}"), F.expr(f"(end - 1) div {b}"))))
         low, high = F.greatest(F.col("start"), F.col("block") * b), F.least(F.col("end"), (F.col("block") + 1) * b)
-        return d.select("source", "block", "doc_id", "size", "bucket", "place", "start", (low - F.col("start")).alias("from"), (high - low).alias("words"))
+        return d.select("source", "block", "doc_id", "size", "th", "bucket", "place", "start", (low - F.col("start")).alias("from"), (high - low).alias("words"))
 
     def taken(self) -> DataFrame:
         """A row for each document: doc_id, source, size, source_size, target, taken."""
@@ -170,11 +170,11 @@ class Mix:
 
     def texts(self) -> DataFrame:
         """(shard, slot, source, text): the mixed output, one row for each slot."""
-        t = self._text.select("doc_id", F.col("source").alias("src"), count_words(F.col("text")).alias("n"), "text")
-        t = t.groupBy("doc_id", "src", "n").agg(F.min("text").alias("text"))  # of rows alike in id, source and size, one text
-        t = t.select("doc_id", "src", "n", split_words(F.col("text"), SPACES).alias("all_words")).alias("t")
+        t = self._text.select("doc_id", F.col("source").alias("src"), count_words(F.col("text")).alias("n"), F.xxhash64("text").alias("h"), "text")
+        t = t.groupBy("doc_id", "src", "n", "h").agg(F.min("text").alias("text"))  # copies of a row have one text
+        t = t.select("doc_id", "src", "n", "h", split_words(F.col("text"), SPACES).alias("all_words")).alias("t")
         p = self.pieces().alias("p")
-        same = F.col("p.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("p.source").eqNullSafe(F.col("t.src")) & (F.col("p.size") == F.col("t.n"))
+        same = F.col("p.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("p.source").eqNullSafe(F.col("t.src")) & (F.col("p.size") == F.col("t.n")) & (F.col("p.th") == F.col("t.h"))
         cut = F.slice("all_words", (F.col("from") + 1).cast("int"), F.col("words").cast("int"))
         rows = p.join(t, same).select("source", "block", F.struct("start", F.array_join(cut, " ").alias("text")).alias("cut"))
         blocks = rows.groupBy("source", "block").agg(F.array_sort(F.collect_list("cut")).alias("cuts"))
