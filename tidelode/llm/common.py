@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -73,6 +73,54 @@ def small_or_join(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if few else df
 
 
+#: A key of more than one in so many rows is hot; there are at most as many hot keys.
+HOT_SHARE = 1024
+
+
+def join_spread(rows: DataFrame, table: DataFrame, by: list[str], values: list[str], n: str, spread: list[str]) -> DataFrame:
+    """rows joined to table, a stored table of one row for each key, whose n tells how many of rows have it.
+
+    Hot keys come by a broadcast of at most HOT_SHARE rows; their rows are dealt by the columns of spread, so
+    that no task gets more than its share of one key. by and values are no null in table."""
+    total, most = table.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first()
+    if most * HOT_SHARE <= total:
+        return rows.join(table.select(*by, *values), by)
+    hot = table.where(F.col(n) * HOT_SHARE > total).select(*by, *[F.col(v).alias(f"hot_{v}") for v in values])
+    rows = rows.join(F.broadcast(hot), by, "left")
+    own = F.pmod(F.xxhash64(*spread), F.lit(1 << 30)) + 1
+    rows = rows.withColumn("salt", F.when(F.col(f"hot_{values[0]}").isNull(), 0).otherwise(own).cast("long"))
+    # least(n, 0) is 0, but no literal, which would be taken out of the join's keys
+    cold = table.where(F.col(n) * HOT_SHARE <= total).select(*by, *values, F.least(F.col(n), F.lit(0)).cast("long").alias("salt"))
+    out = rows.join(cold, [*by, "salt"], "left")
+    out = out.withColumns({v: F.coalesce(f"hot_{v}", v) for v in values}).where(F.col(values[0]).isNotNull())
+    return out.drop("salt", *[f"hot_{v}" for v in values])
+
+
+def offsets(sums: DataFrame, keys: list[str], at: str, value: str, out: str, group: int = 4096) -> DataFrame:
+    """sums with out: the sum of value over the smaller numbers at of its keys; runs of group numbers are summed by themselves."""
+    g = sums.withColumn("run", F.floor(F.col(at) / group))
+    runs = g.groupBy(*keys, "run").agg(F.sum(value).alias("run_sum"))
+    order = Window.partitionBy(*keys).orderBy("run")
+    runs = runs.select(*keys, "run", (F.sum("run_sum").over(order) - F.col("run_sum")).alias("run_start"))
+    inner = Window.partitionBy(*keys, "run").orderBy(at)
+    g = g.withColumn("within", F.sum(value).over(inner) - F.col(value)).alias("g")
+    r = runs.alias("r")
+    same = F.lit(True)
+    for k in [*keys, "run"]:
+        same = same & F.col(f"g.{k}").eqNullSafe(F.col(f"r.{k}"))
+    return g.join(r, same).select(*[f"g.{c}" for c in sums.columns], (F.col("run_start") + F.col("within")).alias(out))
+
+
+def numbered(df: DataFrame, by: list[Column], out: str) -> DataFrame:
+    """A stored copy of df with out: 0, 1, ... in order of by; only a row for each partition meets in one task."""
+    ranged = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    rows = stored(ranged.withColumn("part", F.spark_partition_id()).withColumn("i", F.monotonically_increasing_id()), "numbered")
+    parts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("i0"))
+    before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("i0")).alias("shift"))
+    return rows.join(F.broadcast(parts), "part").withColumn(out, F.col("i") + F.col("shift")).drop("part", "i", "shift")
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, every other character as it is."""
     return F.translate(text, UPPER, LOWER)

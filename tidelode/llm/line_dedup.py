@@ -1,6 +1,6 @@
 r"""Line dedup: a suffix array over line-ID sequences by prefix doubling finds repeated runs of lines.
 
-Every line is an ID (128 bits of its words); a document is a sequence of IDs. Ranks of all suffixes by
+Every line is an ID (128 bits of the SHA-256 of its words); a document is a sequence of IDs. Ranks of all suffixes by
 their first 1, 2, 4, ... lines are computed by prefix doubling: the rank for twice the length is the
 order of the pairs (rank here, rank that many lines on), found by a range-partitioned sort of the
 distinct pairs. Positions whose rank is theirs alone start no repeated run and leave. Suffixes that
@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, count_words, own_name, small_or_join, stored
+from .common import SPACES, count_words, join_spread, numbered, own_name, small_or_join, stored
 
 MIN_WORDS = 50
 #: A line feed, unless what follows up to the next one is blank.
@@ -48,7 +48,7 @@ def _keys(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
 
 
 def repeated_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(did, th, ln, w, r0): lines that occur more than once, with their words and an ID of the line."""
+    """(did, th, ln, w, r0): lines that occur more than once, with their words and the rank of their ID."""
     t = docs.where(F.col(text_col).isNotNull()).select(*_keys(docs, id_col, text_col), F.col(text_col).alias("text"))
     again = stored(t.groupBy(*_DOC).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*_DOC), "again")
     if again.isEmpty():
@@ -57,27 +57,22 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         again = small_or_join(again)
         t = _hashed(t.join(again, list(_DOC), "left_anti")).unionByName(_hashed(t.join(again, list(_DOC), "left_semi")).distinct())
     t = stored(t, "all-lines")
-    many = t.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("ln").alias("m")).where("n > 1").select("a", "b")
-    return _ranked(t, many, ["a", "b"], "r0").select("did", "th", "ln", "w", "r0")
+    many = t.groupBy("line").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return _ranked(t, many, ["line"], "r0").select("did", "th", "ln", "w", "r0")
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
-    """(did, th, ln, w, a, b): the lines of docs (did, th, text) that have words."""
+    """(did, th, ln, w, line): the lines of docs (did, th, text) that have words; line is half of a SHA-256."""
     t = docs.select(*_DOC, F.posexplode(_lines(F.col("text"))).alias("ln", "line"))
     norm = F.trim(F.regexp_replace("line", SPACES, " "))
-    t = t.select(*_DOC, "ln", count_words(F.col("line")).cast("int").alias("w"), F.xxhash64(norm).alias("a"), F.xxhash64(norm, F.lit("line")).alias("b"))
+    t = t.select(*_DOC, "ln", count_words(F.col("line")).cast("int").alias("w"), F.substring(F.unhex(F.sha2(norm, 256)), 1, 16).alias("line"))
     return t.where("w > 0")
 
 
 def _ranked(rows: DataFrame, keys: DataFrame, by: list[str], name: str) -> DataFrame:
-    """rows whose key is one of the distinct keys, with the key's number in sorted order."""
-    ranged = keys.repartitionByRange(*by).sortWithinPartitions(*by)
-    numbered = stored(ranged.withColumn("part", F.spark_partition_id()).withColumn("i", F.monotonically_increasing_id()), "ranks")
-    parts = numbered.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("i0"))  # a row for each partition
-    before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("i0")).alias("shift"))
-    ranks = numbered.join(F.broadcast(parts), "part").select(*by, (F.col("i") + F.col("shift")).alias(name))
-    return rows.join(ranks, by)
+    """rows whose key is one of the distinct keys (by, n), with the key's number in sorted order."""
+    ranks = numbered(keys, [F.col(c) for c in by], name)
+    return join_spread(rows, ranks, by, [name], "n", [*_DOC, "ln"])
 
 
 def shortest_runs(lines: DataFrame, min_words: int) -> DataFrame:
@@ -105,7 +100,7 @@ def suffix_ranks(lines: DataFrame, levels: int) -> DataFrame:
         step = 1 << (k - 1)
         doc = Window.partitionBy(*_DOC).orderBy("ln").rangeBetween(step, step)
         pairs = lines.withColumn("x", F.col(f"r{k - 1}")).withColumn("y", F.max(f"r{k - 1}").over(doc))
-        many = pairs.where("x is not null and y is not null").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("x", "y")
+        many = pairs.where("x is not null and y is not null").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         ranked = _ranked(pairs.where("x is not null and y is not null").select(*_DOC, "ln", "x", "y"), many, ["x", "y"], f"r{k}")
         lines = stored(lines.join(ranked.select(*_DOC, "ln", f"r{k}"), [*_DOC, "ln"], "left"), "suffixes")
     return lines
@@ -128,8 +123,8 @@ def later_copies(lines: DataFrame, min_words: int) -> DataFrame:
     named = named.select(*_DOC, "start", "len", F.element_at("heads", F.col("k") + 1).alias("x"), F.element_at("tails", F.col("k") + 1).alias("y"))
     named = stored(named.where("x is not null and y is not null"), "named")
     first = F.min(F.struct("did", "th", "start")).alias("first")
-    intervals = named.groupBy("len", "x", "y").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = named.join(intervals, ["len", "x", "y"])
+    intervals = stored(named.groupBy("len", "x", "y").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1"), "intervals")
+    later = join_spread(named, intervals, ["len", "x", "y"], ["first"], "n", [*_DOC, "start"])
     same = (F.col("did") == F.col("first.did")) & (F.col("th") == F.col("first.th"))
     return later.where(~same | (F.col("first.start") + F.col("len") <= F.col("start"))).select(*_DOC, "start", "len")
 
