@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, count_words, join_spread, numbered, own_name, small_or_join, stored
+from .common import SPACES, join_spread, numbered, own_name, small_or_join, stored
 
 MIN_WORDS = 50
 #: A line feed, unless what follows up to the next one is blank.
@@ -63,10 +63,11 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _hashed(docs: DataFrame) -> DataFrame:
     """(did, th, ln, w, line): the lines of docs (did, th, text) that have words; line is half of a SHA-256."""
-    t = docs.select(*_DOC, F.posexplode(_lines(F.col("text"))).alias("ln", "line"))
-    norm = F.trim(F.regexp_replace("line", SPACES, " "))
-    t = t.select(*_DOC, "ln", count_words(F.col("line")).cast("int").alias("w"), F.substring(F.unhex(F.sha2(norm, 256)), 1, 16).alias("line"))
-    return t.where("w > 0")
+    t = docs.select(*_DOC, F.posexplode(_lines(F.col("text"))).alias("ln", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    loose = F.contains(F.col("line"), F.lit("  ")) | F.col("line").rlike(r"[\x09-\x0D]")
+    t = t.select(*_DOC, "ln", F.trim(F.when(loose, F.regexp_replace("line", SPACES, " ")).otherwise(F.col("line"))).alias("norm"))
+    blanks = F.octet_length("norm") - F.octet_length(F.replace("norm", F.lit(" "), F.lit("")))
+    return t.select(*_DOC, "ln", (blanks + 1).cast("int").alias("w"), F.substring(F.unhex(F.sha2("norm", 256)), 1, 16).alias("line"))
 
 
 def _ranked(rows: DataFrame, keys: DataFrame, by: list[str], name: str) -> DataFrame:
