@@ -167,7 +167,39 @@ def test_links_of_odd_rows(spark):
     got = sorted((tuple(r) for r in ngram_join.link_classes(docs_of(spark, ODD)).collect()), key=str)
     assert got == sorted(brute.link_classes(ODD), key=str)
     assert ngram_join.link_classes(docs_of(spark, [])).count() == 0
-    assert ngram_join.keep_one(docs_of(spark, ODD)).count() == len(ODD) - 1  # "a b c" twice
+    kept = [r["doc_id"] for r in ngram_join.keep_one(docs_of(spark, ODD)).collect()]
+    assert sorted(kept, key=str) == sorted([1, 2, 3, 4, None, None, 5, 6, 7], key=str)  # "a b c" twice, the row (4, "one") twice
+
+
+def test_keep_one_of_equal_ids(spark):
+    a, b = "one two three four five six", "other words of another kind altogether here"
+    docs = spark.createDataFrame([(1, a, 0), (2, a, 1), (2, b, 2), (2, b, 3), (3, b + " x", 4), (3, "", 5)], "doc_id long, text string, key int")
+    out = ngram_join.keep_one(docs, 1, 80, 100)
+    assert out.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == [(1, a), (2, b), (3, "")]
+    rows = {tuple(r) for r in ngram_join.link_classes(docs.select("doc_id", "text"), 1, 80).collect()}
+    assert rows == {(1, 6, 1), (2, 6, 1), (2, 7, 2), (3, 8, 2), (3, 0, 3)}
+
+
+def test_shared_passages_make_no_pairs(spark, monkeypatch):
+    """Groups of two copies and a near copy, all with one licence: pairs grow with the documents, not with their square."""
+    monkeypatch.setattr(ngram_join, "MEMBERS", 16)
+    links, pairs = ngram_join._links, []
+    monkeypatch.setattr(ngram_join, "_links", lambda blocks, p, *more: (pairs.append(p.count()), links(blocks, p, *more))[1])
+    licence = " ".join(f"licence{i}" for i in range(120))
+    made = []
+    for n in (150, 600):
+        rows = []
+        for i in range(n):
+            own = [f"g{i // 3}w{j}" for j in range(80)]
+            if i % 3 == 2:
+                own[0] = "edited"
+            rows.append((i, " ".join(own) + " " + licence))
+        got = {r["doc_id"]: r["component_id"] for r in ngram_join.link_classes(docs_of(spark, rows)).collect()}
+        assert got == {i: i - i % 3 for i in range(n)}
+        made.append(sum(pairs))
+        pairs.clear()
+    assert made[1] <= 4 * made[0] + 10 and made[1] <= 600
 
 
 def test_large_group_of_near_copies(spark):

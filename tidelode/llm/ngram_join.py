@@ -7,10 +7,12 @@ class with its smallest doc_id as representative; only representatives go on.
    asks for can't link. N-grams are dealt by hash into blocks; each block holds short fingerprints of
    chunks of documents and sends back how many of a document's n-grams are its own alone. What a
    chunk holds several times it sends once, so a common n-gram costs a row for each chunk at most.
-   Done over all documents, then again among the survivors.
-2. Candidates. Each set's n-grams in hash order have a prefix that a partner must share a part of
+   Done over all documents, then again among the survivors, where blocks also send back how many
+   documents hold each n-gram.
+2. Candidates. Each set's n-grams, the rarest first, have a prefix that a partner must share a part of
    (a shorter one for the smaller of the two), with bounds from both sizes, from the n-grams that
-   others hold, and from the places in the two sets.
+   others hold, and from the places in the two sets. What many documents have in common, such as a
+   licence, comes last and isn't in the prefixes.
 3. Contraction. In rounds, each document is compared with a few leaders (the least by a hash of the
    round) of the most frequent other component in its n-grams' lists, those with whom it shares most
    prefix n-grams first. Links give components, which takes groups of copies together without
@@ -24,7 +26,7 @@ another, all overlaps counted at once. It is exact; steps 1 to 4 leave out no pa
 connect what is not connected yet.
 
 Cases: null, empty and blank texts have no n-grams and link with nothing; texts of fewer words than
-n have one n-gram, the whole. Rows with equal id are separate documents. A null id links with
+n have one n-gram, the whole. Rows of equal id are documents of their own. A null id links with
 nothing, its component is null. An empty table gives an empty result.
 """
 
@@ -38,13 +40,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_or_join, stored
+from .common import numbered, own_name, small_or_join, stored
 from .components import components
 from .shingles import set_digests, sets_of
 
 #: N-grams that a chunk gathers before it deals them out, and those that a block gets, about.
 CHUNK_GRAMS = 400_000
 BLOCK_GRAMS = 1_500_000
+#: Documents that are put into a chunk at once; a chunk has fewer than 65,535.
+CHUNK_DOCS = 8192
 #: Documents in a block, and those compared with it in one task.
 MEMBERS = 256
 #: Rounds of contraction: leaders of an n-gram's list, and leaders that a document is compared with.
@@ -86,11 +90,24 @@ def _from_sets(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray,
         yield ids[a : a + 512], np.concatenate(part) if part else np.zeros(0, np.uint64), counts[a : a + 512]
 
 
-def _deal(sets, blocks: int):
-    """Chunks of documents dealt into blocks: (block, chunk, kind, data, owners).
+def _uniques(h: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct n-grams of h by block and hash: n-gram, block, how often it is in h, a place of it in h; and where blocks begin."""
+    order = np.argsort(h)
+    s = h[order]
+    at = np.flatnonzero(np.concatenate((np.ones(min(len(s), 1), bool), s[1:] != s[:-1])))
+    n, one, s = np.diff(np.append(at, len(s))), order[at], s[at]
+    block = ((s >> np.uint64(32)) % np.uint64(blocks)).astype(np.int64)
+    by = np.argsort(block, kind="stable")
+    block = block[by]
+    cut = np.flatnonzero(np.concatenate((np.ones(min(len(s), 1), bool), block[1:] != block[:-1])))
+    return s[by], block, n[by], one[by], np.append(cut, len(s))
 
-    kind 0: the fingerprints of one block and which of the chunk's documents holds each, the last of
-    16 bits for several. kind 1: the chunk's documents: ids, and counts in owners."""
+
+def _deal(sets, blocks: int, whole: bool):
+    """Chunks of documents dealt into blocks: (block, chunk, kind, data, owners, more).
+
+    kind 0: the fingerprints of one block, which of the chunk's documents holds each (_SEVERAL: more than
+    one) and how many do where it is several. kind 1: the chunk's documents: ids, counts and, if whole, n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         serial = (TaskContext.get().partitionId() + 1) << 32
@@ -101,96 +118,145 @@ def _deal(sets, blocks: int):
             i, h, c = np.concatenate(ids), np.concatenate(hashes), np.concatenate(counts)
             ids.clear(), hashes.clear(), counts.clear()
             held, serial = 0, serial + 1
-            owner = np.repeat(np.arange(len(c)), c)
-            order = np.argsort(h)
-            h, owner = h[order], owner[order]
-            new = np.concatenate((np.ones(min(len(h), 1), bool), h[1:] != h[:-1]))
-            at = np.flatnonzero(new)
-            several = np.diff(np.append(at, len(h))) > 1
-            h, owner = h[at], np.where(several, 0xFFFF, owner[at]).astype(np.uint16)
-            alone = np.bincount(owner[~several], minlength=len(c)) if len(h) else np.zeros(len(c), np.int64)
-            block = ((h >> np.uint64(32)) % np.uint64(blocks)).astype(np.int64)
-            order = np.argsort(block, kind="stable")
-            block, h, owner = block[order], h[order].astype(np.uint32), owner[order]
-            cut = np.flatnonzero(np.concatenate((np.ones(min(len(h), 1), bool), block[1:] != block[:-1])))
-            ends = np.append(cut, len(h))
-            rows = [(int(block[a]), serial, 0, h[a:b].tobytes(), owner[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            rows.append((serial % blocks, serial, 1, i.astype(np.int64).tobytes(), np.stack((c, alone)).astype(np.int64).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _DEALT, strict=True)], names=list("abcde"))
+            u, block, n, one, ends = _uniques(h, blocks)
+            owner = np.where(n > 1, _SEVERAL, np.repeat(np.arange(len(c)), c)[one]).astype(np.uint16)
+            prints, n = u.astype(np.uint32), n.astype(np.uint32)
+            rows = [(int(block[a]), serial, 0, prints[a:b].tobytes(), owner[a:b].tobytes(), n[a:b][n[a:b] > 1].tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            rows.append((serial % blocks, serial, 1, i.astype(np.int64).tobytes(), c.tobytes(), h.tobytes() if whole else b""))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _DEALT, strict=True)], names=list("abcdef"))
 
         for batch in batches:
             for i, h, c in sets(batch):
-                ids.append(i), hashes.append(h), counts.append(np.asarray(c, np.int64))
-                held += len(h)
-                if held >= CHUNK_GRAMS or sum(map(len, ids)) > 50_000:
-                    yield from flush()
+                ends = np.concatenate(([0], np.cumsum(c)))
+                for a in range(0, len(i), CHUNK_DOCS):
+                    if ids and (held >= CHUNK_GRAMS or sum(map(len, ids)) + CHUNK_DOCS >= _SEVERAL):
+                        yield from flush()
+                    b = min(a + CHUNK_DOCS, len(i))
+                    ids.append(i[a:b]), hashes.append(h[ends[a] : ends[b]]), counts.append(np.asarray(c[a:b], np.int64))
+                    held += int(ends[b] - ends[a])
         if ids:
             yield from flush()
 
     return run
 
 
-_DEALT = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-
-
-def _meet(table: pa.Table) -> pa.Table:
-    """One block: for each chunk, how many fingerprints of each document are in no other chunk."""
-    kind = table.column("kind").to_numpy()
-    out = [table.filter(pa.array(kind == 1)).select(["chunk", "kind", "data", "owners"])]
-    part = table.filter(pa.array(kind == 0))
-    chunks = part.column("chunk").to_numpy()
-    prints = [np.frombuffer(x.as_buffer(), np.uint32) for x in part.column("data")]
-    owners = [np.frombuffer(x.as_buffer(), np.uint16) for x in part.column("owners")]
-    if prints:
-        h, owner = np.concatenate(prints), np.concatenate(owners)
-        row = np.repeat(np.arange(len(prints), dtype=np.uint32), [len(x) for x in prints])
-        order = np.argsort(h)
-        h, owner, row = h[order], owner[order], row[order]
-        first = np.concatenate(([True], h[1:] != h[:-1]))
-        alone = first & np.concatenate((first[1:], [True])) & (owner != 0xFFFF)
-        both, n = np.unique(row[alone].astype(np.int64) << 16 | owner[alone], return_counts=True)
-        ends = np.searchsorted(both, np.arange(len(prints) + 1, dtype=np.int64) << 16)
-        data = [(both[a:b] & 0xFFFF).astype(np.uint16).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        counts = [n[a:b].astype(np.uint32).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        out.append(pa.table([pa.array(chunks), pa.array(np.zeros(len(prints), np.int32)), pa.array(data, pa.binary()), pa.array(counts, pa.binary())], names=["chunk", "kind", "data", "owners"]))
-    return pa.concat_tables(out)
+_DEALT = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+_DEALT_SQL = "block long, chunk long, kind int, data binary, owners binary, more binary"
+_SEVERAL = 0xFFFF
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """One chunk: (doc_id, n, shared) of its documents."""
-    own = total = ids = None
-    replies = []
-    for kind, data, owners in zip(table.column("kind").to_pylist(), table.column("data"), table.column("owners"), strict=True):
+def _meet(frequencies: bool):
+    """One block: for each chunk, how many fingerprints of each document are in no other chunk; and all their
+    frequencies over all chunks as steps of an eighth of a power of two, 0 for once."""
+
+    def run(table: pa.Table) -> pa.Table:
+        kind = table.column("kind").to_numpy()
+        out = [table.filter(pa.array(kind == 1))]
+        part = table.filter(pa.array(kind == 0))
+        prints = [np.frombuffer(x.as_buffer(), np.uint32) for x in part.column("data")]
+        if prints:
+            owner = np.concatenate([np.frombuffer(x.as_buffer(), np.uint16) for x in part.column("owners")])
+            h = np.concatenate(prints)
+            held = np.ones(len(h), np.int64)
+            held[owner == _SEVERAL] = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in part.column("more")])
+            sizes = np.array([len(x) for x in prints])
+            row = np.repeat(np.arange(len(prints), dtype=np.uint32), sizes)
+            order = np.argsort(h)
+            h, owner, row, held = h[order], owner[order], row[order], held[order]
+            starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            total = np.repeat(np.add.reduceat(held, starts), np.diff(np.append(starts, len(h))))
+            alone = total == 1
+            both, n = np.unique(row[alone].astype(np.int64) << 16 | owner[alone], return_counts=True)
+            ends = np.searchsorted(both, np.arange(len(prints) + 1, dtype=np.int64) << 16)
+            data = [(both[a:b] & 0xFFFF).astype(np.uint16).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            counts = [n[a:b].astype(np.uint32).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            more = [b""] * len(prints)
+            if frequencies:
+                step = np.empty(len(h), np.uint8)
+                step[order] = np.minimum(np.log2(total) * 8, 255).astype(np.uint8)
+                at = np.concatenate(([0], np.cumsum(sizes)))
+                more = [step[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+            cols = [pa.array(data, pa.binary()), pa.array(counts, pa.binary()), pa.array(more, pa.binary())]
+            out.append(pa.table([*(part.column(c) for c in ("block", "chunk", "kind")), *cols], names=table.column_names))
+        return pa.concat_tables(out)
+
+    return run
+
+
+def _gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """One chunk: ids, counts, how many n-grams are a document's own alone, all n-grams, their frequencies by block."""
+    own = ids = total = grams = None
+    replies, steps = [], []
+    for block, kind, data, owners, more in zip(*(table.column(c).to_pylist() if c in ("block", "kind") else table.column(c) for c in ("block", "kind", "data", "owners", "more")), strict=True):
         if kind == 1:
-            ids = np.frombuffer(data.as_buffer(), np.int64)
-            total = np.frombuffer(owners.as_buffer(), np.int64)[: len(ids)]
+            ids, total, grams = np.frombuffer(data.as_buffer(), np.int64), np.frombuffer(owners.as_buffer(), np.int64), np.frombuffer(more.as_buffer(), np.uint64)
             own = np.zeros(len(ids), np.int64)
         else:
             replies.append((np.frombuffer(data.as_buffer(), np.uint16), np.frombuffer(owners.as_buffer(), np.uint32)))
+            steps.append((block, more.as_py()))
     for who, n in replies:
         own[who] += n
+    return ids, total, own, grams, [x for _, x in sorted(steps)]
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """One chunk: (doc_id, n, shared) of its documents."""
+    ids, total, own, _, _ = _gathered(table)
     return pa.table([pa.array(ids), pa.array(total), pa.array(total - own)], names=["doc_id", "n", "shared"])
 
 
+def _prefixes(num: int, den: int, blocks: int):
+    """One chunk: its documents with their shared counts and prefixes: (cid, n, s, grams, prefix).
+
+    The prefix is what the n-grams that others hold have in the first n - need + 1 places by rarity."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, n, own, grams, steps = _gathered(table)
+        s, need = n - own, -(-n * num // den)
+        step = np.frombuffer(b"".join(steps), np.uint8)
+        u = _uniques(grams, blocks)[0]
+        order = np.argsort(u)
+        freq = step[order][np.searchsorted(u[order], grams)]
+        doc = np.repeat(np.arange(len(n)), n)
+        place = np.arange(len(grams)) - np.repeat(np.cumsum(n) - n, n)  # of what lexsort puts there
+        ranked = np.lexsort((grams, freq, doc))
+        taken = (place >= np.repeat(own, n)) & (place <= np.repeat(n - need, n)) & np.repeat(s >= need, n)
+        size = np.bincount(doc[taken], minlength=len(n)) * 8
+        both = []
+        for x, k in ((grams, n * 8), (grams[ranked][taken], size)):
+            offs = np.concatenate(([0], np.cumsum(k))).astype(np.int32)
+            both.append(pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offs), pa.py_buffer(np.ascontiguousarray(x))]))
+        out = pa.table([pa.array(ids), pa.array(n), pa.array(s), *both], names=["cid", "n", "s", "grams", "prefix"])
+        return out.filter(pa.array(s >= np.maximum(need, 1)))
+
+    return run
+
+
 def shared_counts(rows: DataFrame, sets, blocks: int) -> DataFrame:
     """(doc_id, n, shared): how many of a document's n-grams some other document may hold, never too few."""
-    dealt = rows.mapInArrow(_deal(sets, blocks), "block long, chunk long, kind int, data binary, owners binary")
-    met = dealt.groupBy("block").applyInArrow(_meet, "chunk long, kind int, data binary, owners binary")
+    met = rows.mapInArrow(_deal(sets, blocks, False), _DEALT_SQL).groupBy("block").applyInArrow(_meet(False), _DEALT_SQL)
     return met.groupBy("chunk").applyInArrow(_answer, "doc_id long, n long, shared long")
 
 
-def _prefix(num: int, den: int):
+def rarest_first(sets: DataFrame, num: int, den: int, blocks: int) -> DataFrame:
+    """(cid, n, s, grams, prefix) of sets (cid, n, grams) that may link: s of the n-grams are others' too, the prefix is by rarity."""
+    dealt = stored(sets.mapInArrow(_deal(_from_sets, blocks, True), _DEALT_SQL), "dealt")
+    met = dealt.where("kind = 0").groupBy("block").applyInArrow(_meet(True), _DEALT_SQL)
+    return met.unionByName(dealt.where("kind = 1")).groupBy("chunk").applyInArrow(_prefixes(num, den, blocks), "cid long, n long, s long, grams binary, prefix binary")
+
+
+def _prefix_rows(num: int, den: int):
+    """(gram, cid, n, s, place, small) for each n-gram of (cid, n, s, prefix); n-grams that nobody else has come before the first."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cid, n, s = (batch.column(i).to_numpy() for i in (0, 1, 3))
-            probe = np.where(s >= -(-n * num // den), n - -(-n * num // den) + 1, 0)
-            least = -(-2 * n * num // (num + den))
-            index = np.where(s >= least, n - least + 1, 0)
-            grams = [np.frombuffer(x.as_buffer(), np.int64)[:p] for x, p in zip(batch.column(2), probe, strict=True)]
+            cid, n, s = (batch.column(i).to_numpy() for i in range(3))
+            grams = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(3)]
             p = np.array([len(x) for x in grams], np.int64)
             if not p.sum():
                 continue
-            place = np.arange(p.sum()) - np.repeat(np.cumsum(p) - p, p)
+            place = np.arange(p.sum()) - np.repeat(np.cumsum(p) - p, p) + np.repeat(n - s, p)
+            index = n + (2 * n * num // -(num + den)) + 1  # n - ceil(2 n num / (num + den)) + 1
             cols = [np.concatenate(grams), *(np.repeat(x, p) for x in (cid, n, s)), place, place < np.repeat(index, p)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["gram", "cid", "n", "s", "place", "small"])
 
@@ -308,15 +374,17 @@ def link_classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_
     linked = text.where("doc_id is not null")
     grams = every.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-grams // BLOCK_GRAMS))
-    classes = stored(every.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("cid"), F.count(F.lit(1)).alias("copies")), "classes")
+    classes = every.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    classes = stored(classes, "classes")
+    doubled = not classes.groupBy("least").agg(F.count(F.lit(1)).alias("k")).where("k > 1").isEmpty()  # an id with several texts
+    classes = numbered(classes, [F.col(c) for c in ("least", "d1", "d2", "n")], "cid") if doubled else classes.withColumn("cid", F.col("least"))
     counted = stored(shared_counts(linked, _from_text(n), blocks), "shared")
     enough = counted.where(F.expr(f"n > 0 and shared * {den} >= n * {num}")).select("doc_id").distinct()
-    alive = stored(enough.join(classes.select(F.col("cid").alias("doc_id")), "doc_id", "left_semi"), "survivors")
+    alive = stored(enough.join(classes.select(F.col("least").alias("doc_id")), "doc_id", "left_semi"), "survivors")
     sets = set_table(linked.join(small_or_join(alive), "doc_id", "left_semi"), n, True)
-    sets = stored(sets.join(classes.select("d1", "d2", "n", "cid"), ["d1", "d2", "n"]).where("doc_id = cid").select("cid", "n", "grams"), "grams")
-    again = shared_counts(sets, _from_sets, blocks).groupBy("doc_id").agg(F.min("shared").alias("s")).where("s > 0")
-    sets = stored(sets.join(again.withColumnRenamed("doc_id", "cid"), "cid").where(F.expr(f"s * {den} >= n * {num}")).select("cid", "n", "grams", "s"), "grams")
-    prefix = stored(sets.mapInArrow(_prefix(num, den), "gram long, cid long, n long, s long, place long, small boolean"), "prefixes")
+    sets = stored(sets.join(classes.select("d1", "d2", "n", "least", "cid"), ["d1", "d2", "n"]).where("doc_id = least").select("cid", "n", "grams"), "grams")
+    sets = stored(rarest_first(sets, num, den, blocks), "grams")
+    prefix = stored(sets.select("cid", "n", "s", "prefix").mapInArrow(_prefix_rows(num, den), "gram long, cid long, n long, s long, place long, small boolean"), "prefixes")
 
     parts, edges, tested = None, None, None
     for salt, reps in enumerate(ROUNDS):
@@ -342,12 +410,28 @@ def link_classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_
 
     groups = classes.join(parts.withColumnRenamed("node", "cid"), "cid", "left").where("copies > 1 or component is not null")
     groups = groups.select("d1", "d2", "n", F.coalesce("component", "cid").alias("component"))
+    if doubled:
+        groups = groups.join(classes.select(F.col("cid").alias("component"), "least"), "component").select("d1", "d2", "n", F.col("least").alias("component"))
     out = every.join(small_or_join(stored(groups, "groups")), ["d1", "d2", "n"], "left")
     own = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("component"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(own, "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs without those that are linked, directly or by others, to one with a smaller doc_id."""
-    gone = stored(link_classes(docs, n, num, den).where("component_id < doc_id").select(F.col("doc_id").alias("__gone")), "duplicates")
-    return docs.join(small_or_join(gone), docs["doc_id"] == F.col("__gone"), "left_anti")
+    """docs without those that are linked, directly or by others, to one with a smaller doc_id.
+
+    Of rows of equal id and text one stays; rows of equal id and other texts are documents of their own, in
+    order of a hash of the text. Rows with a null id, and texts without words, stay."""
+    key, th = own_name(docs, "key"), own_name(docs, "th")
+    ids = docs.where("doc_id is not null").select(F.col("doc_id").alias(key))
+    again = stored(ids.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key), "again")
+    if again.isEmpty():
+        keyed = docs.withColumn(key, F.col("doc_id"))
+    else:  # a number for each id and text, in order of id
+        t, again = docs.withColumn(th, F.xxhash64("text")), small_or_join(again.withColumnRenamed(key, "doc_id"))
+        t = t.join(again, "doc_id", "left_anti").unionByName(t.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", th]))
+        numbers = numbered(t.where("doc_id is not null").select("doc_id", th), [F.col("doc_id"), F.col(th)], key)
+        keyed = stored(t.join(numbers, ["doc_id", th], "left"), "keyed")
+    linked = link_classes(keyed.select(key, "text"), n, num, den, id_col=key)
+    gone = stored(linked.where("component_id < doc_id").select(F.col("doc_id").alias(key)), "duplicates")
+    return keyed.join(small_or_join(gone), key, "left_anti").select(*docs.columns)
