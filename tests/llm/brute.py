@@ -1,9 +1,13 @@
 """Plain-Python versions of the operators' contracts."""
 
 import hashlib
+import math
 import re
+import struct
 from collections import defaultdict
 
+import xxhash
+
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -104,3 +108,65 @@ def greedy_pieces(word, initial, continuing):
         else:
             return -1
     return n
+
+
+def xx64(*values, seed=42):
+    """Spark's xxhash64 of longs, 32-bit ints (as ("int", v)), strings and nulls, signed."""
+    h = seed
+    for v in values:
+        if v is not None:
+            raw = struct.pack("<i", v[1]) if isinstance(v, tuple) else v.encode() if isinstance(v, str) else struct.pack("<q", v)
+            h = xxhash.xxh64_intdigest(raw, h & (2**64 - 1))
+    return h - 2**64 if h >= 2**63 else h
+
+
+def permutation(n, seed, rounds=6):
+    a = math.isqrt(n - 1) + 1 if n > 1 else 1
+    b = -(-n // a)
+
+    def through(k):
+        x, y, p, q = k // b, k % b, a, b
+        for i in range(1, rounds + 1):
+            x, y, p, q = y, (x + xx64(y, seed, ("int", i)) % p) % p, q, p
+        return x * q + y
+
+    out = []
+    for k in range(n):
+        k = through(k)
+        while k >= n:
+            k = through(k)
+        out.append(k)
+    return out
+
+
+def mix(rows, block_words, shard_slots, bucket_rows, seed=17, epochs=1.5, most=2.0, weights=(5, 2, 1)):
+    """({doc_id: taken}, {(shard, slot): (source, text)}) of rows (doc_id, text, source)."""
+    buckets = max(1, len(rows) // bucket_rows)
+    names = sorted({s for _, _, s in rows}, key=lambda s: (s is None, (s or "").encode()))
+    stream = {s: [] for s in names}
+    place = lambda r: (xx64(r[0], len(words(r[1]))) % buckets, r[0])
+    for doc, text, source in sorted(rows, key=place):
+        stream[source] += [(doc, w) for w in words(text)]
+    size = {s: len(stream[s]) for s in names}
+    w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    low, high = 0.0, 1e12  # the level at which capped shares add up, by bisection
+    for _ in range(300):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(most * size[s], level * w[s]) for s in names) < epochs * sum(size.values()) else (low, level)
+    blocks = {s: -(-size[s] // block_words) for s in names}
+    want = {s: min(2 * blocks[s], round(min(most * size[s], high * w[s]) * blocks[s] / size[s])) if size[s] else 0 for s in names}
+    cards = [s for s in names for _ in range(want[s])]
+    n = max(len(cards) // bucket_rows, 1)
+    hashes = [xx64(("int", seed), i) for i in range(len(cards))]
+    order = sorted(range(len(cards)), key=lambda i: (hashes[i] % n, hashes[i], i))
+    perm = {s: permutation(blocks[s], xx64(s, ("int", seed))) for s in names if blocks[s]}
+    turn, taken, slots = dict.fromkeys(names, 0), {r[0]: 0 for r in rows}, {}
+    for at, card in enumerate(order):
+        s = cards[card]
+        block = perm[s][turn[s] % blocks[s]]
+        turn[s] += 1
+        part = stream[s][block * block_words : (block + 1) * block_words]
+        for doc, _ in part:
+            taken[doc] += 1
+        slots[divmod(at, shard_slots)] = (s, " ".join(x for _, x in part))
+    return taken, slots

@@ -5,6 +5,8 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
+from tidelode.llm.common import count_words
+
 DIR = "/root/testdata/sf0.001"
 
 
@@ -19,10 +21,15 @@ def test_stages(spark, tmp_path):
         out = spark.read.parquet(path)
         if name != "mix":
             assert out.columns == docs.columns
-        else:
-            assert out.agg(F.max(F.col("taken") - 2 * F.col("size"))).first()[0] <= 0
-        assert 0 < out.count() <= n
-        docs, n = out, out.count()
+            assert 0 < out.count() <= n
+            docs, n = out, out.count()
+    # the mix: every slot's words are words of its documents, about one and a half times all words
+    assert out.columns == ["shard", "slot", "source", "doc_ids", "text"]
+    assert out.groupBy("shard", "slot").count().where("count > 1").isEmpty()
+    words, size = out.agg(F.sum(count_words(F.col("text")))).first()[0], docs.agg(F.sum(count_words(F.col("text")))).first()[0]
+    assert 1.4 * size < words < 1.6 * size
+    each = out.select("text", F.explode("doc_ids").alias("doc_id")).groupBy("doc_id").count()
+    assert each.join(docs, "doc_id", "left_anti").isEmpty()
 
 
 def test_pipeline_is_registered():

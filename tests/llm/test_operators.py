@@ -462,8 +462,27 @@ def test_mix_of_nothing(spark):
 def test_permutations_are_permutations(spark):
     for n in (1, 2, 3, 30, 97, 1000, 4096):
         df = spark.range(n).withColumn("n", F.lit(n).cast("long")).withColumn("seed", F.xxhash64(F.lit(n)))
-        df = df.withColumn("step", mixing._coprime_step(F.col("n"), F.col("seed")))
-        assert {r[0] for r in df.select(mixing.permuted(F.col("id"), F.col("n"), F.col("step"), F.col("seed"))).collect()} == set(range(n))
+        got = [r[0] for r in df.orderBy("id").select(mixing.permuted(F.col("id"), F.col("n"), F.col("seed"))).collect()]
+        assert sorted(got) == list(range(n)) and got == brute.permutation(n, brute.xx64(("int", n)))
+    steps = {(b - a) % n for a, b in zip(got, got[1:], strict=False)}
+    assert len(steps) > n / 2  # an affine map has one step; of n random ones 63 % differ
+    up = sum(a < b for a, b in zip(got, got[1:], strict=False))
+    assert abs(up - n / 2) < 5 * (n / 12) ** 0.5
+
+
+def test_mix_matches_brute_force(spark, monkeypatch):
+    """Every step again in plain Python, with the same hashes: what is taken, and the text of each slot."""
+    monkeypatch.setattr(mixing, "SLOTS_PER_SHARD", 16)
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 20)
+    rng = random.Random(11)
+    rows = [(i, " ".join(f"d{i}w{j}" for j in range(rng.randrange(0, 90))), rng.choice(["a", "b", "b", "b", "ü", None])) for i in range(150)]
+    m = mixing.Mix(spark.createDataFrame(rows, DOCS + ", source string"), block_words=16)
+    taken, slots = brute.mix(rows, 16, 16, 20)
+    assert {r["doc_id"]: r["taken"] for r in m.taken().collect()} == taken
+    got = {(r["shard"], r["slot"]): (r["source"], r["text"]) for r in m.texts().collect()}
+    assert got == slots
+    for r in m.texts().collect():
+        assert r["doc_ids"] == list(dict.fromkeys(int(w[1:].split("w")[0]) for w in r["text"].split()))
 
 
 # quality
