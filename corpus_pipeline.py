@@ -1,7 +1,12 @@
 """A corpus pipeline over documents: quality, line dedup, near duplicates, decontamination, mixing.
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before kept, and returns the
-columns of documents; the last returns the mix: each document with the words that are taken of it.
+columns of documents; the last returns the mix itself: texts of equal length, in shards.
+
+Cases, for every stage: null and empty texts are documents (the classifier judges them like any other,
+line dedup keeps them, they link with nothing, contain nothing and add nothing to the mix); null ids and
+sources are allowed; of rows of equal id and text near_duplicates keeps one, the other stages treat
+them alike; no rows give no rows. Columns of other names pass through, but for the mix.
 """
 
 from __future__ import annotations
@@ -40,8 +45,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken: the words the mix takes of each document."""
-    return mixing.Mix(docs).taken()
+    """(shard, slot, source, doc_ids, text): blocks of 256 words and the documents they are of, in drawn order."""
+    return mixing.Mix(docs).texts()
 
 
 STAGES = [
