@@ -63,6 +63,25 @@ def test_exact_dedup_appends_what_is_new(spark):
     assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning(digest") <= 1  # none on the index side
 
 
+def test_exact_dedup_counts_over_batches(spark):
+    index = exact_dedup.DigestIndex(spark, "t_counts", 4)
+    exact_dedup.dedup(docs_of(spark, [(5, "a b"), (5, "a b"), (6, "c")]), index)
+    rows = sorted(map(tuple, exact_dedup.dedup(docs_of(spark, [(5, "a b"), (7, "a  b"), (8, "d")]), index).drop("text_sha256").collect()))
+    assert rows == [(5, 5, 4, False), (7, 5, 4, False), (8, 8, 1, True)]
+    before = {t.name for t in spark.catalog.listTables()}
+    exact_dedup.dedup(docs_of(spark, ODD)).count()
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_hot_keys_are_spread(spark):
+    rows = spark.range(5000).select("id", F.when(F.col("id") < 3000, 1).when(F.col("id") < 3010, None).otherwise(F.col("id") % 100 + 2).cast("long").alias("k"))
+    table = rows.where("k is not null and k <> 50").groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("v", F.col("k") * 10)
+    for how in ("inner", "left"):
+        got = common.join_spread(rows, table, ["k"], ["v"], "n", ["id"], how)
+        want = rows.join(table.select("k", "v"), "k", how)
+        assert sorted(map(str, got.select("id", "k", "v").collect())) == sorted(map(str, want.select("id", "k", "v").collect()))
+
+
 # decontamination
 
 
@@ -91,6 +110,14 @@ def test_decontaminate_in_blocks_and_odd_rows(spark, monkeypatch):
     assert decontaminate.decontaminate(docs.limit(0), items).count() == 0
 
 
+def test_decontaminate_keeps_every_row(spark):
+    items = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "x y")], "item_id long, text string")
+    rows = [(1, "x y"), (1, "x y"), (1, "other"), (None, "x y"), (2, None)]
+    got = sorted((tuple(r) for r in decontaminate.decontaminate(docs_of(spark, rows), items).collect()), key=str)
+    hit = lambda i: (i, 2, 2, 1, ["2"], True)
+    assert got == sorted([hit(1), hit(1), hit(None), (1, 1, 0, 0, [], False), (2, 0, 0, 0, [], False)], key=str)
+
+
 # line dedup
 
 
@@ -508,6 +535,16 @@ def test_quality_learns_and_scores_odd_rows(spark):
     assert again == pytest.approx(got, abs=1e-9)
 
 
+def test_quality_of_held_out_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    scored, name = quality.score_documents(docs.select("doc_id", "text"), labels)
+    rows = scored.where(quality.held_out(F.col("doc_id"))).join(labels.where("quality is not null"), "doc_id").select(name, "quality").collect()
+    good, bad = ([r[0] for r in rows if r[1] == q] for q in (1, 0))
+    assert len(good) > 30 and len(bad) > 5
+    assert sum((r[0] >= quality.THRESHOLD) == bool(r[1]) for r in rows) / len(rows) >= 0.95
+    assert sum((a > b) + (a == b) / 2 for a in good for b in bad) / (len(good) * len(bad)) >= 0.98
+
+
 def test_quality_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     out, name = quality.score_documents(docs_of(spark, ODD), none)
@@ -524,5 +561,34 @@ def test_held_out_is_crc32(spark):
     assert got == {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in range(200)}
 
 
+CLASH = ["key", "th", "id", "n", "w", "rows", "salt", "gone", "counts", "listed_url", "listed_rule", "page", "score", "start", "__gone", "__url", "__rule", "__said", "__counts", "block", "size", "copies"]
+
+
+@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10"])
+def test_clashing_names(spark, name):
+    """Columns of one's own, whatever their names, change nothing."""
+    more = lambda df: df.withColumns({c: F.lit("mine") for c in CLASH if c not in df.columns})
+    docs = spark.createDataFrame([(1, "a b c d", "s"), (2, "a b c d", None), (3, None, "s")], DOCS + ", source string")
+    items = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    pages = spark.createDataFrame([(1, "http://a.com/x", "h"), (2, None, "h")], "page_id long, url string, html string")
+    rules = spark.createDataFrame([("a.com", "/", "block")], "host string, path string, verdict string")
+    chats = spark.createDataFrame([(1, 0, "user", "a")], "conv_id long, turn long, role string, text string")
+
+    def archive(df):
+        folder = warc.archive_folder(spark)
+        return warc.read_records(warc.write_archive(df, folder), folder)
+
+    run, df = {
+        "op1": (lambda d: decontaminate.drop_contaminated(d, items), docs), "op2": (lambda d: quality.keep_good(d, labels), docs), "op3": (lambda d: url_filter.judge(d, rules), pages),
+        "op4": (lambda d: line_dedup.dedup_lines(d)[0], docs), "op5": (lambda d: chat_format.format_chats(chat_format.events_of(d)), chats), "op6": (token_counts.count_tokens, docs),
+        "op7": (ngram_join.keep_one, docs), "op8": (archive, pages), "op9": (lambda d: mixing.Mix(d).taken(), docs), "op10": (exact_dedup.dedup, docs),
+    }[name]
+    want, got = run(df), run(more(df))
+    names = [c for c in want.columns if c in got.columns]
+    assert set(names) >= set(want.columns) - {"n_lines", "n_deleted"}
+    assert sorted(map(str, got.select(*names).collect())) == sorted(map(str, want.select(*names).collect()))
+
+
 def test_sha256_of_empty_list():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,10 +23,12 @@ _own: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    Only a session that has none, as in tests, gets a local temporary folder."""
+    Only a local session that has none, as in tests, gets a temporary folder; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="tidelode-")
@@ -77,22 +81,27 @@ def small_or_join(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 HOT_SHARE = 1024
 
 
-def join_spread(rows: DataFrame, table: DataFrame, by: list[str], values: list[str], n: str, spread: list[str]) -> DataFrame:
-    """rows joined to table, a stored table of one row for each key, whose n tells how many of rows have it.
+def join_spread(rows: DataFrame, table: DataFrame, by: list[str], values: list[str], n: str, spread: list[str], how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) to table, a stored table of one row for each key, whose n tells how many of rows have it.
 
-    Hot keys come by a broadcast of at most HOT_SHARE rows; their rows are dealt by the columns of spread, so
-    that no task gets more than its share of one key. by and values are no null in table."""
+    Hot keys come by a broadcast of at most HOT_SHARE rows; their rows, and those with a null key, are dealt
+    by the columns of spread, so that no task gets more than its share of one key. In table by and the
+    first of values aren't null; rows has no columns of the names that are made here."""
     total, most = table.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first()
-    if most * HOT_SHARE <= total:
+    if most * HOT_SHARE <= total and how == "inner":
         return rows.join(table.select(*by, *values), by)
     hot = table.where(F.col(n) * HOT_SHARE > total).select(*by, *[F.col(v).alias(f"hot_{v}") for v in values])
     rows = rows.join(F.broadcast(hot), by, "left")
     own = F.pmod(F.xxhash64(*spread), F.lit(1 << 30)) + 1
-    rows = rows.withColumn("salt", F.when(F.col(f"hot_{values[0]}").isNull(), 0).otherwise(own).cast("long"))
+    cold_row = F.col(f"hot_{values[0]}").isNull() & ~reduce(Column.__or__, [F.col(c).isNull() for c in by])
+    rows = rows.withColumn("salt", F.when(cold_row, 0).otherwise(own).cast("long"))
     # least(n, 0) is 0, but no literal, which would be taken out of the join's keys
     cold = table.where(F.col(n) * HOT_SHARE <= total).select(*by, *values, F.least(F.col(n), F.lit(0)).cast("long").alias("salt"))
     out = rows.join(cold, [*by, "salt"], "left")
-    out = out.withColumns({v: F.coalesce(f"hot_{v}", v) for v in values}).where(F.col(values[0]).isNotNull())
+    is_hot = F.col(f"hot_{values[0]}").isNotNull()
+    out = out.withColumns({v: F.when(is_hot, F.col(f"hot_{v}")).otherwise(F.col(v)) for v in values})
+    if how == "inner":
+        out = out.where(F.coalesce(values[0], values[0]).isNotNull())
     return out.drop("salt", *[f"hot_{v}" for v in values])
 
 

@@ -11,8 +11,8 @@ Windows are broadcast in blocks of at most BLOCK_ROWS; a benchmark of more takes
 the documents for each block. A window whose rarest shingle occurs nowhere is dropped beforehand.
 
 Cases: null and empty texts have no words; an item without words has no window; equal windows of
-several items count for all of them; rows of equal doc_id count as one document, with the hits of
-all and the words of the longest. A null doc_id is a document as well. No items leave everything
+several items count for all of them; every row is a document of its own, also one of equal doc_id or
+with a null one. No items leave everything
 clean. Other columns are ignored.
 """
 
@@ -43,14 +43,20 @@ def item_windows(items: DataFrame, window: int, id_col: str = "item_id", text_co
     return w.select("item_id", F.md5(F.array_join("win", " ")).alias("wid"), "win").distinct()
 
 
-def _places(df: DataFrame, words: str, sizes: list[int], outer: bool) -> DataFrame:
-    """df with a row for each place p of its words and each shingle size: p, key (null: no shingle there)."""
-    zipped = F.arrays_zip(F.col(words).alias("a"), F.slice(words, 2, F.greatest(F.size(words), F.lit(1))).alias("b"), F.slice(words, 3, F.greatest(F.size(words), F.lit(1))).alias("c"))
-    explode = F.posexplode_outer if outer else F.posexplode
-    rows = df.select("*", explode(zipped).alias("p", "z"))
+def _places(df: DataFrame, words: str, sizes: list[int], with_rows: bool) -> DataFrame:
+    """df with a row for each place p of its words and each shingle size: p, key (null: no shingle there).
+
+    with_rows: also a row with p -1 and no key for each row of df."""
+    padded = lambda w: F.concat(F.array(F.lit(None).cast("string")), w) if with_rows else w
+    later = lambda k: F.slice(words, k, F.greatest(F.size(words), F.lit(1)))
+    zipped = F.arrays_zip(padded(F.col(words)).alias("a"), padded(later(2)).alias("b"), padded(later(3)).alias("c"))
+    rows = df.select("*", F.posexplode(zipped).alias("p", "z"))
+    if with_rows:
+        rows = rows.withColumn("p", F.col("p") - 1)
     firsts = [F.col(f"z.{x}") for x in rows.schema["z"].dataType.fieldNames()]
-    keys = [F.when(F.col("p") + k <= F.size(words), F.xxhash64(*firsts[:k])) for k in sizes]
-    rows = rows.withColumn("key", keys[0] if len(keys) == 1 else F.explode(F.array(*keys)))
+    keys = [F.when((F.col("p") >= 0) & (F.col("p") + k <= F.size(words)), F.xxhash64(*firsts[:k])) for k in sizes]
+    many = F.when(F.col("p") >= 0, F.array(*keys)).otherwise(F.array(F.lit(None).cast("long")))
+    rows = rows.withColumn("key", keys[0] if len(keys) == 1 else F.explode(many))
     return rows.drop("z")
 
 
@@ -83,19 +89,17 @@ def _blocks(df: DataFrame) -> list[DataFrame]:
 
 
 def hits(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, start, n, wid): a row for each occurrence, and one with null wid for each document."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
+    """(doc_id, th, n_words, start, n, wid): a row for each occurrence, and one with null wid for each row of docs."""
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), words_of(F.col(text_col)).alias("words"))
     sizes = [r[0] for r in windows.select(F.least(F.size("win"), F.lit(SHINGLE)).alias("k")).distinct().orderBy("k").collect()] or [SHINGLE]  # SHINGLE values at most
     found = []
     for block in _blocks(stored(_prefixes(docs, windows, sizes), "prefixes")):
-        rows = _places(docs, "words", sizes, True).join(F.broadcast(block), "key", "left")
+        rows = _places(docs, "words", sizes, not found).join(F.broadcast(block), "key", "inner" if found else "left")
         start = F.col("p") - F.col("off")
         fits = F.col("wid").isNotNull() & (start >= 0) & (start + F.col("n") <= F.size("words"))
         hit = F.when(fits, F.slice("words", F.when(fits, start + 1).otherwise(1), F.coalesce("n", F.lit(0))) == F.col("win")).otherwise(False)
-        rows = rows.select("doc_id", F.size("words").alias("n_words"), "p", hit.alias("hit"), start.alias("start"), "n", "wid")
-        rows = rows.where(F.col("hit") | (F.coalesce("p", F.lit(0)) == 0))
-        clear = lambda c: F.when(F.col("hit"), F.col(c)).alias(c)
-        found.append(rows.select("doc_id", "n_words", clear("start"), clear("n"), clear("wid")))
+        rows = rows.select("doc_id", "th", F.size("words").alias("n_words"), "p", hit.alias("hit"), start.alias("start"), "n", "wid")
+        found.append(rows.where(F.col("hit") | (F.col("p") < 0)).drop("p", "hit"))
     return reduce(DataFrame.unionByName, found)
 
 
@@ -103,28 +107,26 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
     """A row for each document: doc_id, n_words, n_hit, n_items, item_ids (sorted as strings), contaminated."""
     windows = stored(item_windows(items, window), "windows")
     all_rows = stored(hits(docs, windows, id_col, text_col), "hits")
-    hit = all_rows.where("wid is not null")
-    spans = hit.select("doc_id", "start", (F.col("start") + F.col("n")).alias("end")).distinct()
-    before = Window.partitionBy("doc_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    hit, doc = all_rows.where("wid is not null"), ["doc_id", "th"]
+    spans = hit.select(*doc, "start", (F.col("start") + F.col("n")).alias("end")).distinct()
+    before = Window.partitionBy(*doc).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     new = F.greatest(F.col("end") - F.greatest(F.col("start"), F.coalesce(F.max("end").over(before), F.lit(0))), F.lit(0))
-    covered = spans.select("doc_id", new.alias("new")).groupBy("doc_id").agg(F.sum("new").alias("n_hit"))
+    covered = spans.select(*doc, new.alias("new")).groupBy(*doc).agg(F.sum("new").alias("n_hit"))
     owners = small_or_join(windows.select("wid", F.col("item_id").cast("string").alias("item")))
-    ids = hit.select("doc_id", "wid").distinct().join(owners, "wid").groupBy("doc_id").agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
-    sizes = all_rows.groupBy("doc_id").agg(F.max("n_words").alias("n_words"))
-    parts = [
-        sizes.select("doc_id", "n_words", F.lit(None).cast("long").alias("n_hit"), F.lit(None).cast("array<string>").alias("item_ids")),
-        covered.select("doc_id", F.lit(None).cast("int").alias("n_words"), "n_hit", F.lit(None).cast("array<string>").alias("item_ids")),
-        ids.select("doc_id", F.lit(None).cast("int").alias("n_words"), F.lit(None).cast("long").alias("n_hit"), "item_ids"),
-    ]
-    out = reduce(DataFrame.unionByName, parts).groupBy("doc_id").agg(F.max("n_words").alias("w"), F.max("n_hit").alias("h"), F.max("item_ids").alias("i"))
+    ids = hit.select(*doc, "wid").distinct().join(owners, "wid").groupBy(*doc).agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
+    sizes = all_rows.where("wid is null").groupBy(*doc, "n_words").agg(F.count(F.lit(1)).alias("copies"))
+    parts = {"n_words": "int", "copies": "long", "n_hit": "long", "item_ids": "array<string>"}
+    whole = [df.select(*doc, *[F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in parts.items()]) for df in (sizes, covered, ids)]
+    out = reduce(DataFrame.unionByName, whole).groupBy(*doc).agg(*[F.max(c).alias(c) for c in parts])
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     none = F.array().cast("array<string>")
     return out.select(
         "doc_id",
-        F.col("w").cast("long").alias("n_words"),
-        F.coalesce("h", F.lit(0)).cast("long").alias("n_hit"),
-        F.size(F.coalesce("i", none)).cast("long").alias("n_items"),
-        F.coalesce("i", none).alias("item_ids"),
-        (F.coalesce("h", F.lit(0)) > 0).alias("contaminated"),
+        F.col("n_words").cast("long").alias("n_words"),
+        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.size(F.coalesce("item_ids", none)).cast("long").alias("n_items"),
+        F.coalesce("item_ids", none).alias("item_ids"),
+        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
 
 
@@ -132,5 +134,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -
     """docs without those that contain a window of an item; rows of equal id and other texts are told apart."""
     key = own_name(docs, "key")
     keyed = docs.withColumn(key, F.struct("doc_id", F.xxhash64("text").alias("th")))
-    gone = stored(decontaminate(keyed, items, window, id_col=key).where("contaminated").select(F.col("doc_id").alias("__gone")), "contaminated")
-    return keyed.join(small_or_join(gone, BROADCAST_ROWS), keyed[key].eqNullSafe(F.col("__gone")), "left_anti").drop(key)
+    gone = stored(decontaminate(keyed, items, window, id_col=key).where("contaminated").select(F.col("doc_id").alias(key)).distinct(), "contaminated")
+    return keyed.join(small_or_join(gone, BROADCAST_ROWS), key, "left_anti").select(*docs.columns)  # a struct is never null

@@ -1,8 +1,9 @@
 """Exact dedup: a persistent digest index, bucketed and sorted by digest, and a sort-merge anti-join.
 
-The index is a bucketed table with one row per distinct text seen so far. A new batch is reduced to
-one row per digest (partial aggregation takes hot texts down before any shuffle), joined against the
-index by a sort-merge anti-join whose index side needs no exchange, and what is new is appended.
+The index is a bucketed table of the texts seen so far. A new batch is reduced to one row per digest
+(partial aggregation takes hot texts down before any shuffle), joined against the index by a sort-merge
+anti-join whose index side needs no exchange, and what is new is appended; so are the counts of what
+isn't. Texts that are hot in the batch get their verdict by a broadcast.
 
 Cases: null text counts as empty; all empty texts are equal. Rows with the same id and text are
 repeats of one row: they count in group_size, and exactly one of them can be kept. A null id is
@@ -17,10 +18,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, delete_at_exit, stored
-
-#: A text held by more than one in so many rows is hot; there are at most as many hot texts.
-HOT_SHARE = 1024
+from .common import SPACES, delete_at_exit, join_spread, scratch_path, shared_dir, stored
 
 
 def digest_of(text: Column) -> Column:
@@ -29,33 +27,46 @@ def digest_of(text: Column) -> Column:
 
 
 class DigestIndex:
-    """Persistent table (digest, keep_id, n_rows), bucketed and sorted by digest.
+    """Persistent table (digest, keep_id, n_rows, batch), bucketed and sorted by digest.
 
-    name: a table of the session's catalog; it is created if it isn't there. n_rows counts the rows
-    of the batch that brought the text."""
+    name: a table of the session's catalog, with its files under path (the shared folder if none is
+    given); it is created if it isn't there. Of each text there is one row with keep_id, from the batch
+    that brought it, and one with keep_id -1 and batch null for each later batch that has it again."""
 
-    def __init__(self, spark: SparkSession, name: str, buckets: int | None = None):
-        self.spark, self.name = spark, name
+    def __init__(self, spark: SparkSession, name: str, buckets: int | None = None, path: str | None = None):
+        self.spark, self.name, self.path = spark, name, path or f"{shared_dir(spark)}/{name}"
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         if not spark.catalog.tableExists(name):
-            self._append(spark.createDataFrame([], "digest binary, keep_id long, n_rows long"))
+            self._append(spark.createDataFrame([], "digest binary, keep_id long, n_rows long, batch string"))
 
     def _append(self, rows: DataFrame) -> None:
         (
-            rows.repartition(self.buckets, "digest").write.mode("append").format("parquet")
+            rows.repartition(self.buckets, "digest").write.mode("append").format("parquet").option("path", self.path)
             .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
         )
 
-    def table(self) -> DataFrame:
-        return self.spark.table(self.name)
+    def _brought(self) -> DataFrame:
+        return self.spark.table(self.name).where("batch is not null")
 
-    def add(self, rows: DataFrame) -> DataFrame:
-        """rows: (id, digest, n), n equal rows each. Appends the texts that are new and returns them."""
-        groups = rows.groupBy("digest").agg(F.min("id").alias("keep_id"), F.sum("n").alias("n_rows"))
-        fresh = stored(groups.hint("merge").join(self.table(), "digest", "left_anti"), "fresh")
-        self._append(fresh)
+    def table(self) -> DataFrame:
+        """(digest, keep_id, n_rows, batch): a row for each text, n_rows over all batches."""
+        first = lambda c: F.max(F.when(F.col("batch").isNotNull(), F.col(c))).alias(c)
+        return self.spark.table(self.name).groupBy("digest").agg(first("keep_id"), F.sum("n_rows").alias("n_rows"), first("batch"))
+
+    def add(self, rows: DataFrame, batch: str | None = None) -> DataFrame:
+        """rows: (id, digest, n), n equal rows each. Appends the texts that are new and returns them; of others the count."""
+        groups = stored(rows.groupBy("digest").agg(F.min("id").alias("keep_id"), F.sum("n").alias("n_rows")), "groups")
+        fresh = stored(groups.hint("merge").join(self._brought(), "digest", "left_anti"), "fresh")
+        again = groups.hint("merge").join(fresh.select("digest"), "digest", "left_anti")
+        again = stored(again.select("digest", F.lit(-1).cast("long").alias("keep_id"), "n_rows", F.lit(None).cast("string").alias("batch")), "again")
+        self._append(fresh.withColumn("batch", F.lit(batch or uuid.uuid4().hex)).unionByName(again))
         return fresh
 
+    def forget(self) -> None:
+        """Drop the catalog's entry; the files go with the driver's JVM."""
+        delete_at_exit(self.spark, self.path)
+        self.spark.sql(f"DROP TABLE {self.name}")
+
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, digest, n): one row per distinct id and text, n the times it occurs."""
@@ -65,42 +76,27 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
-def attach(rows: DataFrame, index: DataFrame) -> DataFrame:
-    """rows (id, digest, n) with keep_id and n_rows of their text.
-
-    Hot texts come by a broadcast of at most HOT_SHARE rows, all others by a sort-merge join, so no
-    task gets more than its share of one text."""
-    total = index.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
-    hot = index.where(F.col("n_rows") * HOT_SHARE > F.lit(total)).select(
-        "digest", F.col("keep_id").alias("hot_id"), F.col("n_rows").alias("hot_n")
-    )
-    rows = rows.join(F.broadcast(hot), "digest", "left")
-    # a hot row's key is its own id, so that it meets nothing and spreads evenly
-    key = F.when(F.col("hot_n").isNull(), F.col("digest")).otherwise(F.encode(F.concat(F.lit("#"), F.coalesce(F.col("id"), F.lit(0))), "utf-8"))
-    cold = index.select(F.col("digest").alias("key"), "keep_id", "n_rows")
-    return rows.withColumn("key", key).join(cold, "key", "left").select(
-        "id", "digest", "n", F.when(F.col("hot_n").isNull(), F.col("keep_id")).otherwise(F.col("hot_id")).alias("keep_id"),
-        F.coalesce("hot_n", "n_rows").alias("n_rows"),
-    )
-
-
 def dedup(df: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Verdicts on df, whose new texts go into the index (if none is given, a new one that goes with the driver's JVM).
 
-    Returns a row for each of df's: id_col, keep_id, group_size, kept, text_sha256."""
-    spark = df.sparkSession
+    Returns a row for each of df's: id_col, keep_id, group_size (rows of the text in all batches so far), kept,
+    text_sha256. Only rows of a batch that brought their text can be kept."""
+    spark, batch = df.sparkSession, uuid.uuid4().hex
     own = index is None
-    index = index or DigestIndex(spark, f"tidelode_digests_{uuid.uuid4().hex}")
+    index = index or DigestIndex(spark, f"tidelode_digests_{batch}", path=scratch_path(spark, "digests"))
     rows = stored(digests(df, id_col, text_col), "digests")
-    index.add(rows)
+    index.add(rows, batch)
+    here = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("m"))
+    said = index.table().select("digest", "n_rows", "keep_id", (F.col("batch") == batch).alias("new"))
+    said = stored(here.hint("merge").join(said, "digest"), "said")
     if own:
-        for folder in {f.rsplit("/", 1)[0] for f in index.table().inputFiles()}:
-            delete_at_exit(spark, folder)
-    each = attach(rows, index.table()).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+        index.forget()
+    each = join_spread(rows, said, ["digest"], ["n_rows", "keep_id", "new"], "m", ["id", "digest"])
+    each = each.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     return each.select(
         F.col("id").alias(id_col),
         "keep_id",
         F.col("n_rows").alias("group_size"),
-        (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"),
+        (F.col("new") & F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )

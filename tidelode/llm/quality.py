@@ -14,7 +14,7 @@ its probabilities. Everything else covers all rows and whole texts.
 Cases: null, empty and wordless texts are pooled into zeros and get the score of that. Labels that
 are null or whose document isn't there are ignored; of several labels for a document the least
 counts. Without labels the score is 0.5, with one class only it is that class. Rows with equal doc_id
-each get their score. Other columns pass through.
+each get their score; of their texts one is learnt from. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,7 +85,9 @@ def _words(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
 
 def context_sums(text: DataFrame) -> np.ndarray:
     """BUCKETS x (DIMS + 1) whole numbers over all texts: context vectors, and how often each bucket occurs."""
-    schema = "block int, sums binary"
+    spark = text.sparkSession
+    groups = max(1, min(64, int(spark.conf.get("spark.sql.shuffle.partitions")) // _BLOCKS))
+    schema = "block int, part int, sums binary"
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dims, signs = _index_vectors()
@@ -103,20 +106,24 @@ def context_sums(text: DataFrame) -> np.ndarray:
                         sign.append(signs[j].ravel())
                 total += np.bincount(np.concatenate(at), np.concatenate(sign), BUCKETS * DIMS).astype(np.int64)
         both = np.concatenate((total.reshape(BUCKETS, DIMS), count[:, None]), 1).reshape(_BLOCKS, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(_BLOCKS), pa.int32()), pa.array([x.tobytes() for x in both], pa.binary())], names=["block", "sums"])
+        part = pa.array([TaskContext.get().partitionId() % groups] * _BLOCKS, pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(range(_BLOCKS), pa.int32()), part, pa.array([x.tobytes() for x in both], pa.binary())], names=["block", "part", "sums"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for block, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for block, x in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
                 x = np.frombuffer(x.as_buffer(), np.int64)
                 sums[block] = sums[block] + x if block in sums else x
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["block", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([0] * len(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["block", "part", "sums"])
 
-    parts = text.mapInArrow(gather, schema).repartition(_BLOCKS, "block").mapInArrow(add, schema)
+    parts = text.mapInArrow(gather, schema)
+    if groups > 1:  # as a tree: many tasks' sums meet in groups before
+        parts = parts.repartition(_BLOCKS * groups, "block", "part").mapInArrow(add, schema)
+    parts = parts.repartition(_BLOCKS, "block").mapInArrow(add, schema)
     out = np.zeros((_BLOCKS, BUCKETS // _BLOCKS * (DIMS + 1)), np.int64)
-    for block, sums in parts.collect():  # _BLOCKS rows, 4 MB together
+    for block, _, sums in parts.collect():  # _BLOCKS rows, 4 MB together
         out[block] += np.frombuffer(sums, np.int64)
     return out.reshape(BUCKETS, DIMS + 1)
 
@@ -222,7 +229,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_
 
     # at most train_rows rows are broadcast, and about as many come back
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "text")
-    got = sorted(rows.mapInArrow(pool, "doc_id long, quality int, x binary").toLocalIterator(), key=lambda r: (r[0], bytes(r[2])))
+    rows = rows.mapInArrow(pool, "doc_id long, quality int, x binary").groupBy("doc_id", "quality").agg(F.min("x").alias("x"))  # of equal ids one text
+    got = sorted(rows.toLocalIterator(), key=lambda r: (r[0], bytes(r[2])))
     x = np.array([np.frombuffer(r[2], np.float32) for r in got]).reshape(-1, width)
     net = spark.sparkContext.broadcast(fit_network(x, np.array([r[1] for r in got])))
     name = own_name(docs, "score")

@@ -22,7 +22,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A public byte-level vocabulary: a line for each piece, in base64, and its number.
+from .common import own_name
+
+#: A public byte-level vocabulary: a line for each piece, in base64, and its number. The setting
+#: spark.tidelode.vocabulary names another; the file is read by the driver alone.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 MEMO = 300_000
 _UNKNOWN = 1 << 40
@@ -112,8 +115,9 @@ class _Memo(dict):
         return out
 
 
-def token_counts(spark: SparkSession, text: Column, vocabulary: str = VOCABULARY) -> Column:
+def token_counts(spark: SparkSession, text: Column, vocabulary: str | None = None) -> Column:
     """struct(n_words, n_tokens, n_unknown) of a text column."""
+    vocabulary = vocabulary or spark.conf.get("spark.tidelode.vocabulary", VOCABULARY)
     sent = spark.sparkContext.broadcast(Automaton(*read_vocabulary(vocabulary)))
     memo: list[_Memo] = []
 
@@ -132,10 +136,10 @@ def token_counts(spark: SparkSession, text: Column, vocabulary: str = VOCABULARY
     return count(text)
 
 
-def count_tokens(df: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+def count_tokens(df: DataFrame, text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """df with n_words, n_tokens and n_unknown; columns of these names are replaced."""
     names = ("n_words", "n_tokens", "n_unknown")
     counted = token_counts(df.sparkSession, F.col(text_col), vocabulary)
-    kept = [c for c in df.columns if c.lower() not in names]
-    out = df.select(*kept, counted.alias("__counts"))
-    return out.select(*kept, *[F.col(f"__counts.{n}").alias(n) for n in names])
+    kept, own = [c for c in df.columns if c.lower() not in names], own_name(df, "counts")
+    out = df.select(*kept, counted.alias(own))
+    return out.select(*kept, *[F.col(f"{own}.{n}").alias(n) for n in names])

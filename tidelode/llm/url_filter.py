@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, ascii_lower
+from .common import BROADCAST_ROWS, ascii_lower, join_spread, own_name, stored
 
 MAX_BLOCKS = 1 << 20
 #: Bits set for a key, all in its block.
@@ -71,30 +71,36 @@ def judge(df: DataFrame, rules: DataFrame, url_col: str = "url", default: str =
     rules = rules.select(F.concat("host", "path").alias("key"), F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("chars"), F.col("verdict").alias("said"))
     stats = rules.agg(F.count(F.lit(1)), F.sort_array(F.collect_set("labels")), F.sort_array(F.collect_set("chars"))).first()
     n_rules, labels, chars = stats  # distinct sizes only: at most the labels of a host and the characters of a path
-    urls = df.select(F.col(url_col).alias("u")).where(F.col("u").isNotNull()).distinct()
-    urls = urls.select("u", F.split(url_host(F.col("u")), r"\.").alias("parts"), url_path(F.col("u")).alias("p"))
+    urls = df.select(F.col(url_col).alias("u")).where(F.col("u").isNotNull()).groupBy("u").agg(F.count(F.lit(1)).alias("rows"))
+    urls = urls.select("u", "rows", F.split(url_host(F.col("u")), r"\.").alias("parts"), url_path(F.col("u")).alias("p"))
     ints = "array<int>"
     hosts = F.transform(
         F.filter(F.lit(labels).cast(ints), lambda n: n <= F.size("parts")),
         lambda n: F.array_join(F.slice("parts", F.size("parts") - n + 1, n), "."),
     )
     paths = F.transform(F.filter(F.lit(chars).cast(ints), lambda n: n <= F.length("p")), lambda n: F.substring(F.col("p"), F.lit(1), n))
-    keys = urls.select("u", F.explode(hosts).alias("h"), paths.alias("ps")).select("u", "h", F.explode("ps").alias("q")).select("u", F.concat("h", "q").alias("key"))
+    keys = urls.select("u", "rows", F.explode(hosts).alias("h"), paths.alias("ps")).select("u", "rows", "h", F.explode("ps").alias("q")).select("u", "rows", F.concat("h", "q").alias("key"))
     filt, blocks = bloom_blocks(rules, n_rules)
     possible = (
         keys.withColumn("block", _block(F.col("key"), blocks)).withColumn("mask", _mask(F.col("key")))
         .join(F.broadcast(filt), "block").where(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask"))
-        .select("u", "key")
+        .select("u", "rows", "key")
     )
     listed = rules.select("key", "said")
     hits = possible.join(F.broadcast(listed) if n_rules <= BROADCAST_ROWS else listed.hint("shuffle_hash"), "key")
-    best = hits.groupBy("u").agg(F.max(F.struct(F.length("key").alias("n"), "key", "said")).alias("best"))
-    best = best.select(F.col("u").alias("__url"), F.col("best.key").alias("__rule"), F.col("best.said").alias("__said"))
+    best = hits.groupBy("u").agg(F.max(F.struct(F.length("key").alias("n"), "key", "said")).alias("best"), F.max("rows").alias("rows"))
+    u, rule, said, whole = (own_name(df, x) for x in ("listed_url", "listed_rule", "listed_said", "page"))
+    best = stored(best.select(F.col("u").alias(u), F.col("best.key").alias(rule), F.col("best.said").alias(said), "rows"), "verdicts")
+    pages = df.select(F.col(url_col).alias(u), F.struct(*df.columns).alias(whole))
+    if best.count() <= BROADCAST_ROWS:
+        out = pages.join(F.broadcast(best), u, "left")
+    else:
+        out = join_spread(pages, best, [u], [rule, said], "rows", [u, whole], "left")
     kept = [c for c in df.columns if c.lower() not in ("host", "path", "rule", "verdict")]
-    return df.join(best, df[url_col] == best["__url"], "left").select(
-        *[df[c] for c in kept],
-        F.coalesce(url_host(df[url_col]), F.lit("")).alias("host"),
-        F.coalesce(url_path(df[url_col]), F.lit("")).alias("path"),
-        F.col("__rule").alias("rule"),
-        F.coalesce("__said", F.lit(default)).alias("verdict"),
+    return out.select(
+        *[F.col(f"{whole}.{c}") for c in kept],
+        F.coalesce(url_host(F.col(u)), F.lit("")).alias("host"),
+        F.coalesce(url_path(F.col(u)), F.lit("")).alias("path"),
+        F.col(rule).alias("rule"),
+        F.coalesce(said, F.lit(default)).alias("verdict"),
     )

@@ -4,7 +4,7 @@ Writing: equal payloads of ``least`` bytes or more get one response record, that
 page_id, and a revisit record for each other; smaller payloads are all responses. Each task writes
 its rows as gzip records into files of its own, under names that no other attempt uses, and returns
 their index entries; the index is a stored table, so what it names was written by the attempt that
-counts.
+counts. Files that it doesn't name, of other attempts, are deleted; a folder takes one archive.
 
 Reading: entries of one file and stretch meet in a task, sorted by offset; ranges with little
 between them become one read; each record is unpacked, parsed, and a response's payload held against
@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_path, small_or_join, stored
+from .common import BROADCAST_ROWS, join_spread, scratch_path, stored
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -48,18 +48,25 @@ _SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("file", pa.
 _READ = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long"
 
 
+def record_id(page_id: int | None) -> str:
+    """A page's record has always the same ID, one without page_id has one of its own."""
+    return (uuid.uuid4() if page_id is None else uuid.uuid5(uuid.NAMESPACE_OID, f"page {page_id}")).urn
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None) -> bytes:
     """An uncompressed record; of a revisit (refers_to is given) payload is left out."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http + (b"" if refers_to is not None else payload)
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}"]
-    head.append(f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>")
+    head.append(f"WARC-Record-ID: <{record_id(page_id)}>")
+    if page_id is not None:
+        head.append(f"Page-ID: {page_id}")
     head.append(f"WARC-Date: {DATE}")
     if url is not None:
         head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f%]", lambda m: f"%{ord(m[0]):02X}", url))
     head.append(f"WARC-Payload-Digest: sha1:{digest}")
     if refers_to is not None:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{record_id(refers_to)}>", f"Refers-To-Page-ID: {refers_to}"]
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -70,15 +77,15 @@ def parse(raw: bytes) -> dict:
     fields = dict(line.split(": ", 1) for line in head.decode("utf-8", "surrogatepass").split("\r\n")[1:])
     block = rest[: int(fields["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
-    number = lambda s: int(m[1]) if s and (m := re.search(r"<urn:page:(-?\d+)>", s)) else None
+    number = lambda s: None if s is None else int(s)
     url = fields.get("WARC-Target-URI")
     return {
-        "page_id": number(fields["WARC-Record-ID"]),
+        "page_id": number(fields.get("Page-ID")),
         "url": url and re.sub(r"%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), url),
         "record_type": fields["WARC-Type"],
         "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"),
         "payload_bytes": int(re.search(rb"Content-Length: (\d+)", http)[1]),
-        "refers_to": number(fields.get("WARC-Refers-To")),
+        "refers_to": number(fields.get("Refers-To-Page-ID")),
         "payload": payload,
     }
 
@@ -123,11 +130,24 @@ def write_archive(pages: DataFrame, folder: str, least: int = 0, id_col: str = "
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), body.alias("payload"))
     p = p.select("*", F.octet_length("payload").cast("long").alias("size"), F.sha1("payload").alias("sha1"))
     equal = p.select("page_id", "size", "sha1").where(F.col("size") >= least).groupBy("sha1", "size")
-    equal = stored(equal.agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "payloads")
-    p = p.join(small_or_join(equal), ["sha1", "size"], "left")
+    equal = stored(equal.agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null"), "payloads")
+    if equal.count() <= BROADCAST_ROWS:
+        p = p.join(F.broadcast(equal.drop("n")), ["sha1", "size"], "left")
+    else:  # payloads are moved by digest, those of hot ones by page_id
+        p = join_spread(p, equal, ["sha1", "size"], ["first"], "n", ["page_id", "url"], "left")
     refers_to = F.when(F.col("page_id") != F.col("first"), F.col("first"))
     rows = p.select("page_id", "url", F.when(refers_to.isNull(), F.col("payload")).alias("payload"), refers_to.alias("refers_to"), "size", "sha1")
-    return stored(rows.mapInArrow(_writer(folder), _INDEX), "warc-index")
+    index = stored(rows.mapInArrow(_writer(folder), _INDEX), "warc-index")
+    _delete_unlisted(index, folder)
+    return index
+
+
+def _delete_unlisted(index: DataFrame, folder: str) -> None:
+    """Files of attempts that didn't count go; only names of files come to the driver."""
+    fs, root = pafs.FileSystem.from_uri(folder)
+    found = {f.base_name for f in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)) if f.is_file}
+    for name in found - {r[0] for r in index.select("file").distinct().toLocalIterator()}:
+        fs.delete_file(f"{root}/{name}")
 
 
 def _reader(folder: str, payloads: bool):
