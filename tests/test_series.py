@@ -121,6 +121,62 @@ def test_hold(spark):
             assert len(positions) == len(set(positions)) == h * len(want)
 
 
+def test_hold_over_chunks(spark):
+    rng = random.Random(5)
+    for n, span in ((400, 500), (60, 4000), (3000, 3000)):
+        signals = sorted(rng.sample(range(span), n))
+        s = spark.createDataFrame([("a", p) for p in signals] + [("b", p + 7) for p in signals[::3]], "series_id string, pos long")
+        for h in (0, 3, 8):
+            want = []
+            for name, ps in (("a", signals), ("b", [p + 7 for p in signals[::3]])):
+                last = -(10**9)
+                for p in ps:
+                    if p > last + h:
+                        want.append((name, p))
+                        last = p
+            assert sorted(map(tuple, hold.accept(s, h, chunk=9).collect())) == want
+    dense = spark.range(1_000_000).select(F.lit("a").alias("series_id"), F.col("id").alias("pos"))
+    assert hold.accept(dense, 6).agg(F.count(F.lit(1)), F.max("pos")).first() == (142858, 999999)
+    p = hold.accept(s, 6)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in p and "Python" not in p
+
+
+def test_movement_vectors_by_hand(spark):
+    """The recurrences again, window by window; chunks of a series give what the whole series gives."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = np.cumsum(rng.normal(size=900)) + 50
+    length, settings = 12, dict(normalize_window=30, lookback=4, trend_window=5, alpha=0.2)
+    w = windows.sliding(series(spark, x.tolist()), length)
+    got = {r["pos"]: r["features"] for r in reducers.movement_vectors(w, 16, chunk=1, **settings).collect()}
+    names = ("price_std", "price_mean", "speed_std", "speed_mean", "vol_std")
+    stats, past, moved, last_speed = dict.fromkeys(names, 1.0) | {"price_mean": 0.0, "speed_mean": 0.0}, [], [], None
+    for pos in range(length - 1, len(x)):
+        cur = x[pos - length + 1 : pos + 1]
+        h = np.concatenate(past[-3:]) if past else cur
+        past.append(cur)
+        c = h[1:] - h[:-1]
+        rc = c[-(min(30, len(h)) - 1) :] if len(c) > 30 else c
+        at = np.arange(1, len(rc) + 1)
+        new = dict(zip(names, (c.std() + 1e-10, h[-30:].mean(), (rc / at).std() + 1e-10, np.abs(rc).mean() / at.mean(), np.abs(rc).std() + 1e-10), strict=True))
+        stats = {k: 0.8 * stats[k] + 0.2 * v for k, v in new.items()}
+        line = cur[0] + (cur[-1] - cur[0]) * np.arange(length) / (length - 1)
+        pivots = [0, int(np.abs(line - cur)[1:-1].argmax()) + 1, length - 1] if abs(cur[-1] - cur[0]) >= (cur.max() - cur.min()) * 0.001 else [0, length - 1]
+        mean5 = np.array([cur[max(i - 4, 0) : max(i - 4, 0) + 5].mean() for i in range(length)])
+        trend = np.clip((cur - mean5) / (cur.std() + 1e-10), -1, 1)
+        want, moves = [], list(zip(pivots[:-1], pivots[1:], strict=True))
+        for a, b in moves:
+            d, t = cur[b] - cur[a], b - a
+            size = d / (np.mean(np.abs(moved[-30:])) + 1e-10) if moved else 1.0
+            want += [(d - stats["price_mean"]) / stats["price_std"], t, np.arctan2(d, t) / np.pi, (d / t - stats["speed_mean"]) / stats["speed_std"]]
+            want += [0.0 if last_speed is None else d / t - last_speed, size, np.diff(cur[a : b + 1]).std() / stats["vol_std"], trend[a : b + 1].mean()]
+            last_speed = d / t
+        moved.append(cur[moves[-1][1]] - cur[moves[-1][0]])
+        want += [0.0] * (16 - len(want))
+        assert got[pos] == pytest.approx(want, rel=1e-6, abs=1e-9), pos
+
+
 def test_metrics(spark):
     r = [0.1, -0.05, 0.2, 0.0, -0.1]
     row = metrics.performance(series(spark, r, column="returns"), ["series_id"]).first()

@@ -139,17 +139,17 @@ class MovementState:
         self.n, self.segments = n, n // len(self.names)
         self.normalize_window, self.min_movement, self.trend_window, self.alpha = normalize_window, min_movement, trend_window, alpha
         self.windows: deque[np.ndarray] = deque(maxlen=max(lookback - 1, 1))
-        self.recent: deque[float] = deque(maxlen=100)
+        self.recent: deque[float] = deque(maxlen=normalize_window)  # the last rise of each window
         self.stats = {"price_std": 1.0, "price_mean": 0.0, "speed_std": 1.0, "speed_mean": 0.0, "volatility_std": 1.0, "volatility_mean": 0.0}
         self.last_speed: float | None = None
 
     def _update(self, current: np.ndarray) -> None:
         h = np.concatenate(self.windows) if self.windows else current
-        w = min(self.normalize_window, len(h))
-        change = np.diff(h)[-(w - 1) :] if w > 1 else np.zeros(1)
+        w, every = min(self.normalize_window, len(h)), np.diff(h) if len(h) > 1 else np.zeros(1)
+        change = every[-(w - 1) :] if len(every) > w > 1 else every
         i = np.arange(1, len(change) + 1)
         new = {
-            "price_std": h.std() + EPS, "price_mean": h[-w:].mean(), "speed_std": (change / i).std() + EPS, "speed_mean": np.abs(change).mean() / i.mean(),
+            "price_std": every.std() + EPS, "price_mean": h[-w:].mean(), "speed_std": (change / i).std() + EPS, "speed_mean": np.abs(change).mean() / i.mean(),
             "volatility_std": np.abs(change).std() + EPS, "volatility_mean": np.abs(change).mean(),
         }
         self.stats = {k: (1 - self.alpha) * self.stats[k] + self.alpha * v for k, v in new.items()}
@@ -177,10 +177,14 @@ class MovementState:
             }
             rows = np.column_stack([every[f] for f in self.names])[: self.segments]
             out[: len(rows)] = rows
-            self.recent.extend(rise)
             self.last_speed = float(speed[-1])
+        self.recent.append(float(rise[-1]) if len(rise) else 0.0)
         return [float(v) for v in out.ravel()]
 
+    def memory(self) -> int:
+        """After so many windows, what came before no longer shows in the sixteenth digit."""
+        return max(self.normalize_window, self.windows.maxlen) + int(np.ceil(np.log(1e-18) / np.log(1 - self.alpha)))
+
 
 def dtw_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Dynamic time warping distance of each row of a and the same row of b: root of the least sum of squares."""

@@ -1,27 +1,63 @@
 """Holding periods: of signals closer than a hold, the first is taken and the next hold bars are held.
 
-The choice is sequential in a series and side, but it starts anew after a gap of more than the hold:
-signals fall into runs without such gaps, and each run is folded by itself.
+The choice is sequential in a series and side, but all that a chunk of positions has to know of what
+came before is the first place it may take, one of hold + 1. So each chunk is a map from that place to
+the next chunk's; maps of runs of chunks are composed, the composed maps are followed in order, and
+then every chunk takes its signals by itself. No task has more than a chunk's positions, a run's maps,
+or a map for about a million positions of a series.
+
+Cases: repeated positions count once; positions needn't be dense; no signals give no rows; keys aren't
+null.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelode.operators.ordered import SERIES
 
+#: Positions of a chunk, and chunks of a run.
+CHUNK = 1024
+
+
+def _follow(cells: Column, name: str, before: Column, place: Column) -> Column:
+    """(at, place, taken) after the cells (name, m) in order, from a place after the cell numbered before.
+
+    taken: each cell's number with the place it was entered at. A cell whose forerunner is absent starts at 0."""
+    start = F.struct(before.cast("long").alias("at"), place.cast("int").alias("place"), F.expr("cast(array() as array<struct<at: bigint, place: int>>)").alias("taken"))
+
+    def step(acc: Column, c: Column) -> Column:
+        at = F.when(c[name] == acc["at"] + 1, acc["place"]).otherwise(0)
+        mine = F.array(F.struct(c[name].cast("long").alias("at"), at.alias("place")))
+        return F.struct(c[name].cast("long").alias("at"), F.get(c["m"], at).alias("place"), F.concat(acc["taken"], mine).alias("taken"))
 
-def accept(signals: DataFrame, hold: int, by: tuple[str, ...] = (SERIES,)) -> DataFrame:
+    return F.aggregate(cells, start, step)
+
+
+def accept(signals: DataFrame, hold: int, by: tuple[str, ...] = (SERIES,), chunk: int = CHUNK) -> DataFrame:
     """(by, pos): the signals (by, pos) taken: greedily, each more than hold after the one before."""
-    s = signals.select(*by, "pos").distinct()
-    order = Window.partitionBy(*by).orderBy("pos")
-    s = s.withColumn("__new", (F.col("pos") - F.lag("pos").over(order) > hold).cast("int"))
-    s = s.withColumn("__run", F.sum(F.coalesce("__new", F.lit(1))).over(order))
-    step = lambda acc, p: F.when((F.size(acc) == 0) | (p > F.element_at(acc, -1) + hold), F.concat(acc, F.array(p))).otherwise(acc)
-    runs = s.groupBy(*by, "__run").agg(F.array_sort(F.collect_list("pos")).alias("ps"))
-    taken = F.aggregate("ps", F.expr("cast(array() as array<bigint>)"), step)
-    return runs.select(*by, F.explode(taken).alias("pos"))
+    k = max(chunk, hold + 1)
+    cells = signals.groupBy(*by, F.expr(f"pos div {k}").alias("__c")).agg(F.array_sort(F.collect_set("pos")).alias("__ps"))
+    first = F.col("__c") * k - hold - 1  # as if taken, when the place is 0
+    last = lambda o: F.aggregate("__ps", first + o, lambda acc, p: F.when(p > acc + hold, p).otherwise(acc))
+    places = F.sequence(F.lit(0), F.lit(hold))
+    maps = F.transform(places, lambda o: F.greatest(last(o) - first - k, F.lit(0)).cast("int"))
+    runs = cells.select(*by, "__c", maps.alias("m")).groupBy(*by, F.expr(f"__c div {chunk}").alias("__r"))
+    runs = runs.agg(F.array_sort(F.collect_list(F.struct("__c", "m"))).alias("__cs"))
+    through = F.transform(places, lambda o: _follow(F.col("__cs"), "__c", F.col("__r") * chunk - 1, o))
+    whole = F.transform(through, lambda e: F.when(e["at"] == F.col("__r") * chunk + chunk - 1, e["place"]).otherwise(0))
+    tops = runs.select(*by, "__r", whole.alias("m")).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("__r", "m"))).alias("__rs"))
+    entered = tops.select(*by, F.explode(_follow(F.col("__rs"), "__r", F.lit(-2), F.lit(0))["taken"]).alias("e")).select(*by, F.col("e.at").alias("__r"), F.col("e.place").alias("__o"))
+    inside = runs.join(entered, [*by, "__r"]).select(*by, F.explode(_follow(F.col("__cs"), "__c", F.col("__r") * chunk - 1, F.col("__o"))["taken"]).alias("e"))
+    inside = inside.select(*by, F.col("e.at").alias("__c"), F.col("e.place").alias("__o"))
+
+    def take(acc: Column, p: Column) -> Column:
+        before = F.when(F.size(acc) == 0, F.col("__c") * k - hold - 1 + F.col("__o")).otherwise(F.element_at(acc, -1))
+        return F.when(p > before + hold, F.concat(acc, F.array(p))).otherwise(acc)
+
+    taken = F.aggregate("__ps", F.expr("cast(array() as array<bigint>)"), take)
+    return cells.join(inside, [*by, "__c"]).select(*by, F.explode(taken).alias("pos"))
 
 
 def held(signals: DataFrame, hold: int, by: tuple[str, ...] = (SERIES,)) -> DataFrame:

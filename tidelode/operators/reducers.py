@@ -101,19 +101,26 @@ def pack(vectors: Column, n: int) -> Column:
 
 def movement_vectors(
     df: DataFrame, n_pivots: int, features: tuple[str, ...] | None = None, normalize_window: int = 100, lookback: int = 10,
-    min_movement: float = 0.001, trend_window: int = 20, alpha: float = 0.1, column: str = "window",
+    min_movement: float = 0.001, trend_window: int = 20, alpha: float = 0.1, column: str = "window", chunk: int = 4096,
 ) -> DataFrame:
     """(series_id, pos, features) of windows in order: statistics of earlier windows normalise each one.
 
-    The state is small, but it goes through a whole series: one task for each series."""
+    Exponential forgetting bounds how far back the state goes: chunks of a series are worked on by
+    themselves, after as many windows before them as still count (kernels.MovementState.memory)."""
     settings = dict(n=n_pivots, features=features, normalize_window=normalize_window, lookback=lookback, min_movement=min_movement, trend_window=trend_window, alpha=alpha)
-    kernels.MovementState(**settings)  # checks the settings
+    halo = kernels.MovementState(**settings).memory()  # checks the settings, too
+    chunk = max(chunk, halo)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         state, pdf = kernels.MovementState(**settings), pdf.sort_values("pos")
-        return pd.DataFrame({SERIES: pdf[SERIES], "pos": pdf["pos"], "features": [state.step(np.asarray(w, float)) for w in pdf[column]]})
-
-    return df.select(SERIES, "pos", column).groupBy(SERIES).applyInPandas(run, "series_id string, pos long, features array<double>")
+        rows = [state.step(np.asarray(w, float)) for w in pdf[column]]
+        own = (pdf["pos"] // chunk == key[1]).to_numpy()
+        return pd.DataFrame({SERIES: pdf[SERIES], "pos": pdf["pos"], "features": rows})[own]
+
+    at = F.expr(f"pos div {chunk}")
+    spots = F.array_compact(F.array(at, F.when(F.col("pos") % chunk >= chunk - halo, at + 1)))
+    spread = df.select(SERIES, "pos", column, F.explode(spots).alias("__c"))
+    return spread.groupBy(SERIES, "__c").applyInPandas(run, "series_id string, pos long, features array<double>")
 
 
 def movement_importance(vectors: DataFrame, column: str = "movement") -> DataFrame:
