@@ -83,13 +83,13 @@ def seed_centers(df: DataFrame, k: int, column: str = "features", metric: str =
     return centers
 
 
-def fit_sequential(df: DataFrame, k: int, column: str = "features", metric: str = "euclidean", max_iter: int = 100, seed: int = SEED, tol: float = 1e-8) -> list[list[float]]:
-    """Lloyd's iterations for any metric; an empty cluster keeps its center."""
+def fit_sequential(df: DataFrame, k: int, column: str = "features", metric: str = "euclidean", max_iter: int = 100, seed: int = SEED, tol: float = 1e-8, start: list[list[float]] | None = None) -> list[list[float]]:
+    """Lloyd's iterations for any metric, from start or from drawn centers; an empty cluster keeps its center."""
     if len(df.limit(k).take(k)) < k:
         raise DataError(f"fewer rows than {k} clusters")
     df = df.select(column).persist()
     try:
-        centers = seed_centers(df, k, column, metric, seed)
+        centers = start or seed_centers(df, k, column, metric, seed)
         for _ in range(max_iter):
             new = [list(c) for c in centers]
             for cluster, center in update_centers(assign(df, centers, column, metric), column).collect():  # k rows

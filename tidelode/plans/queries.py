@@ -7,14 +7,17 @@ show.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelode.functions import metrics
+from tidelode.functions import kernels, metrics
 from tidelode.operators import bars, cleaning, cluster, distance, evaluate, features, hold, reducers, scorer, windows
 from tidelode.operators.ordered import SERIES, framed, number_rows
-from tidelode.plans import charts, miner
+from tidelode.plans import charts, miner, registry
 from tidelode.plans.registry import query
+from tidelode.schema import MOVEMENT
 from tidelode.streaming import stability
 
 HOUR = 3600 * 1_000_000
@@ -235,13 +238,14 @@ def rolling_metrics(spark, d):
     return out.select(SERIES, "pos", *[r6(F.col(c)).alias(c) for c in ("rolling_sharpe", "rolling_vol", "rolling_return")])
 
 
-@query("sliding_windows", f"WITH {E_SQL} SELECT series_id, pos, i, x, target FROM (SELECT series_id, pos, value, lag(value, 24 - k) OVER (PARTITION BY series_id, k ORDER BY pos) AS x, k AS i, lead(value) OVER (PARTITION BY series_id, k ORDER BY pos) AS target FROM e, (VALUES (0), (12), (24)) t(k)) WHERE pos >= 24")
-def sliding_windows(spark, d):
-    return sliding_windows_whole(spark, d).where("i in (0, 12, 24)")
+_ALL_OF_WINDOW = (
+    f"WITH {E_SQL} SELECT series_id, pos, i, x, target FROM (SELECT series_id, pos, value, lag(value, 24 - k) OVER (PARTITION BY series_id, k ORDER BY pos) AS x, k AS i, lead(value) OVER (PARTITION BY series_id, k ORDER BY pos) AS target FROM e, (SELECT unnest(range(0, 25)) AS k) t) WHERE pos >= 24"
+)
 
 
-@query("sliding_windows_whole", f"WITH {E_SQL} SELECT series_id, pos, i, x, target FROM (SELECT series_id, pos, value, lag(value, 24 - k) OVER (PARTITION BY series_id, k ORDER BY pos) AS x, k AS i, lead(value) OVER (PARTITION BY series_id, k ORDER BY pos) AS target FROM e, (SELECT unnest(range(0, 25)) AS k) t) WHERE pos >= 24")
-def sliding_windows_whole(spark, d):
+@query("sliding_windows", _ALL_OF_WINDOW)
+@query("sliding_windows_whole", _ALL_OF_WINDOW)
+def sliding_windows(spark, d):
     w = windows.sliding(_events(spark, d), 25, target=True)
     return w.select(SERIES, "pos", "target", F.posexplode("window").alias("i", "x"))
 
@@ -322,16 +326,61 @@ def pip_three_points(spark, d):
     return _each(_windows(spark, d).withColumn("f", reducers.pip(F.col("window"), 3, reducers.DistanceMeasure.VERTICAL)), "f", SERIES, "pos")
 
 
-@query("pip_reduce")
+W25_SQL = W_SQL.replace(f"{LENGTH - 1} PRECEDING", "24 PRECEDING").replace(f"len(x) = {LENGTH}", "len(x) = 25")
+
+
+def _pip_sql(n: int, size: int) -> str:
+    """p{n - 2}: pts, n places (from 0) of important points of w.x, by the sum of distances to both neighbours chosen."""
+    out = [f"p0 AS (SELECT series_id, pos, x, [0, {size - 1}]::BIGINT[] AS pts FROM w)"]
+    for k in range(n - 2):
+        near = f"SELECT *, list_max(list_filter(pts, lambda q: q < i)) AS a, list_min(list_filter(pts, lambda q: q > i)) AS b FROM (SELECT *, unnest(range(1, {size - 1})) AS i FROM p{k}) WHERE NOT list_contains(pts, i)"
+        far = "round(sqrt(pow(a - i, 2) + pow(x[a + 1] - x[i + 1], 2)) + sqrt(pow(b - i, 2) + pow(x[b + 1] - x[i + 1], 2)), 12)"
+        out.append(f"p{k + 1} AS (SELECT series_id, pos, any_value(x) AS x, list_sort(list_append(any_value(pts), arg_max(i, ({far}, -i)))) AS pts FROM ({near}) GROUP BY 1, 2)")
+    return ", ".join(out)
+
+
+@query("pip_reduce", f"WITH {W25_SQL}, {_pip_sql(5, 25)} SELECT series_id, pos, i, {s6('x[pts[i + 1] + 1]')} AS x FROM (SELECT *, unnest(range(0, 5))::INT AS i FROM p3)")
 def pip_reduce(spark, d):
     return _each(_windows(spark, d, 25).withColumn("f", reducers.pip(F.col("window"), 5)), "f", SERIES, "pos")
 
 
-@query("wavelet_reduce")
+def _wavelet_sql(name: str, size: int, top: int, f: str = "u") -> str:
+    """t: the coefficients v at places k of w.x, ranked by size (best); each level written out as sums over borders mirrored."""
+    rec = kernels.FILTERS[name]
+    low, high = rec[::-1], [(-1) ** (k + 1) * c for k, c in enumerate(rec)]
+    width, n, level, source, details = len(rec), size, 0, "x", []
+    ctes = ["c0 AS (SELECT series_id, pos, x FROM w)"]
+    while n >= width - 1 and (size // (width - 1)) >> (level + 1):
+        def at(i: int, n: int = n) -> int:
+            i %= 2 * n
+            return (i if i < n else 2 * n - 1 - i) + 1
+        half = (n + width - 1) // 2
+        taps = lambda filt: "[" + ", ".join(" + ".join(f"({c!r}::DOUBLE) * {source}[{at(2 * k + 1 - j)}]" for j, c in enumerate(filt)) for k in range(half)) + "]"  # noqa: B023, E731
+        level += 1
+        ctes.append(f"c{level} AS (SELECT *, {taps(low)} AS a{level}, {taps(high)} AS d{level} FROM c{level - 1})")
+        details.insert(0, f"d{level}")
+        n, source = half, f"a{level}"
+    every = " || ".join([source, *details])
+    ctes.append(f"u AS (SELECT series_id, pos, unnest(v) AS v, unnest(range(0, len(v))) AS k FROM (SELECT series_id, pos, {every} AS v FROM c{level}))")
+    ctes.append("t AS (SELECT *, row_number() OVER (PARTITION BY series_id, pos ORDER BY round(abs(v), 9) DESC, k) AS best FROM u)")
+    return ", ".join(ctes) + f" SELECT series_id, pos, (row_number() OVER (PARTITION BY series_id, pos ORDER BY k) - 1)::INT AS i, {s6('v')} AS x FROM t WHERE best <= {top}"
+
+
+@query("wavelet_reduce", f"WITH {W25_SQL}, {_wavelet_sql('coif1', 25, 4)}")
 def wavelet_reduce(spark, d):
     return _each(_windows(spark, d, 25).withColumn("f", reducers.wavelet(F.col("window"), 4, "coif1")), "f", SERIES, "pos")
 
 
+@query("wavelet_db2", f"WITH {W25_SQL}, {_wavelet_sql('db2', 25, 4)}")
+def wavelet_db2(spark, d):
+    return _each(_windows(spark, d, 25).withColumn("f", reducers.wavelet(F.col("window"), 4, "db2")), "f", SERIES, "pos")
+
+
+@query("wavelet_sym5", f"WITH {W25_SQL}, {_wavelet_sql('sym5', 25, 4)}")
+def wavelet_sym5(spark, d):
+    return _each(_windows(spark, d, 25).withColumn("f", reducers.wavelet(F.col("window"), 4, "sym5")), "f", SERIES, "pos")
+
+
 @query("mvr_reduce")
 def mvr_reduce(spark, d):
     return _each(reducers.movement_vectors(_windows(spark, d, 25), 16, trend_window=7), "features", SERIES, "pos")
@@ -343,6 +392,16 @@ def movement_features(spark, d):
     return _each(m.select(SERIES, "pos", reducers.pack(F.col("m"), 24).alias("m")), "m", SERIES, "pos")
 
 
+@query("pack_vectors", f"SELECT vec_id, i, {s6('CASE WHEN i < 24 THEN embedding[9 + i]::DOUBLE ELSE 0 END')} AS x FROM (SELECT vec_id, embedding, unnest(range(0, 30))::INT AS i FROM embeddings)")
+def pack_vectors(spark, d):
+    return _each(_samples(spark, d).withColumn("m", reducers.pack(F.col("future"), 30)), "m", "vec_id")
+
+
+@query("movement_importance", f"WITH v AS (SELECT i, var_pop(x) AS v FROM (SELECT unnest(embedding[1:8]::DOUBLE[]) AS x, unnest(range(0, 8)) AS i FROM embeddings) GROUP BY 1) SELECT list_extract({list(MOVEMENT)}, (i + 1)::INT) AS feature, {s6('v / sum(v) OVER ()')} AS importance FROM v")
+def movement_importance(spark, d):
+    return reducers.movement_importance(_samples(spark, d), "features").select("feature", r6(F.col("importance")).alias("importance"))
+
+
 # distances and clusters
 
 _V_SQL = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings), c AS (SELECT vec_id::INT AS cluster, x AS center FROM v WHERE vec_id < 4), d AS (SELECT v.vec_id, label, x, cluster, list_distance(x, center) AS dist FROM v, c)"
@@ -388,13 +447,41 @@ def kmeans_fit(spark, d):
     return cluster.assign(_vectors(spark, d), cluster.fit_kmeans(_vectors(spark, d), 8)).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("distance")).alias("distance"))
 
 
+def _lloyd_sql(steps: int) -> str:
+    """n: each vector's nearest center after so many steps from the vectors 0 to 3, an empty cluster keeping its center."""
+    out = ["v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings)", "c0 AS (SELECT vec_id::INT AS cluster, x AS center FROM v WHERE vec_id < 4)"]
+    near = "SELECT vec_id, any_value(x) AS x, arg_min(cluster, (dist, cluster)) AS cluster, min(dist) AS distance FROM (SELECT vec_id, x, cluster, list_distance(x, center) AS dist FROM v, c{}) GROUP BY 1"
+    for k in range(steps):
+        mean = f"SELECT cluster, list(m ORDER BY i) AS center FROM (SELECT cluster, i, avg(e) AS m FROM (SELECT cluster, unnest(x) AS e, unnest(range(0, len(x))) AS i FROM ({near.format(k)})) GROUP BY 1, 2) GROUP BY 1"
+        out.append(f"c{k + 1} AS (SELECT c{k}.cluster, coalesce(m.center, c{k}.center) AS center FROM c{k} LEFT JOIN ({mean}) m USING (cluster))")
+    return ", ".join([*out, f"n AS ({near.format(steps)})"])
+
+
+@query("lloyd_fit", f"WITH {_lloyd_sql(3)} SELECT cluster, count(*) AS n, {s6('avg(distance)')} AS distance FROM n GROUP BY 1")
+def lloyd_fit(spark, d):
+    v = _vectors(spark, d)
+    centers = cluster.fit_sequential(v, 4, max_iter=3, start=_centers(spark, d))
+    return cluster.assign(v, centers).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("distance")).alias("distance"))
+
+
 @query("sequential_kmeans")
 def sequential_kmeans(spark, d):
     centers = cluster.fit_sequential(_vectors(spark, d), 4, max_iter=10)
     return cluster.assign(_vectors(spark, d), centers).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("distance")).alias("distance"))
 
 
-@query("dtw_distance")
+def _dtw_sql(n: int) -> str:
+    """The warping distance of x and y, n values each, cell by cell."""
+    cells = []
+    for i in range(1, n + 1):
+        for j in range(1, n + 1):
+            before = [f"g{a}_{b}" for a, b in ((i - 1, j - 1), (i - 1, j), (i, j - 1)) if a and b]
+            least = f" + least({', '.join(before)})" if before else ""
+            cells.append(f"pow(x[{i}] - y[{j}], 2){least} AS g{i}_{j}")
+    return f"SELECT series_id, pos, {', '.join(cells)} FROM b WHERE y IS NOT NULL"
+
+
+@query("dtw_distance", f"WITH {W_SQL}, b AS (SELECT series_id, pos, x, lag(x, {LENGTH}) OVER (PARTITION BY series_id ORDER BY pos) AS y FROM w) SELECT series_id, pos, {s6(f'sqrt(g{LENGTH}_{LENGTH})')} AS distance FROM ({_dtw_sql(LENGTH)})")
 def dtw_distance(spark, d):
     w = _windows(spark, d)
     pairs = framed(w, {"before": lambda o: F.lag("window", LENGTH).over(o)}, before=LENGTH).where("before is not null")
@@ -415,11 +502,15 @@ def mpdist_distance(spark, d):
 
 # holding and evaluation
 
-_HOLD = """s AS (SELECT series_id, cluster, pos, row_number() OVER (PARTITION BY series_id, cluster ORDER BY pos) AS i FROM l),
-nx AS (SELECT a.series_id, a.cluster, a.pos, min(b.pos) AS nxt FROM s a LEFT JOIN s b ON a.series_id = b.series_id AND a.cluster = b.cluster AND b.pos > a.pos + 6 AND b.pos <= a.pos + 2000 GROUP BY ALL),
+def _hold_sql(source: str, hold: int) -> str:
+    """acc: the positions that source (series_id, cluster, pos) takes, each with all of hold positions held."""
+    return f"""s AS (SELECT DISTINCT series_id, cluster, pos FROM {source}),
+nx AS (SELECT *, min(pos) OVER (PARTITION BY series_id, cluster ORDER BY pos RANGE BETWEEN {hold + 1} FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM s),
 acc AS (SELECT series_id, cluster, min(pos) AS pos FROM s GROUP BY 1, 2 UNION ALL SELECT acc.series_id, acc.cluster, nx.nxt FROM acc JOIN nx USING (series_id, cluster, pos) WHERE nx.nxt IS NOT NULL),
-hp AS (SELECT series_id, cluster, entry, entry + k AS pos FROM (SELECT series_id, cluster, pos AS entry, unnest(range(1, 7)) AS k FROM acc))"""
-H_SQL = "RECURSIVE " + L_SQL + ", " + _HOLD
+hp AS (SELECT series_id, cluster, entry, entry + k AS pos FROM (SELECT series_id, cluster, pos AS entry, unnest(range(1, {hold} + 1)) AS k FROM acc))"""
+
+
+H_SQL = "RECURSIVE " + L_SQL + ", " + _hold_sql("l", 6)
 
 
 @query("holding_period", f"WITH {H_SQL} SELECT series_id, cluster::INT AS cluster, pos FROM acc")
@@ -461,14 +552,22 @@ def holding_metrics(spark, d):
     return _shown(evaluate.holding_metrics(l, l, 6, 1), "cluster", "side")
 
 
+def _drifting(labels: DataFrame) -> DataFrame:
+    """labels with a tenth of the returns and a drift, so that clusters are worth trading."""
+    return labels.withColumn("returns", F.col("returns") / 10 + 0.01)
+
+
+_DRIFT_METRICS = _HOLD_METRICS.replace("r.returns * side AS returns", "(r.returns / 10 + 0.01::DOUBLE) * side AS returns")
+
+
 @query(
     "cluster_selection",
-    f"""WITH {_HOLD_METRICS}, m AS (SELECT *, compounded / nullif(ulcer, 0) AS martin FROM z), b AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY coalesce(martin, '-infinity'::DOUBLE) DESC, side) AS k FROM m),
+    f"""WITH {_DRIFT_METRICS}, m AS (SELECT *, compounded / nullif(ulcer, 0) AS martin FROM z), b AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY coalesce(martin, '-infinity'::DOUBLE) DESC, side) AS k FROM m),
 t AS (SELECT cluster, side, avg_return, martin, 0.4 * coalesce(martin, 0) + 0.3 * coalesce(sharpe, 0) + 0.2 * coalesce(profit_factor, 0) + 0.1 * coalesce(win_rate, 0) AS score FROM b WHERE k = 1)
 SELECT cluster::INT AS cluster, side, {s6("score")} AS score FROM t WHERE abs(score) > 0.1 AND martin > 0 AND avg_return > 0""",
 )
 def cluster_selection(spark, d):
-    l = _labels(spark, d)
+    l = _drifting(_labels(spark, d))
     best = evaluate.better_side(evaluate.holding_metrics(l, l, 6, 1))
     return evaluate.select_clusters(best, 0.1).select("cluster", "side", r6(F.col("score")).alias("score"))
 
@@ -549,7 +648,7 @@ def pair_quality(spark, d):
     return spans.where(evaluate.pair_quality(F.slice("x", 1, 6), F.slice("x", 7, 6), 0.5, 0.6)).select(SERIES, "pos")
 
 
-@query("window_pairs")
+@query("window_pairs", f"WITH RECURSIVE {L_SQL}, {_PAIR}, kl AS (SELECT series_id, cluster, pos FROM k JOIN l USING (series_id, pos)), {_hold_sql('kl', 11)} SELECT series_id, cluster::INT AS cluster, pos FROM acc")
 def window_pairs(spark, d):
     return evaluate.window_pairs(_labels(spark, d), _events(spark, d), 3, 0.5, 0.6).select(SERIES, "cluster", "pos")
 
@@ -561,7 +660,7 @@ def _samples(spark, d):
     """Each vector's first 8 numbers as features, the next 24 as three future vectors."""
     v = _vectors(spark, d).withColumn("change", F.col("features")[32])
     future = F.array(*[F.slice("features", 9 + 8 * i, 8) for i in range(3)])
-    return v.select("vec_id", future.alias("future"), F.slice("features", 1, 8).alias("features"), "change")
+    return v.select("vec_id", "label", future.alias("future"), F.slice("features", 1, 8).alias("features"), "change")
 
 
 _T_SQL = f"""q AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
@@ -590,6 +689,54 @@ def score_clip(spark, d):
     return _vectors(spark, d).select("vec_id", r6(scorer.clipped((raw - 0.1) / 0.2)).alias("score"))
 
 
+_RIDGE2 = f"""{_T_SQL}, k AS (SELECT sum(x[1] * x[1]) + 0.01::DOUBLE AS a, sum(x[1] * x[2]) AS b, sum(x[2] * x[2]) + 0.01::DOUBLE AS c, sum(x[1] * target) AS p, sum(x[2] * target) AS q FROM t),
+w AS (SELECT (p * c - q * b) / (a * c - b * b) AS w1, (a * q - b * p) / (a * c - b * b) AS w2 FROM k),
+y AS (SELECT vec_id, w1 * x[1] + w2 * x[2] AS raw FROM t, w), z AS (SELECT avg(raw) AS m, stddev_pop(raw) AS s FROM y)"""
+
+
+@query("scorer_fit_pair", f"WITH {_RIDGE2} SELECT vec_id, {s6('least(greatest((raw - m) / (s + 1e-10) / 2, -1), 1)')} AS score FROM y, z")
+def scorer_fit_pair(spark, d):
+    """Two features, of which SQL can solve the normal equations."""
+    s = _samples(spark, d).withColumn("features", F.slice("features", 1, 2))
+    return s.select("vec_id", r6(scorer.MovementScorer.fit(s, d=2).score(F.col("features"))).alias("score"))
+
+
+@query("price_change", f"SELECT vec_id, {s6('embedding[25]::DOUBLE - embedding[9]::DOUBLE')} AS change FROM embeddings")
+def price_change(spark, d):
+    return _samples(spark, d).select("vec_id", r6(scorer.price_change(F.col("future"))).alias("change"))
+
+
+_SCORER = scorer.MovementScorer((0.5, -0.25, 0.125, 1.0, -0.5, 0.25, 0.0, 0.75), 0.01, 0.2)
+
+
+@query("weight_importance", f"SELECT unnest({list(MOVEMENT)}) AS feature, unnest([{', '.join(f'round({abs(w)} / {sum(map(abs, _SCORER.weights))}::DOUBLE, 6) + 0.0' for w in _SCORER.weights)}]) AS importance")
+def weight_importance(spark, d):
+    return spark.createDataFrame(list(_SCORER.importance().items()), "feature string, importance double").withColumn("importance", r6(F.col("importance")))
+
+
+_P_SQL = f"""q AS (SELECT label AS cluster, embedding::DOUBLE[] AS x FROM embeddings), r AS (SELECT cluster, ({' + '.join(f'{w}::DOUBLE * (x[{9 + i}] + x[{17 + i}] + x[{25 + i}])' for i, w in enumerate(_SCORER.weights))}) / 3 AS raw FROM q),
+s AS (SELECT cluster, least(greatest((raw - 0.01::DOUBLE) / (0.2::DOUBLE + 1e-10) / 2, -1), 1) AS score FROM r), m AS (SELECT cluster, avg(score) AS m, stddev_pop(score) AS d FROM s GROUP BY 1),
+g AS (SELECT cluster, m AS mean, median(score) AS median, d AS std, avg(pow((score - m) / d, 3)) AS skew, avg(pow((score - m) / d, 4)) - 3 AS kurtosis,
+  greatest(avg((score > 0)::INT), avg((score < 0)::INT)) AS consistency, stddev_samp(score) / sqrt(count(*)) AS sem, count(*) AS n FROM s JOIN m USING (cluster) GROUP BY cluster, m, d)"""
+_P_NAMES = ("mean", "median", "std", "skew", "kurtosis", "consistency", "sem")
+
+
+def _patterns(spark, d):
+    return evaluate.pattern_performance(_samples(spark, d).withColumnRenamed("label", "cluster"), _SCORER)
+
+
+@query("pattern_performance", f"WITH {_P_SQL} SELECT cluster::INT AS cluster, {', '.join(f'{s6(c)} AS {c}' for c in _P_NAMES)}, n FROM g")
+def pattern_performance(spark, d):
+    return _patterns(spark, d).select("cluster", *[r6(F.col(c)).alias(c) for c in _P_NAMES], "n")
+
+
+@query("pattern_selection", f"WITH {_P_SQL} SELECT cluster::INT AS cluster, {s6('abs(mean) * (1 - std) * consistency')} AS score, CASE WHEN mean > 0 THEN 1 ELSE -1 END AS side FROM g WHERE consistency >= 0.5")
+def pattern_selection(spark, d):
+    """Every p value will do here, since SQL has no Student's t; tests check these."""
+    rows = evaluate.select_patterns(evaluate.with_interval([r.asDict() for r in _patterns(spark, d).collect()]), 1.1, 0.5)  # a row for each cluster
+    return spark.createDataFrame([(r["cluster"], r["score"], r["side"]) for r in rows], "cluster int, score double, side int").withColumn("score", r6(F.col("score")))
+
+
 @query("scorer_fit")
 def scorer_fit(spark, d):
     s = _samples(spark, d)
@@ -655,7 +802,20 @@ def histogram_drift(spark, d):
     return stability.histogram_drift(v).select("batch", r6(F.col("stability")).alias("stability"))
 
 
-@query("stability_report")
+def _exact(name: str) -> str:
+    """The SQL of a query without its rounding."""
+    return re.sub(r"round\((.*?), 6\) \+ 0\.0 AS", r"(\1) AS", registry.ORACLES[name])
+
+
+_OVERALL = "0.25 * (1 - change) + 0.25 * distribution + 0.15 * online + 0.2 * density + 0.15 * bayes"
+_ONLINE = _exact("histogram_drift").replace("unnest(x) AS v FROM q", "list_aggregate(x, 'avg') AS v FROM q")
+
+
+@query(
+    "stability_report",
+    f"""SELECT batch, {", ".join(f"{s6(c)} AS {c}" for c in ("change", "distribution", "online", "density", "bayes"))}, {s6(_OVERALL)} AS overall FROM ({_exact("cusum_score")}) JOIN (SELECT batch, stability AS distribution FROM ({_exact("label_stability")})) USING (batch)
+JOIN (SELECT batch, stability AS online FROM ({_ONLINE})) USING (batch) JOIN (SELECT batch, stability AS density FROM ({_exact("density_stability")})) USING (batch) JOIN (SELECT batch, stability AS bayes FROM ({_exact("bayes_stability")})) USING (batch)""",
+)
 def stability_report(spark, d):
     out = stability.report(_batches(spark, d), 10)
     return out.select("batch", *[r6(F.col(c)).alias(c) for c in out.columns if c != "batch"])
@@ -714,6 +874,41 @@ def _config(**more) -> miner.Config:
     return miner.Config(n_clusters=6, evaluator_params={"min_samples": 10}, **more)
 
 
+_FIXED = [[-1.2, 0.0, 1.2], [1.2, 0.0, -1.2], [-0.7, 1.4, -0.7], [0.7, -1.4, 0.7]]
+
+
+def _fixed_miner(e: DataFrame) -> miner.Miner:
+    """A model with given centers and sides instead of fitted ones, scaled by e."""
+    m = miner.Miner(miner.Config(n_lookback=LENGTH, n_pivots=3, n_clusters=4, dist_measure=3))
+    m.centers, m.long, m.short, m.scaling = _FIXED, [0], [1], cleaning.scaling(e, "value", "asinh")
+    return m
+
+
+_MINER_SQL = f"""{E_SQL}, mm AS (SELECT series_id, min(asinh(value)) AS lo, max(asinh(value)) AS hi FROM e GROUP BY 1), sc AS (SELECT e.series_id, pos, CASE WHEN lo = hi THEN 0.0 ELSE (asinh(value) - lo) / (hi - lo) END AS y FROM e JOIN mm USING (series_id)),
+w AS (SELECT * FROM (SELECT series_id, pos, list(y) OVER (PARTITION BY series_id ORDER BY pos ROWS BETWEEN {LENGTH - 1} PRECEDING AND CURRENT ROW) AS x FROM sc) WHERE len(x) = {LENGTH}),
+p AS (SELECT series_id, pos, any_value(x) AS x, arg_max(i, (round(abs(x[1] + (x[{LENGTH}] - x[1]) / {LENGTH - 1} * i - x[i + 1]), 12), -i)) AS best FROM (SELECT *, unnest(range(1, {LENGTH - 1})) AS i FROM w) GROUP BY 1, 2),
+f AS (SELECT series_id, pos, [x[1], x[best + 1], x[{LENGTH}]] AS f, lag(x[best + 1]) OVER (PARTITION BY series_id ORDER BY pos) AS b FROM p),
+z AS (SELECT series_id, pos, list_transform(f, lambda v: (v - list_aggregate(f, 'avg')) / (list_aggregate(f, 'stddev_pop') + 1e-10)) AS z FROM f WHERE b IS NULL OR f[2] <> b),
+d AS (SELECT series_id, pos, cluster, list_distance(z, center) AS dist FROM z, (VALUES {", ".join(f"({i}, {c}::DOUBLE[])" for i, c in enumerate(_FIXED))}) c(cluster, center))"""
+
+
+@query("miner_predict", f"WITH {_MINER_SQL} SELECT series_id, pos, arg_min(cluster, (dist, cluster))::INT AS cluster, {s6('min(dist)')} AS distance FROM d GROUP BY 1, 2")
+def miner_predict(spark, d):
+    e = _events(spark, d).select(SERIES, "pos", "value")
+    return _fixed_miner(e).predict(e).select(SERIES, "pos", "cluster", r6(F.col("distance")).alias("distance"))
+
+
+@query(
+    "miner_fixed_signals",
+    f"""WITH {_MINER_SQL}, q AS (SELECT series_id, pos, cluster, exp(min(dist) OVER (PARTITION BY series_id, pos) - dist) AS e FROM d), s AS (SELECT series_id, pos, sum(e) FILTER (cluster = 0) / sum(e) AS up, sum(e) FILTER (cluster = 1) / sum(e) AS down FROM q GROUP BY 1, 2)
+SELECT series_id, pos, CASE WHEN up > 0.6 AND up > down THEN 1 WHEN down > 0.6 AND down > up THEN -1 ELSE 0 END AS signal,
+  round(CASE WHEN up > 0.6 AND up > down THEN up WHEN down > 0.6 AND down > up THEN down ELSE greatest(1 - (up + down), 0) END, 6) + 0.0 AS confidence FROM s""",
+)
+def miner_fixed_signals(spark, d):
+    e = _events(spark, d).select(SERIES, "pos", "value")
+    return _fixed_miner(e).signals(e).select(SERIES, "pos", "signal", r6(F.col("confidence")).alias("confidence"))
+
+
 @query("miner_evaluate")
 def miner_evaluate(spark, d):
     e = _events(spark, d).select(SERIES, "pos", "value")
