@@ -471,17 +471,19 @@ def sequential_kmeans(spark, d):
 
 
 def _dtw_sql(n: int) -> str:
-    """The warping distance of x and y, n values each, cell by cell."""
-    cells = []
-    for i in range(1, n + 1):
-        for j in range(1, n + 1):
+    """The cells of the warping table of x and y, n values each, one diagonal after another."""
+    rows = "b WHERE y IS NOT NULL"
+    for d in range(2, 2 * n + 1):
+        cells = []
+        for i in range(max(1, d - n), min(n, d - 1) + 1):
+            j = d - i
             before = [f"g{a}_{b}" for a, b in ((i - 1, j - 1), (i - 1, j), (i, j - 1)) if a and b]
-            least = f" + least({', '.join(before)})" if before else ""
-            cells.append(f"pow(x[{i}] - y[{j}], 2){least} AS g{i}_{j}")
-    return f"SELECT series_id, pos, {', '.join(cells)} FROM b WHERE y IS NOT NULL"
+            cells.append(f"pow(x[{i}] - y[{j}], 2)" + (f" + least({', '.join(before)})" if before else "") + f" AS g{i}_{j}")
+        rows = f"(SELECT *, {', '.join(cells)} FROM {rows})"
+    return rows
 
 
-@query("dtw_distance", f"WITH {W_SQL}, b AS (SELECT series_id, pos, x, lag(x, {LENGTH}) OVER (PARTITION BY series_id ORDER BY pos) AS y FROM w) SELECT series_id, pos, {s6(f'sqrt(g{LENGTH}_{LENGTH})')} AS distance FROM ({_dtw_sql(LENGTH)})")
+@query("dtw_distance", f"WITH {W_SQL}, b AS (SELECT series_id, pos, x, lag(x, {LENGTH}) OVER (PARTITION BY series_id ORDER BY pos) AS y FROM w) SELECT series_id, pos, {s6(f'sqrt(g{LENGTH}_{LENGTH})')} AS distance FROM {_dtw_sql(LENGTH)}")
 def dtw_distance(spark, d):
     w = _windows(spark, d)
     pairs = framed(w, {"before": lambda o: F.lag("window", LENGTH).over(o)}, before=LENGTH).where("before is not null")
@@ -553,11 +555,11 @@ def holding_metrics(spark, d):
 
 
 def _drifting(labels: DataFrame) -> DataFrame:
-    """labels with a tenth of the returns and a drift, so that clusters are worth trading."""
-    return labels.withColumn("returns", F.col("returns") / 10 + 0.01)
+    """labels with small returns and a drift, so that clusters are worth trading."""
+    return labels.withColumn("returns", F.col("returns") / 1000 + 0.0002)
 
 
-_DRIFT_METRICS = _HOLD_METRICS.replace("r.returns * side AS returns", "(r.returns / 10 + 0.01::DOUBLE) * side AS returns")
+_DRIFT_METRICS = _HOLD_METRICS.replace("r.returns * side AS returns", "(r.returns / 1000 + 0.0002::DOUBLE) * side AS returns")
 
 
 @query(
