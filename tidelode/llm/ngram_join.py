@@ -265,19 +265,19 @@ def _prefix_rows(num: int, den: int):
 
 def _multiply(num: int, den: int):
     """Products of incidence blocks: rows (block, doc, component, grams), each block's own documents (with a
-    component) before those that it is compared with (without). Links (a, b), one for each component that a
-    document links with in the block."""
+    component) before those that it is compared with (without). Links (a, b) that join all components and
+    documents that link in the block, no more of them than there are documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, own, sets, parts = None, [], [], []
-        columns = None
+        columns, joined_to = None, {}
         for batch in batches:
             links = []
             for k, doc, part, data in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
                 grams = np.frombuffer(data.as_buffer(), np.uint64)
                 if part is not None:
                     if k != block or columns is not None:  # the same block comes again with each salt
-                        block, own, sets, parts, columns = k, [], [], [], None
+                        block, own, sets, parts, columns, joined_to = k, [], [], [], None, {}
                     own.append(doc), sets.append(grams.copy()), parts.append(part)
                     continue
                 assert k == block
@@ -295,8 +295,17 @@ def _multiply(num: int, den: int):
                 hit = np.repeat(starts[at] - np.concatenate(([0], np.cumsum(runs)[:-1])), runs) + np.arange(runs.sum()) if len(at) else at
                 both = np.bincount(rows[hit], minlength=len(sizes))
                 linked = np.flatnonzero((den * both >= num * (sizes + len(grams) - both)) & (np.array(own) != doc))
-                _, one = np.unique(of[linked], return_index=True)
-                links += [(own[i], doc) for i in linked[one]]
+                first = None  # of several components only those go out that no document before has joined here
+                for i in linked[np.unique(of[linked], return_index=True)[1]]:
+                    c = int(of[i])
+                    while c in joined_to:
+                        c = joined_to[c]
+                    if first is None:
+                        first = c
+                        links.append((own[i], doc))
+                    elif c != first:
+                        joined_to[c] = first
+                        links.append((own[i], doc))
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], names=["a", "b"])
 
