@@ -69,7 +69,9 @@ def permuted(k: Column, n: Column, seed: Column) -> Column:
         end = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), named(F.floor(x / b), x % b, a, b), turn)
         return end["x"] * end["q"] + end["y"]
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(_WALK)), through(k), lambda x, _: F.when(x < n, x).otherwise(through(x)))
+    walk = lambda x: F.aggregate(F.sequence(F.lit(1), F.lit(_WALK)), x, lambda x, _: F.when(x < n, x).otherwise(through(x)))
+    # most places are inside at once: one in about sqrt(n) walks on
+    return F.element_at(F.transform(F.array(through(k)), lambda x: F.when(x < n, x).otherwise(walk(x))), 1)
 
 
 class Mix:
