@@ -71,6 +71,22 @@ def test_chunks_and_buckets_change_nothing(spark):
             assert one == pytest.approx(two)
 
 
+def test_percentiles_and_usual_volume(spark):
+    rng = random.Random(3)
+    rows = [(s, v) for s, n in (("a", 3000), ("b", 99), ("c", 1), ("d", 2), ("e", 1200)) for v in (rng.choice((round(rng.gauss(0, 1), 2), rng.gauss(0, 9))) for _ in range(n))]
+    rows += [("e", None)] * 5 + [("f", None)] + [("g", 4.0)] * 1000 + [("g", 5.0)]
+    df = spark.createDataFrame(rows, "series_id string, value double")
+    shares = [0.0, 0.00001, 0.15, 0.5, 0.85, 0.999, 1.0]
+    want = df.where("value is not null").groupBy("series_id").agg(F.percentile("value", F.array(*map(F.lit, shares))).alias("q"))
+    for accuracy in (100, 1000, 10_000):
+        got = cleaning.percentiles(df, "value", shares, accuracy)
+        assert {r[0]: r[1] for r in got.collect()} == {r[0]: r[1] for r in want.collect()}
+    assert cleaning.winsorize(df, "value").where("series_id = 'f'").count() == 1
+    bars_ = [("a", p, 3.0, 1.0, 2.0, v) for p, v in enumerate((0.0, 0.0, 7.0, 7.0, None))] + [("b", 0, 3.0, 1.0, 2.0, None)]
+    out = cleaning.volume_proxy(spark.createDataFrame(bars_, "series_id string, pos long, high double, low double, close double, volume double"))
+    assert sorted(map(tuple, out.select("series_id", "pos", "volume").collect())) == [("a", 0, None), ("a", 1, 2.0), ("a", 2, 2.0), ("a", 3, 2.0), ("a", 4, 2.0), ("b", 0, None)]
+
+
 def test_windows(spark):
     df = series(spark, range(6))
     w = windows.sliding(df, 3, target=True)

@@ -51,7 +51,7 @@ def forward_returns(df: DataFrame, price: str = "close") -> DataFrame:
     return framed(df, {"returns": change}, after=1)
 
 
-def align(fine: DataFrame, coarse: DataFrame, step: str | int, value: str = "value", strict_tail: bool = False, bucket: str | int = "30day") -> DataFrame:
+def align(fine: DataFrame, coarse: DataFrame, step: str | int, value: str = "value", strict_tail: bool = False, bucket: str | int = "1h") -> DataFrame:
     """fine (series_id, ts, ...) with the last coarse value at least one fine step old; column ``aligned``.
 
     strict_tail leaves out each series' last coarse value and takes fine times down to the grid of

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelode.operators.ordered import SERIES, framed, number_rows
@@ -54,13 +54,46 @@ def date_range(df: DataFrame, start: str | None = None, end: str | None = None)
     return df
 
 
+#: Of percentile_approx: ranks are off by at most one in so many rows.
+ACCURACY = 10_000
+
+
+def percentiles(df: DataFrame, column: str, shares: list[float], accuracy: int = ACCURACY) -> DataFrame:
+    """(series_id, q): the exact, interpolated percentiles of column at the shares; nulls don't count.
+
+    Sketches bound each percentile from both sides; rows below are only counted, and the few between the
+    bounds are put in order. A series of fewer rows than accuracy is ordered whole."""
+    slack = 4 / accuracy
+    v = df.select(SERIES, F.col(column).cast("double").alias("__x")).where("__x is not null")
+    edges = [min(max(p + d, 0.0), 1.0) for p in shares for d in (-slack, slack)]
+    near = v.groupBy(SERIES).agg(F.percentile_approx("__x", edges, accuracy).alias("__e"), F.count("__x").alias("__n"))
+    edge = lambda i, inside: F.when(F.lit(inside) & (F.col("__n") >= accuracy), F.col("__e")[i])
+    spans = [
+        F.struct(F.lit(float(p)).alias("p"), edge(2 * i, p > slack).alias("low"), edge(2 * i + 1, p + slack < 1).alias("high"))
+        for i, p in enumerate(shares)
+    ]
+    near = near.select(SERIES, "__n", F.posexplode(F.array(*spans)).alias("__i", "__s"))
+    key = F.when(F.col("__s.low").isNull() | (F.col("__x") >= F.col("__s.low")), F.col("__x")).alias("__k")
+    rows = v.join(near, SERIES).where(F.col("__s.high").isNull() | (F.col("__x") <= F.col("__s.high")))
+    place = (F.col("__s.p") * (F.col("__n") - 1)).alias("__p")
+    counts = rows.groupBy(SERIES, "__i", place, key).agg(F.count(F.lit(1)).alias("__m"))
+    upto = Window.partitionBy(SERIES, "__i").orderBy(F.asc_nulls_first("__k")).rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumn("__c", F.sum("__m").over(upto))
+    at = lambda rank: F.min(F.when(F.col("__c") > rank, F.col("__k")))
+    found = counts.groupBy(SERIES, "__i", "__p").agg(at(F.floor("__p")).alias("__a"), at(F.ceil("__p")).alias("__b"))
+    between = (F.ceil("__p") - F.col("__p")) * F.col("__a") + (F.col("__p") - F.floor("__p")) * F.col("__b")
+    q = F.when(F.col("__a") == F.col("__b"), F.col("__a")).otherwise(between)
+    pairs = F.array_sort(F.collect_list(F.struct("__i", q.alias("q"))))
+    return found.groupBy(SERIES).agg(pairs.alias("__q")).select(SERIES, F.col("__q.q").alias("q"))
+
+
 def winsorize(df: DataFrame, column: str, low: float = 15.0, high: float | None = None) -> DataFrame:
     """column clipped, per series, to 1.5 ranges beyond its low and high percentile (exact, interpolated)."""
     high = 100 - low if high is None else high
-    q = df.groupBy(SERIES).agg(F.percentile(column, F.array(F.lit(low / 100), F.lit(high / 100))).alias("__q"))
+    q = percentiles(df, column, [low / 100, high / 100]).withColumnRenamed("q", "__q")
     spread = (F.col("__q")[1] - F.col("__q")[0]) * 1.5
     clipped = F.least(F.greatest(F.col(column), F.col("__q")[0] - spread), F.col("__q")[1] + spread)
-    return df.join(q, SERIES).withColumn(column, F.when(F.col(column).isNotNull(), clipped)).drop("__q")
+    return df.join(q, SERIES, "left").withColumn(column, F.when(F.col(column).isNotNull(), clipped)).drop("__q")
 
 
 def true_range(df: DataFrame) -> DataFrame:
@@ -72,8 +105,9 @@ def true_range(df: DataFrame) -> DataFrame:
 
 def volume_proxy(df: DataFrame) -> DataFrame:
     """Volume replaced by the true range in series whose most frequent volume (the least, of several) is 0."""
-    usual = df.groupBy(SERIES).agg(F.mode("volume", True).alias("__usual"))
-    out = true_range(df).join(usual, SERIES)
+    each = df.where("volume is not null").groupBy(SERIES, "volume").agg(F.count(F.lit(1)).alias("__n"))
+    usual = each.groupBy(SERIES).agg(F.min_by("volume", F.struct(-F.col("__n"), "volume")).alias("__usual"))
+    out = true_range(df).join(usual, SERIES, "left")
     return out.withColumn("volume", F.when(F.col("__usual") == 0, F.col("true_range")).otherwise(F.col("volume"))).drop("__usual", "true_range")
 
 

@@ -19,8 +19,10 @@ SERIES = "series_id"
 CHUNK = 1 << 16
 
 
-def number_rows(df: DataFrame, *ties: str, ts: str = "ts", bucket: str | int = "30day") -> DataFrame:
-    """df with pos: 0, 1, ... in each series by ts, then by the columns of ties."""
+def number_rows(df: DataFrame, *ties: str, ts: str = "ts", bucket: str | int = "1h") -> DataFrame:
+    """df with pos: 0, 1, ... in each series by ts, then by the columns of ties.
+
+    A task sorts a bucket of a series; the counts of a series' buckets, one for each hour that has rows, meet in one."""
     width = seconds(bucket) * 1_000_000
     b = df.withColumn("__b", F.floor(micros(F.col(ts)) / F.lit(width)))
     counts = b.groupBy(SERIES, "__b").agg(F.count(F.lit(1)).alias("__n"))
