@@ -110,6 +110,21 @@ def test_decontaminate_in_blocks_and_odd_rows(spark, monkeypatch):
     assert decontaminate.decontaminate(docs.limit(0), items).count() == 0
 
 
+@pytest.mark.parametrize(("block_rows", "key_rows", "hot_share"), [(3, 5, 1024), (0, 1000, 1024), (0, 2, 3)])
+def test_decontaminate_many_windows(spark, monkeypatch, block_rows, key_rows, hot_share):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(12)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 25))) for _ in range(30)]
+    items = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(50, "w1 w2"), (51, "w3"), (52, None)], "item_id long, text string")
+    rows = [(i, " ".join([rng.choice(texts), rng.choice(words), rng.choice(texts)])) for i in range(40)] + [*ODD, (70, "w3"), (70, "w3"), (71, "w1 w2")]
+    docs = docs_of(spark, rows)
+    whole = sorted(map(str, decontaminate.decontaminate(docs, items).collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK_ROWS", block_rows)
+    monkeypatch.setattr(decontaminate, "KEY_ROWS", key_rows)
+    monkeypatch.setattr(decontaminate, "HOT_SHARE", hot_share)
+    assert sorted(map(str, decontaminate.decontaminate(docs, items).collect())) == whole
+
+
 def test_decontaminate_keeps_every_row(spark):
     items = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "x y")], "item_id long, text string")
     rows = [(1, "x y"), (1, "x y"), (1, "other"), (None, "x y"), (2, None)]

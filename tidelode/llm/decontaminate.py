@@ -7,8 +7,10 @@ all documents. Shingles of documents meet the prefixes in an equi-join; the plac
 its window bounds where the window can lie in the document (position) and how long the document must
 be (length); what remains is compared word by word.
 
-Windows are broadcast in blocks of at most BLOCK_ROWS; a benchmark of more takes one more pass over
-the documents for each block. A window whose rarest shingle occurs nowhere is dropped beforehand.
+A window whose rarest shingle occurs nowhere is dropped beforehand. At most BLOCK_ROWS windows are
+broadcast. Of a longer benchmark only the keys are, in blocks of at most KEY_ROWS numbers, with a pass
+over the documents for each block; the places that meet a key, with the words around them, then join
+their windows by a shuffle.
 
 Cases: null and empty texts have no words; an item without words has no window; equal windows of
 several items count for all of them; every row is a document of its own, also one of equal doc_id or
@@ -23,12 +25,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, ascii_lower, own_name, small_or_join, split_words, stored
+from .common import BROADCAST_ROWS, HOT_SHARE, ascii_lower, own_name, small_or_join, split_words, stored
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 SHINGLE = 3
 BLOCK_ROWS = 100_000
+#: 64-bit keys that are broadcast at once.
+KEY_ROWS = 2_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -82,9 +86,9 @@ def _prefixes(docs: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFram
     return best.groupBy("wid").agg(rare).where("r.freq > 0").select("r.key", "r.off", "r.n", "wid", "r.win")
 
 
-def _blocks(df: DataFrame) -> list[DataFrame]:
-    """df, a stored table, in parts of about BLOCK_ROWS at most, by key."""
-    n = -(-df.count() // BLOCK_ROWS) or 1
+def _blocks(keys: DataFrame) -> list[DataFrame]:
+    """keys, a stored table of distinct keys, in parts of about KEY_ROWS at most."""
+    df, n = keys, -(-keys.count() // KEY_ROWS) or 1
     return [df] if n == 1 else [df.where(F.pmod(F.xxhash64("key"), F.lit(n)) == b) for b in range(n)]
 
 
@@ -92,15 +96,40 @@ def hits(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col:
     """(doc_id, th, n_words, start, n, wid): a row for each occurrence, and one with null wid for each row of docs."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), words_of(F.col(text_col)).alias("words"))
     sizes = [r[0] for r in windows.select(F.least(F.size("win"), F.lit(SHINGLE)).alias("k")).distinct().orderBy("k").collect()] or [SHINGLE]  # SHINGLE values at most
-    found = []
-    for block in _blocks(stored(_prefixes(docs, windows, sizes), "prefixes")):
-        rows = _places(docs, "words", sizes, not found).join(F.broadcast(block), "key", "inner" if found else "left")
-        start = F.col("p") - F.col("off")
-        fits = F.col("wid").isNotNull() & (start >= 0) & (start + F.col("n") <= F.size("words"))
-        hit = F.when(fits, F.slice("words", F.when(fits, start + 1).otherwise(1), F.coalesce("n", F.lit(0))) == F.col("win")).otherwise(False)
-        rows = rows.select("doc_id", "th", F.size("words").alias("n_words"), "p", hit.alias("hit"), start.alias("start"), "n", "wid")
-        found.append(rows.where(F.col("hit") | (F.col("p") < 0)).drop("p", "hit"))
-    return reduce(DataFrame.unionByName, found)
+    prefixes = stored(_prefixes(docs, windows, sizes), "prefixes")
+    if prefixes.limit(BLOCK_ROWS + 1).count() <= BLOCK_ROWS:
+        met, first = _places(docs, "words", sizes, True).join(F.broadcast(prefixes), "key", "left"), F.lit(1)
+        rows = met.select("doc_id", "th", F.size("words").alias("n_words"), "p", "off", "n", "wid", "win", first.alias("first"), "words")
+    else:
+        rows = _met_by_shuffle(docs, prefixes, sizes)
+    start = F.col("p") - F.col("off")
+    fits = F.col("wid").isNotNull() & (start >= 0) & (start + F.col("n") <= F.col("n_words"))
+    hit = F.when(fits, F.slice("words", F.when(fits, start + 2 - F.col("first")).otherwise(1), F.coalesce("n", F.lit(0))) == F.col("win")).otherwise(False)
+    rows = rows.select("doc_id", "th", "n_words", "p", hit.alias("hit"), start.alias("start"), "n", "wid")
+    return rows.where(F.col("hit") | (F.col("p") < 0)).drop("p", "hit")
+
+
+def _met_by_shuffle(docs: DataFrame, prefixes: DataFrame, sizes: list[int]) -> DataFrame:
+    """What hits() compares, for more prefixes than are broadcast: rows of p -1, and places with the windows of their key.
+
+    words are those around the place, from the document's word number first (from 1) on. Places of hot
+    keys stay where they are and meet their windows by a checked broadcast."""
+    most = prefixes.agg(F.max("n")).first()[0]
+    parts = []
+    for block in _blocks(stored(prefixes.select("key").distinct(), "keys")):
+        rows = _places(docs, "words", sizes, not parts).join(F.broadcast(block.withColumn("listed", F.lit(True))), "key", "inner" if parts else "left")
+        first = F.greatest(F.col("p") + 1 - most, F.lit(1))
+        around = F.when(F.col("listed"), F.slice("words", first, F.lit(2 * most)))
+        parts.append(rows.where("listed or p < 0").select("key", "doc_id", "th", F.size("words").alias("n_words"), "p", first.alias("first"), around.alias("words")))
+    met = stored(reduce(DataFrame.unionByName, parts), "met")
+    counts = stored(met.where("p >= 0").groupBy("key").agg(F.count(F.lit(1)).alias("rows")), "counts")
+    total = counts.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    hot = F.broadcast(counts.where(F.col("rows") * HOT_SHARE > total).select("key"))  # at most HOT_SHARE numbers
+    columns = ["doc_id", "th", "n_words", "p", "off", "n", "wid", "win", "first", "words"]
+    places, none = met.where("p >= 0"), {c: F.lit(None).cast(prefixes.schema[c].dataType) for c in ("off", "n", "wid", "win")}
+    cold = places.join(hot, "key", "left_anti").join(prefixes, "key")
+    warm = places.join(hot, "key", "left_semi").join(small_or_join(stored(prefixes.join(hot, "key", "left_semi"), "hot")), "key")
+    return reduce(DataFrame.unionByName, [df.select(*columns) for df in (met.where("p < 0").withColumns(none), cold, warm)])
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
