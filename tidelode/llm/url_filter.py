@@ -1,11 +1,12 @@
 """URL filter: a blocked Bloom filter of the listed URLs passes possible hits to an exact hash join.
 
 A rule is a host and a path prefix; it fits the host, all its subdomains, and every path that starts
-with the prefix. Each distinct url becomes the few (host suffix, path prefix) keys whose sizes occur
-in the list; the filter drops nearly all of them; an exact join on the whole key removes its false
-positives; the longest rule wins.
+with the prefix. Each distinct url becomes its host's suffixes whose sizes occur in the list; a filter
+of the listed hosts drops nearly all that no rule names. What is left becomes (host suffix, path prefix)
+keys of the sizes that occur; the filter of whole rules drops nearly all of them; an exact join on the
+whole key removes its false positives; the longest rule wins.
 
-The filter is a table of 64-bit blocks, of which a key uses one. It has at most MAX_BLOCKS blocks
+A filter is a table of 64-bit blocks, of which a key uses one. It has at most MAX_BLOCKS blocks
 (8 MB), so it can be broadcast however long the list is; a longer list only lets more keys through
 to the exact join.
 
@@ -64,11 +65,18 @@ def bloom_blocks(keys: DataFrame, n_keys: int) -> tuple[DataFrame, int]:
     return table.groupBy("block").agg(F.bit_or("mask").alias("bits")), blocks
 
 
+def _possible(rows: DataFrame, keys: DataFrame, n_keys: int) -> DataFrame:
+    """rows whose column key may be one of keys."""
+    filt, blocks = bloom_blocks(keys, n_keys)
+    probed = rows.withColumns({"block": _block(F.col("key"), blocks), "mask": _mask(F.col("key"))}).join(F.broadcast(filt), "block")
+    return probed.where(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask")).select(*rows.columns)
+
+
 def judge(df: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
     """df with host, path, rule and verdict.
 
     rules: (host, path, verdict), host in lower case."""
-    rules = rules.select(F.concat("host", "path").alias("key"), F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("chars"), F.col("verdict").alias("said"))
+    rules = rules.select("host", F.concat("host", "path").alias("key"), F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("chars"), F.col("verdict").alias("said"))
     stats = rules.agg(F.count(F.lit(1)), F.sort_array(F.collect_set("labels")), F.sort_array(F.collect_set("chars"))).first()
     n_rules, labels, chars = stats  # distinct sizes only: at most the labels of a host and the characters of a path
     urls = df.select(F.col(url_col).alias("u")).where(F.col("u").isNotNull()).groupBy("u").agg(F.count(F.lit(1)).alias("rows"))
@@ -78,14 +86,11 @@ def judge(df: DataFrame, rules: DataFrame, url_col: str = "url", default: str =
         F.filter(F.lit(labels).cast(ints), lambda n: n <= F.size("parts")),
         lambda n: F.array_join(F.slice("parts", F.size("parts") - n + 1, n), "."),
     )
+    hosts = urls.select("u", "rows", "p", F.explode(hosts).alias("key"))
+    hosts = _possible(hosts, rules.select(F.col("host").alias("key")), n_rules)
     paths = F.transform(F.filter(F.lit(chars).cast(ints), lambda n: n <= F.length("p")), lambda n: F.substring(F.col("p"), F.lit(1), n))
-    keys = urls.select("u", "rows", F.explode(hosts).alias("h"), paths.alias("ps")).select("u", "rows", "h", F.explode("ps").alias("q")).select("u", "rows", F.concat("h", "q").alias("key"))
-    filt, blocks = bloom_blocks(rules, n_rules)
-    possible = (
-        keys.withColumn("block", _block(F.col("key"), blocks)).withColumn("mask", _mask(F.col("key")))
-        .join(F.broadcast(filt), "block").where(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask"))
-        .select("u", "rows", "key")
-    )
+    keys = hosts.select("u", "rows", F.col("key").alias("h"), F.explode(paths).alias("q")).select("u", "rows", F.concat("h", "q").alias("key"))
+    possible = _possible(keys, rules, n_rules)
     listed = rules.select("key", "said")
     hits = possible.join(F.broadcast(listed) if n_rules <= BROADCAST_ROWS else listed.hint("shuffle_hash"), "key")
     best = hits.groupBy("u").agg(F.max(F.struct(F.length("key").alias("n"), "key", "said")).alias("best"), F.max("rows").alias("rows"))
