@@ -14,8 +14,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: White space of the contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
-#: Most rows that a side may have to be broadcast; such rows here are a few numbers or a short string.
+#: Most rows, and most bytes of them as text, that a side may have to be broadcast.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 _own: dict[str, str] = {}
 
@@ -69,12 +70,18 @@ def drop_stored(df: DataFrame) -> None:
             delete_path(spark, path)
 
 
-def small_or_join(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows; else as it is, for a shuffled join.
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether df has at most so many rows and BROADCAST_BYTES; only the lengths of rows + 1 rows are moved to tell.
+
+    df is cheap to read: a stored table or an aggregate of one."""
+    sizes = df.select(F.octet_length(F.struct(*df.columns).cast("string")).alias("b")).limit(rows + 1)
+    n, total = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    return n <= rows and total <= BROADCAST_BYTES
 
-    df is cheap to count: a stored table or an aggregate of one."""
-    few = df.limit(rows + 1).count() <= rows
-    return F.broadcast(df) if few else df
+
+def small_or_join(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a broadcast hint if it is small; else as it is, for a shuffled join."""
+    return F.broadcast(df) if is_small(df, rows) else df
 
 
 #: A key of more than one in so many rows is hot; there are at most as many hot keys.

@@ -7,10 +7,10 @@ all documents. Shingles of documents meet the prefixes in an equi-join; the plac
 its window bounds where the window can lie in the document (position) and how long the document must
 be (length); what remains is compared word by word.
 
-A window whose rarest shingle occurs nowhere is dropped beforehand. At most BLOCK_ROWS windows are
-broadcast. Of a longer benchmark only the keys are, in blocks of at most KEY_ROWS numbers, with a pass
-over the documents for each block; the places that meet a key, with the words around them, then join
-their windows by a shuffle.
+A window whose rarest shingle occurs nowhere is dropped beforehand. At most BLOCK_ROWS windows, of a
+checked size in bytes, are broadcast. Of a longer benchmark only the keys are, in blocks of at most
+KEY_ROWS numbers, with a pass over the documents for each block; the places that meet a key, with the
+words around them, then join their windows by a shuffle.
 
 Cases: null and empty texts have no words; an item without words has no window; equal windows of
 several items count for all of them; every row is a document of its own, also one of equal doc_id or
@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, HOT_SHARE, ascii_lower, own_name, small_or_join, split_words, stored
+from .common import BROADCAST_ROWS, HOT_SHARE, ascii_lower, is_small, own_name, small_or_join, split_words, stored
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
@@ -97,7 +97,7 @@ def hits(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col:
     docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), words_of(F.col(text_col)).alias("words"))
     sizes = [r[0] for r in windows.select(F.least(F.size("win"), F.lit(SHINGLE)).alias("k")).distinct().orderBy("k").collect()] or [SHINGLE]  # SHINGLE values at most
     prefixes = stored(_prefixes(docs, windows, sizes), "prefixes")
-    if prefixes.limit(BLOCK_ROWS + 1).count() <= BLOCK_ROWS:
+    if is_small(prefixes, BLOCK_ROWS):
         met, first = _places(docs, "words", sizes, True).join(F.broadcast(prefixes), "key", "left"), F.lit(1)
         rows = met.select("doc_id", "th", F.size("words").alias("n_words"), "p", "off", "n", "wid", "win", first.alias("first"), "words")
     else:

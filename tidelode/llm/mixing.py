@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, count_words, numbered, offsets, split_words, stored
+from .common import SPACES, count_words, numbered, offsets, small_or_join, split_words, stored
 
 BLOCK_WORDS = 256
 SLOTS_PER_SHARD = 4096
@@ -125,7 +125,7 @@ class Mix:
         return s.select(F.expr(f"at div {SLOTS_PER_SHARD}").alias("shard"), (F.col("at") % SLOTS_PER_SHARD).alias("slot"), "rank")
 
     def _small_sources(self) -> DataFrame:
-        return F.broadcast(self.sources) if self.sources.count() <= 100_000 else self.sources
+        return small_or_join(self.sources, 100_000)
 
     def _counts(self) -> DataFrame:
         return self._drawn.groupBy("shard", "rank").agg(F.count(F.lit(1)).alias("n"))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, ascii_lower, join_spread, own_name, stored
+from .common import ascii_lower, is_small, join_spread, own_name, stored
 
 MAX_BLOCKS = 1 << 20
 #: Bits set for a key, all in its block.
@@ -92,12 +92,12 @@ def judge(df: DataFrame, rules: DataFrame, url_col: str = "url", default: str =
     keys = hosts.select("u", "rows", F.col("key").alias("h"), F.explode(paths).alias("q")).select("u", "rows", F.concat("h", "q").alias("key"))
     possible = _possible(keys, rules, n_rules)
     listed = rules.select("key", "said")
-    hits = possible.join(F.broadcast(listed) if n_rules <= BROADCAST_ROWS else listed.hint("shuffle_hash"), "key")
+    hits = possible.join(F.broadcast(listed) if is_small(listed) else listed.hint("shuffle_hash"), "key")
     best = hits.groupBy("u").agg(F.max(F.struct(F.length("key").alias("n"), "key", "said")).alias("best"), F.max("rows").alias("rows"))
     u, rule, said, whole = (own_name(df, x) for x in ("listed_url", "listed_rule", "listed_said", "page"))
     best = stored(best.select(F.col("u").alias(u), F.col("best.key").alias(rule), F.col("best.said").alias(said), "rows"), "verdicts")
     pages = df.select(F.col(url_col).alias(u), F.struct(*df.columns).alias(whole))
-    if best.count() <= BROADCAST_ROWS:
+    if is_small(best):
         out = pages.join(F.broadcast(best), u, "left")
     else:
         out = join_spread(pages, best, [u], [rule, said], "rows", [u, whole], "left")
