@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, line_dedup, mixing, ngram_join, quality, token_counts, url_filter, warc
+from . import chat_format, decontaminate, exact_dedup, fim, html_extract, line_dedup, mixing, ngram_join, quality, token_counts, url_filter, warc
 from .common import LOWER, UPPER
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -222,3 +222,43 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 @query("op10_exact_dedup", OP10_SQL)
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
+#: Pages of the tables mark their article, so that SQL can cut it out; the operator doesn't rely on it.
+OP13_SQL = r"""
+WITH cut AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)(</article>|$)', 1, 's') AS a FROM pages),
+block AS (SELECT page_id, unnest(string_split_regex(a, '</?(h1|p)>')) AS b, generate_subscripts(string_split_regex(a, '</?(h1|p)>'), 1) AS i FROM cut),
+said AS (
+  SELECT page_id, i, trim(regexp_replace(replace(replace(replace(replace(
+    regexp_replace(replace(b, '<br>', ' '), '<[^>]*>', '', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS b FROM block),
+whole AS (SELECT page_id, string_agg(b, chr(10) || chr(10) ORDER BY i) AS text FROM said WHERE b <> '' GROUP BY page_id)
+SELECT cut.page_id, url, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n_chars FROM cut LEFT JOIN whole USING (page_id)
+"""
+
+
+@query("op13_html_extraction", OP13_SQL)
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+OP11_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n, list_transform(range(0, 4), lambda k: ('0x' || substr(sha256('1:' || doc_id), (8 * k + 1)::INT, 8))::BIGINT) AS h
+  FROM documents),
+cut AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+              WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+made AS (
+  SELECT *, CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || substr(t, b + 1) || '<P>' || substr(t, 1, a) || '<M>' || substr(t, a + 1, b - a)
+    ELSE '<P>' || substr(t, 1, a) || '<S>' || substr(t, b + 1) || '<M>' || substr(t, a + 1, b - a) END AS output FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(output) AS output_sha256, sha256(t) AS restored_sha256 FROM made
+"""
+
+
+@query("op11_fill_in_middle", OP11_SQL)
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fim(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
