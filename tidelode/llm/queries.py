@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, fim, html_extract, line_dedup, mixing, ngram_join, quality, token_counts, url_filter, warc
-from .common import LOWER, UPPER
+from . import chat_format, decontaminate, exact_dedup, fim, html_extract, line_dedup, merkle, mixing, ngram_join, quality, token_counts, url_filter, warc
+from .common import LOWER, UPPER, ascii_lower
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -262,3 +262,51 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fim.fim(table(spark, sf_dir, "documents").select("doc_id", "text"))
     digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+_LEAF = "sha256(" + " || ".join("coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')".format(f) for f in _FIELDS[:4]) + " || coalesce(strlen({0})::VARCHAR || ':' || {0}, '-'))"
+_NEXT = "list_transform(range(0, (len(l) + 15) // 16), lambda r: sha256(array_to_string(l[16 * r + 1 : 16 * r + 16], '')))"
+_CUT = "array_to_string(l[16 * (j // 16) + 1 : j], '') || '|' || array_to_string(l[j + 2 : 16 * (j // 16) + 16], '')"
+OP12_SQL = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, source, {_LEAF.format("text")} AS leaf, {_LEAF.format(f"translate(text, '{UPPER}', '{LOWER}')")} AS lower_leaf,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+           lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(0, 8)), lambda c, _: xor(c >> 1, 3988292384::BIGINT * (c & 1)))), 4294967295::BIGINT) AS crc
+  FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM leaves),
+tree AS (
+  SELECT source, 0 AS level, list(leaf ORDER BY i) AS l FROM placed GROUP BY source
+  UNION ALL SELECT source, level + 1, {_NEXT} FROM tree WHERE len(l) > 1),
+sub AS (SELECT source, l[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS t FROM tree WHERE len(l) = 1),
+top AS (
+  SELECT 0 AS level, list(subroot ORDER BY t) AS l FROM sub
+  UNION ALL SELECT level + 1, {_NEXT} FROM top WHERE len(l) > 1),
+step AS (
+  SELECT doc_id, placed.source AS source, placed.i AS i, level, (placed.i // (16 ** level)::BIGINT) AS j, l FROM placed JOIN tree ON placed.source IS NOT DISTINCT FROM tree.source AND len(l) > 1
+  UNION ALL SELECT doc_id, placed.source, placed.i, 1000 + level, t // (16 ** level)::BIGINT, l FROM placed JOIN sub ON placed.source IS NOT DISTINCT FROM sub.source, top WHERE len(l) > 1),
+path AS (SELECT source, i, list({_CUT} ORDER BY level) AS p FROM step GROUP BY source, i),
+done AS (
+  SELECT doc_id, leaf, subroot, top.l[1] AS root, coalesce(p, []) AS p, CASE WHEN crc % 5 = 0 AND doc_id IS NOT NULL THEN lower_leaf ELSE leaf END AS given
+  FROM placed JOIN sub ON placed.source IS NOT DISTINCT FROM sub.source LEFT JOIN path ON placed.source IS NOT DISTINCT FROM path.source AND placed.i = path.i, top WHERE len(top.l) = 1),
+folded AS (SELECT *, list_reduce(list_prepend(given, p), lambda d, s: sha256(split_part(s, '|', 1) || d || split_part(s, '|', 2))) AS folded_root FROM done)
+SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(p, ''), '|', '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""
+
+
+@query("op12_merkle_manifest", OP12_SQL)
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*_FIELDS)
+    drawn = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    tampered = merkle.leaf_digest(*[F.col(f) for f in _FIELDS[:4]], ascii_lower(F.col("text")))
+    found = merkle.Manifest(docs, list(_FIELDS), "doc_id", "source", {"given": F.when(drawn, F.unhex(tampered))})
+    proofs = found.proofs()
+    given = merkle.hex_of(F.coalesce("given", "leaf"))
+    return proofs.select(
+        F.col("id").alias("doc_id"),
+        merkle.hex_of(F.col("leaf")).alias("leaf"),
+        merkle.hex_of(F.col("subroot")).alias("subroot"),
+        F.lit(found.root).alias("root"),
+        merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+        merkle.folded(given, F.col("path")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
