@@ -34,7 +34,7 @@ def test_stages(spark, tmp_path):
 
 def test_pipeline_is_registered():
     q, o = __spark_entry__.queries(), __spark_entry__.oracle_sql()
-    assert "pipeline" in q and len([x for x in q if x.startswith("op")]) == 10
+    assert "pipeline" in q and len([x for x in q if x.startswith("op")]) == 13
     assert set(o) <= set(q)
 
 
