@@ -73,6 +73,41 @@ def test_exact_dedup_counts_over_batches(spark):
     assert {t.name for t in spark.catalog.listTables()} == before
 
 
+def test_digest_index_reopens_with_other_shuffle_partitions(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    exact_dedup.dedup(docs_of(spark, [(5, "a b"), (6, "c")]), exact_dedup.DigestIndex(spark, "t_reopen", 4, path))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "6")
+        again = exact_dedup.DigestIndex(spark, "t_reopen", path=path)
+        assert again.buckets == 4
+        rows = {r["doc_id"]: (r["keep_id"], r["kept"]) for r in exact_dedup.dedup(docs_of(spark, [(1, "a b"), (2, "d")]), again).collect()}
+        assert rows == {1: (5, False), 2: (2, True)}
+        spark.sql("DROP TABLE t_reopen")  # another session knows the files alone
+        again = exact_dedup.DigestIndex(spark, "t_reopen_2", 9, path)
+        assert again.buckets == 4 and again.table().count() == 3
+        rows = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.dedup(docs_of(spark, [(1, "d"), (3, "e")]), again).collect()}
+        assert rows == {1: (2, 2, False), 3: (3, 1, True)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_digest_index_repeats_a_batch(spark):
+    index = exact_dedup.DigestIndex(spark, "t_repeat", 4)
+    batches = {"x": [(5, "a b"), (5, "a b"), (6, "c"), (7, None)], "y": [(1, "a b"), (2, "d")]}
+    said = lambda b: sorted(map(repr, exact_dedup.dedup(docs_of(spark, batches[b]), index, batch=b).collect()))
+    first = {b: said(b) for b in batches}
+    rows = spark.table("t_repeat").count()
+    assert said("x") == first["x"] and said("y") == first["y"] and said("x") == first["x"]
+    assert spark.table("t_repeat").count() == rows
+    assert sum("kept=True" in r for r in first["x"]) == 3 and sum("kept=True" in r for r in first["y"]) == 1
+    # a batch of which a part was appended before the driver was lost
+    part = exact_dedup.digests(docs_of(spark, [(8, "e")]))
+    index.add(part, "z")
+    rows = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.dedup(docs_of(spark, [(8, "e"), (9, "f"), (10, "d")]), index, batch="z").collect()}
+    assert rows == {8: (8, 1, True), 9: (9, 1, True), 10: (2, 2, False)}
+
+
 def test_hot_keys_are_spread(spark):
     rows = spark.range(5000).select("id", F.when(F.col("id") < 3000, 1).when(F.col("id") < 3010, None).otherwise(F.col("id") % 100 + 2).cast("long").alias("k"))
     table = rows.where("k is not null and k <> 50").groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("v", F.col("k") * 10)
@@ -417,6 +452,25 @@ def test_archive_round_trip(spark):
     assert warc.read_records(warc.write_archive(df.limit(0), folder), folder).count() == 0
 
 
+def test_archives_share_a_folder(spark, tmp_path, monkeypatch):
+    folder = f"file://{tmp_path}/archives"
+    (tmp_path / "archives").mkdir()
+    (tmp_path / "archives" / "notes.txt").write_text("mine")
+    pages = [[(10 * k + i, "u", f"page {i % 7}" if i < 9 else f"page {k} {i}") for i in range(12)] for k in range(2)]
+    frames = [spark.createDataFrame(p, "page_id long, url string, html string") for p in pages]
+    first = warc.write_archive(frames[0], folder)
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)  # payloads that repeat come by a shuffle
+    second = warc.write_archive(frames[1], folder)
+    assert (tmp_path / "archives" / "notes.txt").read_text() == "mine"
+    for index, rows in ((first, pages[0]), (second, pages[1])):
+        got = {r["page_id"]: r for r in warc.read_records(index, folder).collect()}
+        last = {}
+        for page, _, html in rows:
+            last[html] = max(last.get(html, 0), page)
+        assert {p: r["refers_to"] for p, r in got.items()} == {p: None if last[h] == p else last[h] for p, _, h in rows}
+        assert {p: bytes(r["payload"]).decode() for p, r in got.items() if r["refers_to"] is None} == {p: h for p, _, h in rows if last[h] == p}
+
+
 # mixing
 
 

@@ -155,8 +155,9 @@ class Manifest:
             nodes = stored(merged, "forest")
             self.runs = self.runs.unionByName(nodes.where("done"))
             parts = -(-parts // FAN)
+        self.last = nodes.where("not done")
         if n_trees:
-            (root,) = nodes.where("not done").limit(2).collect()
+            (root,) = self.last.limit(2).collect()
             self.root = root["digest"].hex()
 
     def _down(self, above: DataFrame, level: int, top: bool) -> DataFrame:
@@ -175,9 +176,7 @@ class Manifest:
 
     def proofs(self) -> DataFrame:
         """(id, leaf, subroot, path, also...), digests in binary: a row for each of df's."""
-        spark = self.rows.sparkSession
-        top = F.lit(TOP).cast("long").alias("tree"), F.lit(0).cast("long").alias("idx"), F.unhex(F.lit(self.root)).alias("digest")
-        above = spark.range(1 if self.root else 0).select(*top, F.unhex(F.lit("")).alias("subroot"), F.expr(_EMPTY).alias("path"))
+        above = self.last.select("tree", "idx", "digest", F.expr("X''").alias("subroot"), F.expr(_EMPTY).alias("path"))
         for level in reversed(range(self.top_height)):
             above = self._down(above, level, top=True)
         tall = sum(((F.col("size") > ARITY**k).cast("int") for k in range(self.height + 1)), F.lit(0))

@@ -65,6 +65,14 @@ def bloom_blocks(keys: DataFrame, n_keys: int) -> tuple[DataFrame, int]:
     return table.groupBy("block").agg(F.bit_or("mask").alias("bits")), blocks
 
 
+def maybe_listed(rows: DataFrame, key: Column, filt: DataFrame, blocks: int, out: str) -> DataFrame:
+    """rows with out: whether the filter, broadcast, has all bits of key; false for null."""
+    probed = rows.withColumn("probe", key).withColumns({"block": _block(F.col("probe"), blocks), "mask": _mask(F.col("probe"))})
+    probed = probed.join(F.broadcast(filt), "block", "left")
+    hit = F.col("probe").isNotNull() & (F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask"))
+    return probed.select(*rows.columns, F.coalesce(hit, F.lit(False)).alias(out))
+
+
 def _possible(rows: DataFrame, keys: DataFrame, n_keys: int) -> DataFrame:
     """rows whose column key may be one of keys."""
     filt, blocks = bloom_blocks(keys, n_keys)

@@ -4,7 +4,8 @@ Writing: equal payloads of ``least`` bytes or more get one response record, that
 page_id, and a revisit record for each other; smaller payloads are all responses. Each task writes
 its rows as gzip records into files of its own, under names that no other attempt uses, and returns
 their index entries; the index is a stored table, so what it names was written by the attempt that
-counts. Files that it doesn't name, of other attempts, are deleted; a folder takes one archive.
+counts. Files begin with a name that this call alone uses; those of them that the index doesn't name, of other
+attempts, are deleted, and nothing else in the folder is: it may hold other archives and files.
 
 Reading: entries of one file and stretch meet in a task, sorted by offset; ranges with little
 between them become one read; each record is unpacked, parsed, and a response's payload held against
@@ -34,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, join_spread, scratch_path, stored
+from .url_filter import bloom_blocks, maybe_listed
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -94,7 +96,7 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _writer(folder: str):
+def _writer(folder: str, own: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
         out, path, at = None, "", 0
@@ -104,7 +106,7 @@ def _writer(folder: str):
                 for page_id, url, payload, refers_to, size, sha1 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if out is None:
                         fs.create_dir(root, recursive=True)
-                        path, at = f"{root}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz", 0
+                        path, at = f"{root}/{own}-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz", 0
                         out = fs.open_output_stream(path, compression=None)
                     body = payload or b""
                     digest = base64.b32encode(bytes.fromhex(sha1)).decode()
@@ -131,21 +133,25 @@ def write_archive(pages: DataFrame, folder: str, least: int = 0, id_col: str = "
     p = p.select("*", F.octet_length("payload").cast("long").alias("size"), F.sha1("payload").alias("sha1"))
     equal = p.select("page_id", "size", "sha1").where(F.col("size") >= least).groupBy("sha1", "size")
     equal = stored(equal.agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null"), "payloads")
-    if equal.count() <= BROADCAST_ROWS:
+    if (n := equal.count()) <= BROADCAST_ROWS:
         p = p.join(F.broadcast(equal.drop("n")), ["sha1", "size"], "left")
-    else:  # payloads are moved by digest, those of hot ones by page_id
-        p = join_spread(p, equal, ["sha1", "size"], ["first"], "n", ["page_id", "url"], "left")
+    else:  # payloads that may be repeated are moved by digest, those of hot ones by page_id; all others stay where they are
+        filt, blocks = bloom_blocks(equal.select(F.col("sha1").alias("key")), n)
+        p = maybe_listed(p, F.col("sha1"), filt, blocks, "maybe")
+        moved = join_spread(p.where("maybe").drop("maybe"), equal, ["sha1", "size"], ["first"], "n", ["page_id", "url"], "left")
+        p = moved.unionByName(p.where("not maybe").drop("maybe").withColumn("first", F.lit(None).cast("long")))
     refers_to = F.when(F.col("page_id") != F.col("first"), F.col("first"))
     rows = p.select("page_id", "url", F.when(refers_to.isNull(), F.col("payload")).alias("payload"), refers_to.alias("refers_to"), "size", "sha1")
-    index = stored(rows.mapInArrow(_writer(folder), _INDEX), "warc-index")
-    _delete_unlisted(index, folder)
+    own = uuid.uuid4().hex[:12]
+    index = stored(rows.mapInArrow(_writer(folder, own), _INDEX), "warc-index")
+    _delete_unlisted(index, folder, own)
     return index
 
 
-def _delete_unlisted(index: DataFrame, folder: str) -> None:
-    """Files of attempts that didn't count go; only names of files come to the driver."""
+def _delete_unlisted(index: DataFrame, folder: str, own: str) -> None:
+    """Files of this call's attempts that didn't count go; only names of files come to the driver."""
     fs, root = pafs.FileSystem.from_uri(folder)
-    found = {f.base_name for f in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)) if f.is_file}
+    found = {f.base_name for f in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)) if f.is_file and f.base_name.startswith(f"{own}-")}
     for name in found - {r[0] for r in index.select("file").distinct().toLocalIterator()}:
         fs.delete_file(f"{root}/{name}")
 
