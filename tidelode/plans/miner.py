@@ -275,19 +275,20 @@ class Miner:
         return {"n_clusters": self.config.n_clusters, "n_selected": len(self.stats), "long": self.long, "short": self.short, "best_score": max((r["score"] for r in self.stats), default=None)}
 
     # on disk
-    def save(self, path: str) -> None:
+    def save(self, path: str) -> int:
+        """Write the model as a new version under path; returns its number."""
         self._fitted()
         state = {"config": self.config.to_dict(), "centers": self.centers, "long": self.long, "short": self.short, "stats": self.stats, "scorer": self.scorer and asdict(self.scorer)}
-        models.save(self.scaling.sparkSession, state, path, {"scaling": self.scaling})
+        return models.save(self.scaling.sparkSession, state, path, {"scaling": self.scaling})
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> Miner:
-        state = models.load(spark, path)
+    def load(cls, spark: SparkSession, path: str, version: int | None = None) -> Miner:
+        state = models.load(spark, path, version)
         m = cls(state["config"])
         m.centers, m.long, m.short, m.stats = state["centers"], state["long"], state["short"], state.get("stats", [])
         if state.get("scorer"):
             m.scorer = MovementScorer(**state["scorer"] | {"weights": tuple(state["scorer"]["weights"])})
-        m.scaling = models.load_table(spark, path, "scaling")
+        m.scaling = models.load_table(spark, path, "scaling", version)
         return m
 
 

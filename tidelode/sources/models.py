@@ -1,15 +1,20 @@
-"""Models and reports on disk: a versioned JSON manifest and, for tables, parquet beside it."""
+"""Models and reports on disk: versions of a JSON manifest, each with the tables it names.
+
+A version's tables are written first, under names that no other version has; its manifest, which names them with
+their row count and a digest of their rows, is published last and whole. So a writer that dies between leaves the
+versions before as they were, and what a version names doesn't change.
+"""
 
 from __future__ import annotations
 
-import json
 import logging
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelode.schema import DataError
-from tidelode.sources.market import exists
+from tidelode.sources.states import States
 
 VERSION = 1
 REQUIRED_STATE = ("config", "centers", "long", "short")
@@ -35,22 +40,69 @@ def validate(state: dict) -> dict:
     return state
 
 
-def save(spark: SparkSession, state: dict, path: str, tables: dict[str, DataFrame] | None = None) -> None:
-    """Write the manifest and tables under path, in place of what is there."""
-    text = json.dumps(validate(state) | {"version": VERSION}, default=list)
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
-    for name, table in (tables or {}).items():
-        table.write.mode("overwrite").parquet(f"{path}/{name}")
+def table_digest(table: DataFrame) -> list:
+    """[rows, sum of the rows' hashes]: equal for equal rows in any order."""
+    n, total = table.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*table.columns).cast("decimal(38,0)"))).first()
+    return [n, str(total or 0)]
+
+
+def _manifests(spark: SparkSession, path: str) -> States:
+    return States(spark, f"{path}/manifests")
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    return _manifests(spark, path).versions()
+
+
+def write_tables(spark: SparkSession, path: str, tables: dict[str, DataFrame]) -> dict[str, dict]:
+    """Write tables that no version names yet: name to path under path, and digest of what was written."""
+    out = {}
+    for name, table in tables.items():
+        place = f"tables/{name}-{uuid.uuid4().hex}"
+        table.write.parquet(f"{path}/{place}")
+        out[name] = {"path": place, "digest": table_digest(spark.read.parquet(f"{path}/{place}"))}
+    return out
+
+
+def save(spark: SparkSession, state: dict, path: str, tables: dict[str, DataFrame] | None = None) -> int:
+    """Write a new version of the model under path; returns its number."""
+    manifest = validate(state) | {"version": VERSION, "tables": write_tables(spark, path, tables or {})}
+    return _manifests(spark, path).append(manifest)
+
+
+def load(spark: SparkSession, path: str, version: int | None = None) -> dict:
+    """The state of a version, the last one if none is named."""
+    manifests = _manifests(spark, path)
+    if version is None:
+        found = manifests.latest()
+        if found is None:
+            raise FileNotFoundError(path)
+        return validate(found[1])
+    return validate(manifests.get(version))
+
+
+def load_table(spark: SparkSession, path: str, name: str, version: int | None = None) -> DataFrame:
+    """A table of a version; an error if its rows aren't those that were saved."""
+    named = load(spark, path, version).get("tables", {})
+    if name not in named:
+        raise FileNotFoundError(f"{path}, table {name}")
+    table = spark.read.parquet(f"{path}/{named[name]['path']}")
+    if table_digest(table) != named[name]["digest"]:
+        raise DataError(f"{path}: table {name} isn't what was saved")
+    return table
 
 
-def load(spark: SparkSession, path: str) -> dict:
-    if not exists(spark, f"{path}/manifest"):
-        raise FileNotFoundError(path)
-    return validate(json.loads(spark.read.text(f"{path}/manifest", wholetext=True).first()[0]))
+def get_state(spark: SparkSession, path: str, name: str, version: int | None = None):
+    """One entry of a version's state."""
+    state = load(spark, path, version)
+    if name not in state:
+        raise DataError(f"a model without {name}")
+    return state[name]
 
 
-def load_table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{name}")
+def set_state(spark: SparkSession, path: str, **changes) -> int:
+    """A new version: the last one with other entries, and its tables."""
+    return _manifests(spark, path).append(validate(load(spark, path) | changes))
 
 
 def without_data(state: dict) -> dict:

@@ -15,7 +15,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from tidelode.functions import kernels
 from tidelode.operators import cluster
 from tidelode.operators.ordered import SERIES
-from tidelode.schema import EPS, array_mean
+from tidelode.schema import EPS, DataError, array_mean
+from tidelode.sources.states import States
 from tidelode.streaming import stability
 
 
@@ -85,6 +86,17 @@ class Detectors:
         self.density = None
         self.seen = 0
 
+    def state(self) -> dict:
+        plain = lambda v: v.tolist() if isinstance(v, np.ndarray) else v
+        return {name: plain(getattr(self, name)) for name in ("above", "below", "shares", "posterior", "edges", "hist", "density", "seen")} | {"means": list(self.means)}
+
+    def restore(self, state: dict) -> None:
+        for name, value in state.items():
+            if name == "means":
+                self.means = deque(value, maxlen=self.means.maxlen)
+            else:
+                setattr(self, name, np.array(value) if name in ("shares", "posterior", "hist") and value is not None else value)
+
     def update(self, labelled: DataFrame) -> dict[str, float]:
         """labelled: (cluster, features) of one batch, read three times."""
         rows = labelled.withColumn("batch", F.lit(0))
@@ -136,16 +148,39 @@ class AdaptiveCenters:
     """Centers that follow the data: each batch moves them by a rate that grows with change.
 
     rate = learning_rate * (1 - overall stability) * (1 + change score); a center moves by rate towards
-    the mean of its rows of the batch. keep is told each new version of the centers."""
+    the mean of its rows of the batch. keep is told each new version of the centers.
 
-    def __init__(self, centers: list[list[float]], learning_rate: float = 0.01, keep: Callable[[int, list], None] | None = None):
-        self.centers, self.learning_rate, self.keep = [list(c) for c in centers], learning_rate, keep
+    With states, what a batch leaves behind is kept under its number, and a batch begins with what the last one
+    before it has left, wherever that ran: after a restart the centers go on from there, and a batch that comes
+    again moves them as it did the first time. The centers given here then only begin an empty folder."""
+
+    def __init__(self, centers: list[list[float]], learning_rate: float = 0.01, keep: Callable[[int, list], None] | None = None, states: States | None = None):
+        self.centers, self.learning_rate, self.keep, self.states = [list(c) for c in centers], learning_rate, keep, states
         self.detectors = Detectors(len(centers))
         self.version = 0
         self.last: dict[str, float] = {}
-
-    def step(self, batch: DataFrame, column: str = "features") -> DataFrame:
-        """Labels of the batch by the centers so far; then the centers move. An empty batch changes nothing."""
+        if states is not None:
+            if (found := states.latest()) is None:
+                states.put(-1, self._state())
+            else:
+                self._restore(found[1])
+
+    def _state(self) -> dict:
+        return {"centers": self.centers, "version": self.version, "last": self.last, "detectors": self.detectors.state()}
+
+    def _restore(self, state: dict) -> None:
+        self.centers, self.version, self.last = [list(c) for c in state["centers"]], state["version"], state["last"]
+        self.detectors = Detectors(len(self.centers))
+        self.detectors.restore(state["detectors"])
+
+    def step(self, batch: DataFrame, column: str = "features", number: int | None = None) -> DataFrame:
+        """Labels of the batch by the centers so far; then the centers move. An empty batch changes nothing.
+
+        number: the batch's number, 0 or more, which states go by."""
+        if self.states is not None:
+            if number is None:
+                raise DataError("batches have numbers where states are kept")
+            self._restore(self.states.latest(before=number)[1])
         labelled = cluster.assign(batch, self.centers, column)
         if batch.isEmpty():
             return labelled
@@ -155,14 +190,17 @@ class AdaptiveCenters:
         for c, center in cluster.update_centers(rows, "features").collect():  # k rows
             self.centers[c] = [(1 - rate) * a + rate * b for a, b in zip(self.centers[c], center, strict=True)]
         self.version += 1
+        if self.states is not None:
+            self.states.put(number, self._state())
         if self.keep:
             self.keep(self.version, self.centers)
         return labelled
 
 
 def adapt_stream(features: DataFrame, adaptive: AdaptiveCenters, sink: Callable[[DataFrame, int], None], checkpoint: str):
-    """Start a query that labels and adapts batch by batch, and hands the labels to sink."""
-    return features.writeStream.foreachBatch(lambda df, i: sink(adaptive.step(df), i)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Start a query that labels and adapts batch by batch, and hands the labels and the batch's number to sink."""
+    step = lambda df, i: sink(adaptive.step(df, number=i), i)
+    return features.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def batches(spark: SparkSession, df: DataFrame, column: str = "batch") -> Iterator[DataFrame]:
