@@ -83,47 +83,156 @@ def important_points(x: np.ndarray, n: int, measure: int) -> np.ndarray:
     return np.nonzero(chosen)[1].reshape(rows, n)
 
 
-def pivots(x: np.ndarray, n: int, min_movement: float) -> list[int]:
-    """Places of up to n pivots: the ends, then the largest vertical deviation in a segment that moves enough."""
-    found = [0, len(x) - 1] if len(x) > 1 else [0]
-    least = (x.max() - x.min()) * min_movement
-    while len(found) < n:
-        best, where = 0.0, None
-        for a, b in zip(found[:-1], found[1:], strict=True):
-            if b - a < 2 or abs(x[b] - x[a]) < least:
-                continue
-            d = np.abs(np.interp(np.arange(a + 1, b), [a, b], [x[a], x[b]]) - x[a + 1 : b])
-            if d.max() > best:
-                best, where = d.max(), a + 1 + int(d.argmax())
-        if where is None:
+def pivot_places(x: np.ndarray, n: int, min_movement: float) -> np.ndarray:
+    """Places of up to n pivots of each row, ascending, -1 for those that aren't there.
+
+    The ends, then the largest vertical deviation from the chord of a segment that moves enough; deviations are
+    compared to nine places of the row's range, the first of equal ones counts. All rows at once: a
+    place's segment is known by running maxima and minima over the pivots so far."""
+    rows, size = x.shape
+    chosen = np.zeros((rows, size), bool)
+    chosen[:, [0, size - 1]] = True
+    place = np.broadcast_to(np.arange(size), (rows, size))
+    span = (x.max(1) - x.min(1))[:, None]
+    for _ in range(n - 2 if size > 2 else 0):
+        a = np.maximum.accumulate(np.where(chosen, place, 0), axis=1)
+        b = np.minimum.accumulate(np.where(chosen, place, size - 1)[:, ::-1], axis=1)[:, ::-1]
+        moves = np.abs(np.take_along_axis(x, b, 1) - np.take_along_axis(x, a, 1)) >= span * min_movement
+        d = np.round(_chord_distance(x, a, b, 3) / np.where(span > 0, span, 1), 9)
+        d = np.where(chosen | ~moves, 0.0, d)
+        best = np.argmax(d, axis=1)
+        more = np.flatnonzero(d[np.arange(rows), best] > 0)
+        if not len(more):
             break
-        found = sorted([*found, where])
-    return found
+        chosen[more, best[more]] = True
+    out = np.full((rows, max(n, 1 + (size > 1))), -1)
+    row, at = np.nonzero(chosen)
+    out[row, np.cumsum(chosen, axis=1)[row, at] - 1] = at
+    return out
+
+
+def pivots(x: np.ndarray, n: int, min_movement: float) -> list[int]:
+    """Those of one row."""
+    found = pivot_places(np.asarray(x, float)[None], n, min_movement)[0]
+    return found[found >= 0].tolist()
+
+
+def _segment_sums(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Sums of values[start:end] of each row and segment, by running sums."""
+    sums = np.concatenate([np.zeros((len(values), 1)), np.cumsum(values, axis=1)], axis=1)
+    return np.take_along_axis(sums, end, 1) - np.take_along_axis(sums, start, 1)
+
+
+def segments(x: np.ndarray, places: np.ndarray) -> dict[str, np.ndarray]:
+    """Of each row's segments between neighbouring pivots, nan where there is none: rise, run, angle, speed,
+    wild (deviation of the steps), slope (of the least-squares line); and start and end places."""
+    there = places[:, 1:] >= 0
+    start, end = np.where(there, places[:, :-1], 0), np.where(there, places[:, 1:], 0)
+    run = np.where(there, end - start, 1).astype(float)
+    rise = np.take_along_axis(x, end, 1) - np.take_along_axis(x, start, 1)
+    step = np.diff(x, axis=1)
+    owner = np.cumsum((places[:, None, :] == np.arange(x.shape[1] - 1)[None, :, None]).any(2), axis=1) - 1  # of each step
+    off = (step - np.take_along_axis(rise / run, np.minimum(owner, there.shape[1] - 1), 1)) ** 2 if there.shape[1] else step
+    wild = np.sqrt(_segment_sums(off, start, end) / run)
+    centered = x - x.mean(1, keepdims=True)
+    i = np.arange(x.shape[1], dtype=float)
+    n, middle = run + 1, (start + end) / 2
+    cross = _segment_sums(centered * i, start, end + 1) - middle * _segment_sums(centered, start, end + 1)
+    slope = cross / (n * (n * n - 1) / 12)
+    out = {"rise": rise, "run": run, "angle": np.arctan2(rise, run) / np.pi, "speed": rise / run, "wild": wild, "slope": slope}
+    return {k: np.where(there, v, np.nan) for k, v in out.items()} | {"start": start, "end": end}
+
+
+def movement_rows(x: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Raw features of each row's segments, eight for each, nan where there is none."""
+    s = segments(x, places)
+    before = np.concatenate([s["speed"][:, :1], s["speed"][:, :-1]], axis=1)
+    size = np.nanmean(np.abs(s["rise"]), axis=1, keepdims=True) if s["rise"].size else s["rise"]
+    return np.stack([s["rise"], s["run"], s["angle"], s["speed"], s["speed"] - before, s["rise"] / (size + EPS), s["wild"], s["slope"]], axis=2)
 
 
 def movements(x: np.ndarray, places: list[int]) -> np.ndarray:
-    """Raw features of the segments between pivots, a row of eight each."""
-    p = np.asarray(places)
-    if len(p) < 2:
+    """Those of one row."""
+    if len(places) < 2:
         return np.zeros((0, len(MOVEMENT)))
-    rise, run = np.diff(x[p]), np.diff(p).astype(float)
-    speed = rise / run
-    segments = [x[a : b + 1] for a, b in zip(p[:-1], p[1:], strict=True)]
-    slope = [np.polyfit(np.arange(len(s)), s, 1)[0] for s in segments]
-    wild = [np.diff(s).std() for s in segments]
-    return np.column_stack([rise, run, np.arctan2(rise, run) / np.pi, speed, np.diff(speed, prepend=speed[0]), rise / (np.abs(rise).mean() + EPS), wild, slope])
+    return movement_rows(np.asarray(x, float)[None], np.asarray(places)[None])[0]
+
+
+def moving_trends(x: np.ndarray, width: int) -> np.ndarray:
+    """How far each value of each row is from the mean of the width values that end there, in deviations, within -1 and 1."""
+    if x.shape[1] < width:
+        return np.zeros(x.shape)
+    average = np.lib.stride_tricks.sliding_window_view(x, width, axis=1).mean(2)
+    average = np.concatenate([np.repeat(average[:, :1], width - 1, axis=1), average], axis=1)
+    return np.clip((x - average) / (x.std(1, keepdims=True) + EPS), -1, 1)
+
+
+STATS = ("price_std", "price_mean", "speed_std", "speed_mean", "volatility_std", "volatility_mean")
+#: What the statistics are before the first window.
+START = (1.0, 0.0, 1.0, 0.0, 1.0, 0.0)
 
 
-def moving_trend(x: np.ndarray, width: int) -> np.ndarray:
-    if len(x) < width:
-        return np.zeros(len(x))
-    average = np.convolve(x, np.ones(width) / width, mode="valid")
-    average = np.concatenate([np.full(width - 1, average[0]), average])
-    return np.clip((x - average) / (x.std() + EPS), -1, 1)
+def _history_stats(h: np.ndarray, window: int) -> np.ndarray:
+    """The statistics of rows of history."""
+    w, every = min(window, h.shape[1]), np.diff(h, axis=1) if h.shape[1] > 1 else np.zeros((len(h), 1))
+    change = every[:, -(w - 1) :] if every.shape[1] > w > 1 else every
+    i = np.arange(1, change.shape[1] + 1)
+    size = np.abs(change)
+    return np.column_stack([every.std(1) + EPS, h[:, -w:].mean(1), (change / i).std(1) + EPS, size.mean(1) / i.mean(), size.std(1) + EPS, size.mean(1)])
+
+
+def window_stats(x: np.ndarray, lookback: int, window: int) -> np.ndarray:
+    """Of rows that are windows in order: the statistics of the values of the lookback - 1 windows before each (of its own, for the first)."""
+    rows, size = x.shape
+    past = max(lookback - 1, 1)
+    out = np.empty((rows, len(STATS)))
+    for r in range(min(past, rows)):
+        out[r] = _history_stats((x[:r] if r else x[:1]).reshape(1, -1), window)[0]
+    flat = np.ascontiguousarray(x).reshape(-1)
+    for a in range(past, rows, 1024):  # the views are made into arrays
+        b = min(a + 1024, rows)
+        views = np.lib.stride_tricks.sliding_window_view(flat[(a - past) * size : (b - 1) * size], past * size)[::size]
+        out[a:b] = _history_stats(views, window)
+    return out
+
+
+def fade(new: np.ndarray, alpha: float, block: int = 64) -> np.ndarray:
+    """Exponential means of rows in order from 0: out[t] = (1 - alpha) out[t - 1] + alpha new[t], a block of rows at a time."""
+    i = np.arange(block)
+    weights = np.where(i[:, None] >= i[None, :], alpha * (1 - alpha) ** np.maximum(i[:, None] - i[None, :], 0), 0.0)
+    carried = ((1 - alpha) ** (i + 1))[:, None]
+    out, last = np.empty(new.shape), np.zeros(new.shape[1])
+    for a in range(0, len(new), block):
+        part = new[a : a + block]
+        k = len(part)
+        out[a : a + k] = weights[:k, :k] @ part + carried[:k] * last
+        last = out[a + k - 1]
+    return out
+
+
+def raw_movements(x: np.ndarray, n: int, min_movement: float, trend_window: int, window: int) -> dict[str, np.ndarray]:
+    """Of rows that are windows in order: what n segments of each have before statistics of earlier windows normalise them.
+
+    The speed before a window's first is the last one of the window before; magnitudes compare with the mean last rise of
+    up to so many windows before."""
+    places = pivot_places(x, n + 1, min_movement)
+    s = segments(x, places)
+    count = (places[:, 1:] >= 0).sum(1)
+    last = np.maximum(count - 1, 0)[:, None]
+    speed, rise = s["speed"], np.nan_to_num(np.take_along_axis(s["rise"], last, 1)[:, 0])
+    ends = np.take_along_axis(speed, last, 1)
+    before = np.concatenate([np.concatenate([speed[:1, :1], ends[:-1]]), speed[:, :-1]], axis=1)
+    sums = np.concatenate(([0.0], np.cumsum(np.abs(rise))))
+    at = np.arange(len(x))
+    first = np.maximum(at - window, 0)
+    scale = (sums[at] - sums[first]) / np.maximum(at - first, 1) + EPS
+    size = np.where((at > 0)[:, None], s["rise"] / scale[:, None], np.where(np.isnan(speed), np.nan, 1.0))
+    trend = _segment_sums(moving_trends(x, trend_window), s["start"], s["end"] + 1) / (s["run"] + 1)
+    return {"vertical": s["rise"], "horizontal": s["run"], "angle": s["angle"], "speed": speed, "acceleration": speed - before, "magnitude": size, "volatility": s["wild"], "trend": trend}
 
 
 class MovementState:
-    """Movement vectors of one series' windows in order.
+    """Movement vectors of one series' windows in order, one at a time, as they come in a stream.
 
     Speeds and magnitudes are compared raw with raw, and one pivot more than segments is looked for, so
     that every segment asked for is filled where the window allows."""
@@ -140,50 +249,29 @@ class MovementState:
         self.normalize_window, self.min_movement, self.trend_window, self.alpha = normalize_window, min_movement, trend_window, alpha
         self.windows: deque[np.ndarray] = deque(maxlen=max(lookback - 1, 1))
         self.recent: deque[float] = deque(maxlen=normalize_window)  # the last rise of each window
-        self.stats = {"price_std": 1.0, "price_mean": 0.0, "speed_std": 1.0, "speed_mean": 0.0, "volatility_std": 1.0, "volatility_mean": 0.0}
+        self.stats = dict(zip(STATS, START, strict=True))
         self.last_speed: float | None = None
 
-    def _update(self, current: np.ndarray) -> None:
-        h = np.concatenate(self.windows) if self.windows else current
-        w, every = min(self.normalize_window, len(h)), np.diff(h) if len(h) > 1 else np.zeros(1)
-        change = every[-(w - 1) :] if len(every) > w > 1 else every
-        i = np.arange(1, len(change) + 1)
-        new = {
-            "price_std": every.std() + EPS, "price_mean": h[-w:].mean(), "speed_std": (change / i).std() + EPS, "speed_mean": np.abs(change).mean() / i.mean(),
-            "volatility_std": np.abs(change).std() + EPS, "volatility_mean": np.abs(change).mean(),
-        }
-        self.stats = {k: (1 - self.alpha) * self.stats[k] + self.alpha * v for k, v in new.items()}
-
     def step(self, x: np.ndarray) -> list[float]:
-        self._update(x)
+        history = np.concatenate(self.windows) if self.windows else x
+        new = _history_stats(history[None], self.normalize_window)[0]
+        self.stats = {k: (1 - self.alpha) * self.stats[k] + self.alpha * float(v) for k, v in zip(STATS, new, strict=True)}
         self.windows.append(x)
-        p = np.asarray(pivots(x, self.segments + 1, self.min_movement))
         s = self.stats
-        rise, run = np.diff(x[p]), np.diff(p).astype(float)
-        out = np.zeros((self.segments, len(self.names)))
-        if len(rise):
-            speed, bend = rise / run, moving_trend(x, self.trend_window)
-            scale = np.mean(np.abs(self.recent)) + EPS if self.recent else None
-            cut = [x[a : b + 1] for a, b in zip(p[:-1], p[1:], strict=True)]
-            every = {
-                "vertical": (rise - s["price_mean"]) / s["price_std"],
-                "horizontal": run,
-                "angle": np.arctan2(rise, run) / np.pi,
-                "speed": (speed - s["speed_mean"]) / s["speed_std"],
-                "acceleration": np.diff(speed, prepend=speed[0] if self.last_speed is None else self.last_speed),
-                "magnitude": np.ones(len(rise)) if scale is None else rise / scale,
-                "volatility": np.array([np.diff(c).std() for c in cut]) / s["volatility_std"],
-                "trend": np.array([bend[a : b + 1].mean() for a, b in zip(p[:-1], p[1:], strict=True)]),
-            }
-            rows = np.column_stack([every[f] for f in self.names])[: self.segments]
-            out[: len(rows)] = rows
-            self.last_speed = float(speed[-1])
-        self.recent.append(float(rise[-1]) if len(rise) else 0.0)
-        return [float(v) for v in out.ravel()]
-
-    def memory(self) -> int:
-        """After so many windows, what came before no longer shows in the sixteenth digit."""
-        return max(self.normalize_window, self.windows.maxlen) + int(np.ceil(np.log(1e-18) / np.log(1 - self.alpha)))
+        every = {k: v[0] for k, v in raw_movements(x[None], self.segments, self.min_movement, self.trend_window, self.normalize_window).items()}
+        rise, speed = every["vertical"], every["speed"]
+        there = ~np.isnan(rise)
+        if self.last_speed is not None:
+            every["acceleration"] = np.concatenate(([speed[0] - self.last_speed], every["acceleration"][1:]))
+        if self.recent:
+            every["magnitude"] = rise / (np.mean(np.abs(self.recent)) + EPS)
+        every["vertical"] = (rise - s["price_mean"]) / s["price_std"]
+        every["speed"] = (speed - s["speed_mean"]) / s["speed_std"]
+        every["volatility"] = every["volatility"] / s["volatility_std"]
+        if there.any():
+            self.last_speed = float(speed[there][-1])
+        self.recent.append(float(rise[there][-1]) if there.any() else 0.0)
+        return [float(v) for v in np.nan_to_num(np.column_stack([every[f] for f in self.names])).ravel()]
 
 
 def dtw_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:

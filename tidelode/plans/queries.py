@@ -381,12 +381,47 @@ def wavelet_sym5(spark, d):
     return _each(_windows(spark, d, 25).withColumn("f", reducers.wavelet(F.col("window"), 4, "sym5")), "f", SERIES, "pos")
 
 
-@query("mvr_reduce")
+def _pivot_sql(n: int, size: int) -> str:
+    """Windows w of e and their pivots: z has p, the places, after up to n - 2 steps; y has their segments j from s to t."""
+    left, right = "list_max(list_filter(p, lambda q: q < i))", "list_min(list_filter(p, lambda q: q > i))"
+    chord = f"x[{left} + 1] + (x[{right} + 1] - x[{left} + 1]) * (i - {left}) / ({right} - {left})::DOUBLE"
+    off = f"CASE WHEN list_contains(p, i) OR abs(x[{right} + 1] - x[{left} + 1]) < span * 0.001::DOUBLE THEN 0 ELSE round(abs({chord} - x[i + 1]) / span, 9) END"
+    return f"""w AS (SELECT series_id, pos, x, list_max(x) - list_min(x) AS span FROM (SELECT series_id, pos, list(value) OVER (PARTITION BY series_id ORDER BY pos ROWS BETWEEN {size - 1} PRECEDING AND CURRENT ROW) AS x FROM e) WHERE len(x) = {size}),
+g AS (SELECT series_id, pos, x, span, [0, {size - 1}]::BIGINT[] AS p, 2 AS k FROM w
+  UNION ALL SELECT series_id, pos, x, span, list_sort(list_append(p, -best.i)), k + 1 FROM (SELECT *, list_max(list_transform(range(1, {size - 1}), lambda i: struct_pack(d := {off}, i := -i))) AS best FROM g WHERE k < {n} AND span > 0) WHERE best.d > 0),
+z AS (SELECT series_id, pos, any_value(x) AS x, arg_max(p, k) AS p FROM g GROUP BY 1, 2),
+y AS (SELECT series_id, pos, x, j, p[j] AS s, p[j + 1] AS t, x[p[j + 1] + 1] - x[p[j] + 1] AS rise, (p[j + 1] - p[j])::DOUBLE AS run, len(p) - 1 AS m FROM (SELECT *, unnest(range(1, len(p))) AS j FROM z))"""
+
+
+_WILD = "list_aggregate(list_transform(range(s, t), lambda q: x[q + 2] - x[q + 1]), 'stddev_pop')"
+_MOVEMENT_SQL = f"""WITH RECURSIVE {E_SQL}, {_pivot_sql(4, 10)},
+f AS (SELECT series_id, pos, j, [rise, run, atan2(rise, run) / pi(), rise / run, coalesce(rise / run - lag(rise / run) OVER o, 0), rise / (avg(abs(rise)) OVER (PARTITION BY series_id, pos) + 1e-10), {_WILD},
+  list_sum(list_transform(range(s, t + 1), lambda q: (q - (s + t) / 2.0::DOUBLE) * x[q + 1])) / ((run + 1) * ((run + 1) * (run + 1) - 1) / 12)] AS f FROM y WINDOW o AS (PARTITION BY series_id, pos ORDER BY j)),
+v AS (SELECT series_id, pos, 8 * (j - 1) + unnest(range(0, 8)) AS i, unnest(f) AS x FROM f)
+SELECT w.series_id, w.pos, k::INT AS i, {s6("coalesce(v.x, 0)")} AS x FROM w CROSS JOIN range(0, 24) r(k) LEFT JOIN v ON v.series_id = w.series_id AND v.pos = w.pos AND v.i = k"""
+_MEAN7 = "list_avg(x[greatest(q - 6, 0) + 1 : greatest(q - 6, 0) + 7])"
+_MVR_SQL = f"""WITH RECURSIVE {E_SQL}, {_pivot_sql(3, 25)},
+h AS (SELECT series_id, pos, row_number() OVER (PARTITION BY series_id ORDER BY pos) - 1 AS r, coalesce(flatten(list(x) OVER (PARTITION BY series_id ORDER BY pos ROWS BETWEEN 9 PRECEDING AND 1 PRECEDING)), x) AS h FROM w),
+d AS (SELECT series_id, pos, r, h, list_transform(range(1, len(h)), lambda q: h[q + 1] - h[q]) AS d FROM h),
+c AS (SELECT series_id, pos, r, h[greatest(len(h) - 99, 1) :] AS h, d, CASE WHEN len(d) > least(100, len(h)) THEN d[len(d) - least(100, len(h)) + 2 :] ELSE d END AS c FROM d),
+n AS (SELECT series_id, pos, r, list_aggregate(d, 'stddev_pop') + 1e-10 AS s1, list_avg(h) AS s2, list_aggregate(list_transform(range(1, len(c) + 1), lambda q: c[q] / q), 'stddev_pop') + 1e-10 AS s3,
+  list_avg(list_transform(c, lambda v: abs(v))) / ((len(c) + 1) / 2.0::DOUBLE) AS s4, list_aggregate(list_transform(c, lambda v: abs(v)), 'stddev_pop') + 1e-10 AS s5 FROM c),
+a AS (SELECT t.series_id, t.pos, any_value(t.r) AS r, {", ".join(f"sum(0.1::DOUBLE * pow(0.9::DOUBLE, t.r - b.r) * b.s{k}) + any_value(pow(0.9::DOUBLE, t.r + 1) * {k % 2}) AS s{k}" for k in range(1, 6))}
+  FROM n t JOIN n b ON b.series_id = t.series_id AND b.r <= t.r AND b.r > t.r - 400 GROUP BY t.series_id, t.pos),
+l AS (SELECT series_id, pos, lag(rise / run) OVER o AS before, avg(abs(rise)) OVER (PARTITION BY series_id ORDER BY pos ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING) AS scale FROM y WHERE j = m WINDOW o AS (PARTITION BY series_id ORDER BY pos)),
+f AS (SELECT y.series_id, y.pos, j, [(rise - s2) / s1, run, atan2(rise, run) / pi(), (rise / run - s4) / s3, rise / run - coalesce(lag(rise / run) OVER o, before, rise / run), CASE WHEN scale IS NULL THEN 1 ELSE rise / (scale + 1e-10) END, {_WILD} / s5,
+  list_avg(list_transform(range(s, t + 1), lambda q: least(greatest((x[q + 1] - {_MEAN7}) / (list_aggregate(x, 'stddev_pop') + 1e-10), -1), 1)))] AS f
+  FROM y JOIN a USING (series_id, pos) JOIN l USING (series_id, pos) WINDOW o AS (PARTITION BY y.series_id, y.pos ORDER BY j)),
+v AS (SELECT series_id, pos, 8 * (j - 1) + unnest(range(0, 8)) AS i, unnest(f) AS x FROM f)
+SELECT w.series_id, w.pos, k::INT AS i, {s6("coalesce(v.x, 0)")} AS x FROM w CROSS JOIN range(0, 16) r(k) LEFT JOIN v ON v.series_id = w.series_id AND v.pos = w.pos AND v.i = k"""
+
+
+@query("mvr_reduce", _MVR_SQL)
 def mvr_reduce(spark, d):
     return _each(reducers.movement_vectors(_windows(spark, d, 25), 16, trend_window=7), "features", SERIES, "pos")
 
 
-@query("movement_features")
+@query("movement_features", _MOVEMENT_SQL)
 def movement_features(spark, d):
     m = _windows(spark, d, 10).withColumn("m", reducers.movement_features(F.col("window"), 4))
     return _each(m.select(SERIES, "pos", reducers.pack(F.col("m"), 24).alias("m")), "m", SERIES, "pos")
