@@ -82,6 +82,93 @@ def test_matrix_profile_by_definition():
         kernels.matrix_profile(np.ones((1, 6)))
 
 
+@pytest.mark.parametrize(("n", "width"), [(64, 16), (24, 6), (200, 20), (64, None)])
+def test_sliding_profile(n, width):
+    x = np.random.default_rng(2).normal(size=(4, n)) * 10 + 1000
+    x[0] = np.tile(x[0, : n // 4], 4)  # repeats: distances of 0
+    x[1] = 5.0
+    assert np.allclose(kernels.sliding_profile(x, width), kernels.matrix_profile(x, width), atol=1e-4)
+    assert kernels.sliding_profile(x, width)[0].max() == 0
+
+
+def test_sliding_profile_of_a_long_series():
+    x = np.random.default_rng(3).normal(size=(1, 20_000)).cumsum(1)
+    p = kernels.sliding_profile(x, 64)
+    assert p.shape == (1, 20_000 - 63)
+    sub = np.lib.stride_tricks.sliding_window_view(x[0], 64)
+    for i in (0, 63, 9_999, 19_936):
+        d = np.sqrt(((sub - sub[i]) ** 2).sum(1))
+        d[max(i - 63, 0) : i + 64] = np.inf
+        assert p[0, i] == pytest.approx(d.min(), rel=1e-6)
+    assert kernels.profile(x[:, :2000]).shape == (1, 1501)
+
+
+def warped(a, b):
+    d = np.full((len(a) + 1, len(b) + 1), np.inf)
+    d[0, 0] = 0
+    for i in range(len(a)):
+        for j in range(len(b)):
+            d[i + 1, j + 1] = (a[i] - b[j]) ** 2 + min(d[i, j], d[i, j + 1], d[i + 1, j])
+    return d[-1, -1] ** 0.5
+
+
+@pytest.mark.parametrize(("n", "m"), [(1, 1), (1, 6), (6, 1), (17, 23), (90, 64)])
+def test_dtw_by_the_recurrence(n, m, monkeypatch):
+    monkeypatch.setattr(kernels, "WHOLE_CELLS", 16)
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(size=(3, n)).cumsum(1), rng.normal(size=(3, m)).cumsum(1)
+    want = [warped(x, y) for x, y in zip(a, b, strict=True)]
+    assert np.allclose(kernels.dtw_pairs(a, b), want)
+    assert np.allclose(kernels.dtw_near(a, b, max(n, m)), want)
+    near = kernels.dtw_near(a, b, 4)
+    assert (near >= np.array(want) - 1e-9).all() and (near <= 1.5 * np.array(want) + 1e-9).all()
+
+
+def test_dtw_of_long_series():
+    rng = np.random.default_rng(5)
+    a = rng.normal(size=(1, 5000)).cumsum(1)
+    b = np.repeat(a, 2, axis=1)[:, 1000:6000] + 0.1
+    whole = kernels.dtw_pairs(a, b)
+    assert kernels.dtw_near(a, b, 5000) == pytest.approx(whole)
+    assert kernels.dtw_near(a, b, 100) >= whole - 1e-9
+    assert kernels.dtw_pairs(a, np.repeat(a, 2, axis=1))[0] == 0
+
+
+def test_segments_of_all_windows_at_once():
+    x = np.round(np.random.default_rng(6).normal(size=(200, 14)).cumsum(1), 2)
+    x[:5] = 1.0
+    places = kernels.pivot_places(x, 5, 0.2)
+    rows = kernels.movement_rows(x, places)
+    for r in range(len(x)):
+        p = [0, 13]
+        while len(p) < 5:  # one window, segment by segment
+            best = (0.0, None)
+            for a, b in zip(p[:-1], p[1:], strict=True):
+                if abs(x[r, b] - x[r, a]) >= np.ptp(x[r]) * 0.2:
+                    for i in range(a + 1, b):
+                        d = round(abs(x[r, a] + (x[r, b] - x[r, a]) * (i - a) / (b - a) - x[r, i]) / (np.ptp(x[r]) or 1), 9)
+                        best = max(best, (d, -i), key=lambda t: (t[0], t[1] or -99))
+            if best[1] is None or best[0] == 0:
+                break
+            p = sorted([*p, -best[1]])
+        assert [v for v in places[r].tolist() if v >= 0] == p
+        for j, (a, b) in enumerate(zip(p[:-1], p[1:], strict=True)):
+            seg = x[r, a : b + 1]
+            assert rows[r, j, 6] == pytest.approx(np.diff(seg).std(), abs=1e-9)
+            assert rows[r, j, 7] == pytest.approx(np.polyfit(np.arange(len(seg)), seg, 1)[0], abs=1e-9)
+        assert np.isnan(rows[r, len(p) - 1 :]).all()
+
+
+def test_fading_means_compose():
+    new = np.random.default_rng(7).normal(size=(500, 2))
+    out, last = kernels.fade(new, 0.1), np.zeros(2)
+    for i, v in enumerate(new):
+        last = 0.9 * last + 0.1 * v
+        assert np.allclose(out[i], last)
+    k = 333  # the map of the second part, applied to what the first leaves
+    assert np.allclose(kernels.fade(new[k:], 0.1) + 0.9 ** np.arange(1, 500 - k + 1)[:, None] * out[k - 1], out[k:])
+
+
 def test_pivots_and_movements():
     x = np.array([0.0, 1, 2, 3, 2, 1, 0.5])
     p = kernels.pivots(x, 3, 0.001)

@@ -259,3 +259,27 @@ def test_finite(spark):
         cleaning.require_finite(series(spark, [1, float("nan")]), "value")
     cleaning.require_finite(series(spark, [1, 2]), "value")
     assert column(cleaning.asinh_scale(series(spark, [2, 2]), "value"), "scaled") == [0, 0]
+
+
+def test_student_columns(spark):
+    from tidelode.functions import student
+
+    rows = [(float(n), t) for n in (1, 2, 3, 10, 49, 1000, 1_000_000) for t in (0.0, 0.5, -2.0, 5.0, 40.0)] + [(5.0, None), (None, 1.0)]
+    df = spark.createDataFrame(rows, "n double, t double")
+    for n, t, p, q in df.select("n", "t", student.two_sided_column(F.col("t"), F.col("n")), student.quantile_column(0.975, F.col("n"))).collect():
+        assert p is None if n is None or t is None else p == pytest.approx(student.two_sided(t, n), rel=1e-7, abs=1e-12)
+        assert q is None if n is None else q == pytest.approx(student.quantile(0.975, n), rel=1e-7)
+
+
+def test_t_intervals(spark):
+    stats = [{"cluster": i, "mean": m, "sem": s, "n": n, "std": 0.2, "consistency": c} for i, (m, s, n, c) in enumerate([(0.5, 0.1, 50, 0.9), (-0.4, 0.1, 20, 0.7), (0.1, 0.1, 30, 0.9), (0.5, 0.0, 9, 0.9), (0.5, None, 1, 0.9), (0.9, 0.1, 40, 0.5)])]
+    df = spark.createDataFrame(stats, "cluster int, mean double, sem double, n long, std double, consistency double")
+    got = {r["cluster"]: r for r in evaluate.with_t_interval(df).collect()}
+    for want in evaluate.with_interval(stats):
+        r = got[want["cluster"]]
+        for k in ("lower", "upper", "p_value"):
+            assert r[k] == (want[k] if want[k] is None else pytest.approx(want[k], rel=1e-7)), (want["cluster"], k)
+    kept = evaluate.significant_patterns(evaluate.with_t_interval(df)).orderBy(F.desc("score")).collect()
+    want = evaluate.select_patterns(evaluate.with_interval(stats))
+    assert [(r["cluster"], r["side"]) for r in kept] == [(r["cluster"], r["side"]) for r in want] == [(0, 1), (1, -1)]
+    assert [r["score"] for r in kept] == pytest.approx([r["score"] for r in want])

@@ -275,17 +275,82 @@ class MovementState:
 
 
 def dtw_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Dynamic time warping distance of each row of a and the same row of b: root of the least sum of squares."""
-    cost = (a[:, :, None] - b[:, None, :]) ** 2
-    rows, n, m = cost.shape
-    last = np.full((m + 1, rows), np.inf)
-    last[0] = 0
-    for i in range(n):
-        new = np.full_like(last, np.inf)
-        for j in range(m):
-            new[j + 1] = cost[:, i, j] + np.minimum(np.minimum(last[j], last[j + 1]), new[j])
-        last = new
-    return np.sqrt(last[m])
+    """Dynamic time warping distance of each row of a and the same row of b: root of the least sum of squares.
+
+    Cells of an anti-diagonal depend on the two before it alone, so three of them are kept, for all rows at once."""
+    (rows, n), m = a.shape, b.shape[1]
+    two, one = np.full((rows, n + 1), np.inf), np.full((rows, n + 1), np.inf)
+    two[:, 0] = 0
+    for d in range(2, n + m + 1):  # the cells (i, d - i), counted from 1
+        low, high = max(1, d - m), min(n, d - 1)
+        now = np.full((rows, n + 1), np.inf)
+        cost = (a[:, low - 1 : high] - b[:, d - high - 1 : d - low][:, ::-1]) ** 2
+        now[:, low : high + 1] = cost + np.minimum(np.minimum(one[:, low - 1 : high], one[:, low : high + 1]), two[:, low - 1 : high])
+        two, one = one, now
+    return np.sqrt(one[:, n])
+
+
+def _banded(a: np.ndarray, b: np.ndarray, low: np.ndarray, high: np.ndarray, path: bool) -> tuple[float, np.ndarray]:
+    """Warping of one pair where place i of a meets only places low[i] to high[i] of b, both ascending: squared distance, and if asked the path."""
+    n, m = len(a), len(b)
+    i = np.arange(n)
+    first, last = i + low, i + high  # the anti-diagonals that each place of a is on
+    two, one = np.full(n + 1, np.inf), np.full(n + 1, np.inf)
+    two[0] = 0
+    turns: list[tuple[int, np.ndarray]] = []
+    for d in range(n + m - 1):
+        p, q = int(np.searchsorted(last, d)), int(np.searchsorted(first, d, side="right"))
+        now = np.full(n + 1, np.inf)
+        if p < q:
+            ways = np.stack([two[p:q], one[p:q], one[p + 1 : q + 1]])  # from both before, from a's before, from b's before
+            turn = ways.argmin(0)
+            now[p + 1 : q + 1] = (a[p:q] - b[d - i[p:q]]) ** 2 + np.take_along_axis(ways, turn[None], 0)[0]
+        if path:
+            turns.append((p, turn.astype(np.int8) if p < q else np.zeros(0, np.int8)))
+        two, one = one, now
+        if d == 0:
+            two = np.full(n + 1, np.inf)
+    steps = []
+    if path:
+        x, y = n - 1, m - 1
+        while x >= 0 and y >= 0:
+            steps.append((x, y))
+            p, turn = turns[x + y]
+            t = turn[x - p]
+            x, y = x - (t != 2), y - (t != 1)
+    return float(one[n]), np.array(steps[::-1])
+
+
+#: Pairs whose product of lengths is no more are warped whole to begin with.
+WHOLE_CELLS = 1 << 16
+
+
+def _halved(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([x, x[-1:]])[: len(x) + len(x) % 2].reshape(-1, 2).mean(1)
+
+
+def _warp(a: np.ndarray, b: np.ndarray, radius: int, path: bool) -> tuple[float, np.ndarray]:
+    n, m = len(a), len(b)
+    if n * m <= WHOLE_CELLS or min(n, m) <= 2 * radius + 2 or radius >= max(n, m):
+        return _banded(a, b, np.zeros(n, int), np.full(n, m - 1), path)
+    _, coarse = _warp(_halved(a), _halved(b), radius, True)
+    low, high = np.full(n, m - 1), np.zeros(n, int)
+    for k in (0, 1):
+        at = np.minimum(2 * coarse[:, 0] + k, n - 1)
+        np.minimum.at(low, at, 2 * coarse[:, 1])
+        np.maximum.at(high, at, 2 * coarse[:, 1] + 1)
+    wide = lambda v, f: f.reduce(np.lib.stride_tricks.sliding_window_view(np.pad(v, radius, mode="edge"), 2 * radius + 1), axis=1)
+    low = np.maximum(wide(low, np.minimum) - radius, 0)
+    high = np.minimum(wide(high, np.maximum) + radius, m - 1)
+    low[0], high[-1] = 0, m - 1
+    return _banded(a, b, np.minimum.accumulate(low[::-1])[::-1], np.maximum.accumulate(high), path)
+
+
+def dtw_near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """The same within a window around the path of series of half the length, radius places to each side; exact if that is everything.
+
+    Time and memory grow with length times radius, not with the product of lengths."""
+    return np.sqrt([_warp(x, y, radius, False)[0] for x, y in zip(a, b, strict=True)])
 
 
 def dtw(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -311,11 +376,55 @@ def matrix_profile(x: np.ndarray, width: int | None = None) -> np.ndarray:
     return np.sqrt(np.maximum(d.min(2), 0))
 
 
+def sliding_profile(x: np.ndarray, width: int | None = None) -> np.ndarray:
+    """The same in memory of a few rows, whatever their length.
+
+    The products of the first subsequence with all others come from one Fourier transform. Along a diagonal, places
+    a fixed lag apart, a product is the one before less what leaves and plus what enters: a running sum. Means are
+    taken out first, so that sums stay small. Each place's nearest is found diagonal by diagonal, and its
+    distance taken from the values themselves."""
+    rows, n = x.shape
+    w = width or profile_width(n)
+    m = n - w + 1
+    if m <= w:
+        raise DataError(f"a series of {n} is too short for subsequences of {w}")
+    c = x - x.mean(1, keepdims=True)
+    size = 1 << (2 * n - 1).bit_length()
+    first = np.fft.irfft(np.fft.rfft(c, size, axis=1) * np.conj(np.fft.rfft(c[:, :w], size, axis=1)), size, axis=1)[:, :m]
+    sums = np.concatenate([np.zeros((rows, 1)), np.cumsum(c * c, axis=1)], axis=1)
+    square = sums[:, w:] - sums[:, :-w]
+    best, where = np.full((rows, m), np.inf), np.zeros((rows, m), int)
+    for lag in range(w, m):
+        k = m - lag
+        change = np.concatenate([first[:, lag : lag + 1], c[:, w : n - lag] * c[:, w + lag :] - c[:, : k - 1] * c[:, lag : m - 1]], axis=1)
+        d = square[:, :k] + square[:, lag:] - 2 * np.cumsum(change, axis=1)
+        for mine, other in ((slice(0, k), np.arange(lag, m)), (slice(lag, m), np.arange(k))):
+            nearer = d < best[:, mine]
+            best[:, mine] = np.where(nearer, d, best[:, mine])
+            where[:, mine] = np.where(nearer, other, where[:, mine])
+    out = np.empty((rows, m))
+    subs = np.lib.stride_tricks.sliding_window_view(x, w, axis=1)
+    each = max(1, (1 << 20) // w)
+    for r in range(rows):
+        for a in range(0, m, each):
+            out[r, a : a + each] = np.sqrt(((subs[r, a : a + each] - subs[r, where[r, a : a + each]]) ** 2).sum(1))
+    return out
+
+
+#: Subsequences in a series from which the profile is made by running sums.
+SLIDING_FROM = 128
+
+
+def profile(x: np.ndarray, width: int | None = None) -> np.ndarray:
+    """Of each row, by what costs less."""
+    return (sliding_profile if x.shape[1] - (width or profile_width(x.shape[1])) >= SLIDING_FROM else matrix_profile)(x, width)
+
+
 def mpdist(a: np.ndarray, b: np.ndarray, width: int | None = None) -> np.ndarray:
     """Mean absolute difference of the matrix profiles of each row of a and each row of b."""
-    return np.abs(matrix_profile(a, width)[:, None] - matrix_profile(b, width)[None]).mean(2)
+    return np.abs(profile(a, width)[:, None] - profile(b, width)[None]).mean(2)
 
 
-def mpdist_pairs(a: np.ndarray, b: np.ndarray, width: int | None = None) -> np.ndarray:
+def mpdist_pairs(a: np.ndarray, b: np.ndarray, width: int | None = None, of=profile) -> np.ndarray:
     """The same for each row of a and the same row of b."""
-    return np.abs(matrix_profile(a, width) - matrix_profile(b, width)).mean(1)
+    return np.abs(of(a, width) - of(b, width)).mean(1)

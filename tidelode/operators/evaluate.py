@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelode.functions import metrics, student
-from tidelode.operators import hold, reducers
+from tidelode.operators import cleaning, hold, reducers
 from tidelode.operators.ordered import SERIES, framed
 from tidelode.operators.scorer import MovementScorer, price_change
 from tidelode.schema import array_std
@@ -81,6 +81,21 @@ def with_interval(stats: list[dict], confidence: float = 0.95) -> list[dict]:
     return out
 
 
+def with_t_interval(stats: DataFrame, mean: str = "mean", sem: str = "sem", n: str = "n", confidence: float = 0.95) -> DataFrame:
+    """stats with lower, upper and p_value: the t interval of the mean and the p of a mean of 0; null without a deviation."""
+    ok = (F.col(n) > 1) & (F.col(sem) > 0)
+    free = F.when(ok, F.col(n) - 1)
+    half = student.quantile_column(0.5 + confidence / 2, free) * F.col(sem)
+    p = student.two_sided_column(F.when(ok, F.col(mean) / F.col(sem)), free)
+    return stats.withColumn("__h", half).withColumns({"lower": F.col(mean) - F.col("__h"), "upper": F.col(mean) + F.col("__h"), "p_value": p}).drop("__h")
+
+
+def significant_patterns(stats: DataFrame, p_limit: float = 0.05, least_consistency: float = 0.6) -> DataFrame:
+    """Of performances with p values, those that are significant and consistent, with score and side."""
+    kept = stats.where((F.col("p_value") < p_limit) & (F.col("consistency") >= least_consistency))
+    return kept.withColumns({"score": F.abs("mean") * (1 - F.col("std")) * F.col("consistency"), "side": F.when(F.col("mean") > 0, 1).otherwise(-1)})
+
+
 def cluster_signal(cluster: Column, long: list[int], short: list[int]) -> Column:
     """1 for long clusters, -1 for short ones, else 0."""
     return F.when(cluster.isin(long), 1).when(cluster.isin(short), -1).otherwise(0) if long or short else F.lit(0)
@@ -175,11 +190,15 @@ def pattern_samples(pairs: DataFrame, n_future: int) -> DataFrame:
 
 
 def pattern_performance(samples: DataFrame, scorer: MovementScorer) -> DataFrame:
-    """A row for each cluster: moments of the scores of its members' futures, consistency of their signs, sem and n."""
-    s = samples.withColumn("score", scorer.score_sequence(F.col("future")))
+    """A row for each cluster: moments of the scores of its members' futures, consistency of their signs, sem and n.
+
+    Medians come from bounds and counts, not from a cluster's values in one place."""
+    s = samples.withColumn("score", scorer.score_sequence(F.col("future"))).select("cluster", "score")
     sign = F.greatest(F.avg((F.col("score") > 0).cast("double")), F.avg((F.col("score") < 0).cast("double")))
     aggs = metrics.moments(F.col("score")) | {"consistency": sign, "sem": F.stddev_samp("score") / F.sqrt(F.count("score")), "n": F.count("score")}
-    return s.groupBy("cluster").agg(*[c.alias(n) for n, c in aggs.items()])
+    rows = s.groupBy("cluster").agg(*[c.alias(n) for n, c in aggs.items() if n != "median"])
+    middle = cleaning.percentiles(s.withColumnRenamed("cluster", SERIES), "score", [0.5]).select(F.col(SERIES).alias("cluster"), F.col("q")[0].alias("median"))
+    return rows.join(middle, "cluster", "left").select("cluster", *aggs)
 
 
 def select_patterns(stats: list[dict], p_limit: float = 0.05, least_consistency: float = 0.6) -> list[dict]:

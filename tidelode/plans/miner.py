@@ -196,8 +196,9 @@ class Miner:
         else:
             samples = self.pattern_samples(labels, scaled).persist()
             self.scorer = MovementScorer.fit(samples, e.min_samples)
-            rows = evaluate.pattern_performance(samples, self.scorer).where(F.col("n") >= e.min_samples).collect()
-            self.stats = evaluate.select_patterns(evaluate.with_interval([r.asDict() for r in rows], e.confidence))
+            rows = evaluate.pattern_performance(samples, self.scorer).where(F.col("n") >= e.min_samples)
+            rows = evaluate.significant_patterns(evaluate.with_t_interval(rows, confidence=e.confidence))
+            self.stats = [r.asDict() for r in rows.orderBy(F.desc("score"), "cluster").collect()]  # at most a row for each cluster
             samples.unpersist()
         self.long = [r["cluster"] for r in self.stats if r["side"] == 1]
         self.short = [r["cluster"] for r in self.stats if r["side"] == -1]

@@ -525,16 +525,26 @@ def dtw_distance(spark, d):
     return pairs.select(SERIES, "pos", r6(distance.dtw(F.col("window"), F.col("before"))).alias("distance"))
 
 
-@query(
-    "mpdist_distance",
-    """WITH s AS (SELECT vec_id, i, (embedding::DOUBLE[])[i + 1:i + 16] AS x FROM embeddings, range(0, 49) t(i)),
+_MP_SQL = """WITH s AS (SELECT vec_id, i, (embedding::DOUBLE[])[i + 1:i + 16] AS x FROM embeddings, range(0, 49) t(i)),
 m AS (SELECT a.vec_id, a.i, min(list_distance(a.x, b.x)) AS d FROM s a JOIN s b ON a.vec_id = b.vec_id AND abs(a.i - b.i) >= 16 GROUP BY 1, 2)
-SELECT a.vec_id, round(avg(abs(a.d - b.d)), 5) + 0.0 AS distance FROM m a JOIN m b ON b.vec_id = a.vec_id + 1 AND a.i = b.i GROUP BY 1""",
-)
+SELECT a.vec_id, round(avg(abs(a.d - b.d)), 5) + 0.0 AS distance FROM m a JOIN m b ON b.vec_id = a.vec_id + 1 AND a.i = b.i GROUP BY 1"""
+
+
+@query("mpdist_distance", _MP_SQL)
 def mpdist_distance(spark, d):
+    return _mpdist(spark, d, "brute")
+
+
+@query("mpdist_sliding", _MP_SQL)
+def mpdist_sliding(spark, d):
+    """The same by sliding products."""
+    return _mpdist(spark, d, "sliding")
+
+
+def _mpdist(spark: SparkSession, d: str, how: str) -> DataFrame:
     v = _vectors(spark, d)
     after = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("features").alias("b"))
-    return v.join(after, "vec_id").select("vec_id", (F.round(distance.mpdist(F.col("features"), F.col("b")), 5) + F.lit(0.0)).alias("distance"))
+    return v.join(after, "vec_id").select("vec_id", (F.round(distance.mpdist(F.col("features"), F.col("b"), how=how), 5) + F.lit(0.0)).alias("distance"))
 
 
 # holding and evaluation
@@ -767,11 +777,34 @@ def pattern_performance(spark, d):
     return _patterns(spark, d).select("cluster", *[r6(F.col(c)).alias(c) for c in _P_NAMES], "n")
 
 
-@query("pattern_selection", f"WITH {_P_SQL} SELECT cluster::INT AS cluster, {s6('abs(mean) * (1 - std) * consistency')} AS score, CASE WHEN mean > 0 THEN 1 ELSE -1 END AS side FROM g WHERE consistency >= 0.5")
+#: p of Student's t by Simpson's rule: with t = sqrt(v) tan(a), the density is a power of cos(a). Quantiles by halving.
+_SIMPSON = 2000
+
+
+def _t_tail(t: str, v: str) -> str:
+    """Twice the tail beyond t of Student's t with v degrees."""
+    low, width = f"atan(({t}) / sqrt({v}))", f"((pi() / 2 - atan(({t}) / sqrt({v}))) / {_SIMPSON})"
+    rule = f"list_sum(list_transform(range(0, {_SIMPSON} + 1), lambda k: CASE WHEN k % {_SIMPSON} = 0 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * pow(abs(cos({low} + k * {width})), {v} - 1)))"
+    return f"(2 * exp(lgamma(({v} + 1) / 2.0::DOUBLE) - lgamma({v} / 2.0::DOUBLE)) / sqrt(pi()) * {width} / 3 * {rule})"
+
+
+_P_VALUES = f"{_P_SQL}, gp AS (SELECT *, {_t_tail('abs(mean / sem)', '(n - 1)')} AS p_value FROM g)"
+
+
+@query(
+    "pattern_intervals",
+    f"""WITH RECURSIVE {_P_VALUES}, hv AS (SELECT cluster, n, 0.0::DOUBLE AS lo, 700.0::DOUBLE AS hi, 0 AS k FROM g
+  UNION ALL SELECT cluster, n, CASE WHEN tail > 0.05 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN tail > 0.05 THEN hi ELSE (lo + hi) / 2 END, k + 1 FROM (SELECT *, {_t_tail('(lo + hi) / 2', '(n - 1)')} AS tail FROM hv WHERE k < 50))
+SELECT gp.cluster::INT AS cluster, {s6('p_value')} AS p_value, {s6('mean - lo * sem')} AS lower, {s6('mean + lo * sem')} AS upper FROM gp JOIN hv ON hv.cluster = gp.cluster AND k = 50""",
+)
+def pattern_intervals(spark, d):
+    return evaluate.with_t_interval(_patterns(spark, d)).select("cluster", *[r6(F.col(c)).alias(c) for c in ("p_value", "lower", "upper")])
+
+
+@query("pattern_selection", f"WITH {_P_VALUES} SELECT cluster::INT AS cluster, {s6('abs(mean) * (1 - std) * consistency')} AS score, CASE WHEN mean > 0 THEN 1 ELSE -1 END AS side FROM gp WHERE p_value < 0.05 AND consistency >= 0.5")
 def pattern_selection(spark, d):
-    """Every p value will do here, since SQL has no Student's t; tests check these."""
-    rows = evaluate.select_patterns(evaluate.with_interval([r.asDict() for r in _patterns(spark, d).collect()]), 1.1, 0.5)  # a row for each cluster
-    return spark.createDataFrame([(r["cluster"], r["score"], r["side"]) for r in rows], "cluster int, score double, side int").withColumn("score", r6(F.col("score")))
+    found = evaluate.significant_patterns(evaluate.with_t_interval(_patterns(spark, d)), 0.05, 0.5)
+    return found.select("cluster", r6(F.col("score")).alias("score"), "side")
 
 
 @query("scorer_fit")
