@@ -97,6 +97,28 @@ def test_market_sources(spark, tmp_path, monkeypatch):
     assert market.read_csv(spark, str(tmp_path / "x.csv"), "close double").count() == 2
 
 
+def test_many_symbols_are_one_scan(spark, tmp_path):
+    bar = "timestamp_ntz'2024-01-01' as time, cast({0} as {1}) as open, 2.0D as high, 0.5D as low, 1.0D as close, 0.0D as volume"
+    for sub, name, value in (("daily", "AAA", 1), ("crypto", "AAA", 9), ("crypto", "B+C^D E", 2), ("MT5", "X", 3), ("misc", "Y", 4)):
+        spark.sql("select " + bar.format(value, "double")).coalesce(1).write.parquet(str(tmp_path / sub / f"{name}.parquet"))
+    (tmp_path / "daily" / "OTHER.parquet").mkdir()
+    root = str(tmp_path)
+    assert market.find(spark, ["x", "aaa", "X"], root=root) == {"X": f"{root}/MT5/X.parquet", "AAA": f"{root}/daily/AAA.parquet"}
+    df = market.read_raw(spark, ["aaa", "b+c^d e", "x"], root=root)
+    assert {r["series_id"]: r["open"] for r in df.collect()} == {"AAA": 1, "B+C^D E": 2, "X": 3}
+    p = df._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in p and p.count("FileScan") == 1
+    assert len(df.inputFiles()) == 3 and not any("crypto/AAA" in f or "/Y." in f for f in df.inputFiles())
+    with pytest.raises(FileNotFoundError):
+        market.read_raw(spark, ["x", "none"], root=root)
+    with pytest.raises(FileNotFoundError):
+        market.read_raw(spark, ["x"], root=root, legacy=True)
+    assert market.read_raw(spark, ["y"], root=root, subpath="misc").count() == 1
+    spark.sql("select " + bar.format(7, "int")).write.parquet(str(tmp_path / "misc" / "INT.parquet"))
+    assert sorted(r["open"] for r in market.read_raw(spark, ["int", "y"], root=root).collect()) == [4.0, 7.0]
+    assert market.load(spark, ["y", "x"], "1D", root=root).select("series_id").distinct().count() == 2
+
+
 def test_models_and_reports(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         models.load(spark, str(tmp_path / "none"))
