@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import sys
+import time
 from pathlib import Path
 
 import pytest
@@ -338,6 +339,23 @@ def test_url_filter_matches_brute_force(spark):
         assert (rows[i]["host"], rows[i]["path"], rows[i]["rule"], rows[i]["verdict"]) == (host, path, best[1], best[2])
 
 
+def test_url_filter_probes_before_it_moves_and_spreads_hot_rules(spark, monkeypatch):
+    urls = [f"https://h{i}.com/en/{i % 50}" for i in range(400)] + [f"http://x{i}.org/a" for i in range(200)] + ["http://deep.a.net/b/c", None]
+    rules = [("com", "/", "block"), ("h7.com", "/en/7", "allow"), ("h7.com", "/en/7", "block"), ("a.net", "/b", "block")]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    listed = spark.createDataFrame(rules, "host string, path string, verdict string")
+    want = sorted(map(tuple, url_filter.judge(pages, listed).collect()), key=str)
+    assert sum(r[-1] == "block" for r in want) == 401 and (7, urls[7], "h7.com", "/en/7", "h7.com/en/7", "block") in want
+    plans = []
+    keep = url_filter.stored
+    monkeypatch.setattr(url_filter, "stored", lambda df, name: (plans.append((name, df._jdf.queryExecution().executedPlan().toString())), keep(df, name))[1])
+    monkeypatch.setattr(url_filter, "is_small", lambda df: False)
+    assert sorted(map(tuple, url_filter.judge(pages, listed).collect()), key=str) == want
+    first = dict(plans)["possible"]
+    below = first[first.rindex("Exchange hashpartitioning(u#") :]  # the first exchange of urls: the filter's join is under it
+    assert "BroadcastHashJoin" in below and first.count("Exchange hashpartitioning(u#") == 1
+
+
 def test_url_filter_without_rules_or_pages(spark):
     none = spark.createDataFrame([], "host string, path string, verdict string")
     pages = spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string")
@@ -421,6 +439,15 @@ def test_token_counts_on_rows(spark):
     assert token_counts.count_tokens(df.limit(0)).count() == 0
 
 
+def test_line_dedup_of_many_deleted_lines(spark):
+    body = "\n".join(f"line {i} of a text that comes twice as one long run" for i in range(3000))
+    rows = [(1, body), (2, f"own\n{body}\nend")]
+    start = time.time()
+    out, _, deleted = line_dedup.dedup_lines(docs_of(spark, rows))
+    got = {r["doc_id"]: (r["text"], r[deleted]) for r in out.collect()}
+    assert got == {1: (body, 0), 2: ("own\nend", 3000)} and time.time() - start < 300
+
+
 # archives
 
 

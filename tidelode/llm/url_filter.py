@@ -1,8 +1,8 @@
 """URL filter: a blocked Bloom filter of the listed URLs passes possible hits to an exact hash join.
 
 A rule is a host and a path prefix; it fits the host, all its subdomains, and every path that starts
-with the prefix. Each distinct url becomes its host's suffixes whose sizes occur in the list; a filter
-of the listed hosts drops nearly all that no rule names. What is left becomes (host suffix, path prefix)
+with the prefix. Each row's url becomes its host's suffixes whose sizes occur in the list; a filter
+of the listed hosts, probed before anything is moved, drops nearly all that no rule names. What is left, each url once, becomes (host suffix, path prefix)
 keys of the sizes that occur; the filter of whole rules drops nearly all of them; an exact join on the
 whole key removes its false positives; the longest rule wins.
 
@@ -87,20 +87,25 @@ def judge(df: DataFrame, rules: DataFrame, url_col: str = "url", default: str =
     rules = rules.select("host", F.concat("host", "path").alias("key"), F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("chars"), F.col("verdict").alias("said"))
     stats = rules.agg(F.count(F.lit(1)), F.sort_array(F.collect_set("labels")), F.sort_array(F.collect_set("chars"))).first()
     n_rules, labels, chars = stats  # distinct sizes only: at most the labels of a host and the characters of a path
-    urls = df.select(F.col(url_col).alias("u")).where(F.col("u").isNotNull()).groupBy("u").agg(F.count(F.lit(1)).alias("rows"))
-    urls = urls.select("u", "rows", F.split(url_host(F.col("u")), r"\.").alias("parts"), url_path(F.col("u")).alias("p"))
+    urls = df.select(F.col(url_col).alias("u")).where(F.col("u").isNotNull()).withColumn("parts", F.split(url_host(F.col("u")), r"\."))
     ints = "array<int>"
     hosts = F.transform(
         F.filter(F.lit(labels).cast(ints), lambda n: n <= F.size("parts")),
         lambda n: F.array_join(F.slice("parts", F.size("parts") - n + 1, n), "."),
     )
-    hosts = urls.select("u", "rows", "p", F.explode(hosts).alias("key"))
-    hosts = _possible(hosts, rules.select(F.col("host").alias("key")), n_rules)
+    # rows are probed where they lie; only urls of hosts that may be listed are moved
+    hosts = _possible(urls.select("u", F.explode(hosts).alias("key")), rules.select(F.col("host").alias("key")), n_rules)
+    hosts = hosts.groupBy("u", "key").agg(F.count(F.lit(1)).alias("rows")).withColumn("p", url_path(F.col("u")))
     paths = F.transform(F.filter(F.lit(chars).cast(ints), lambda n: n <= F.length("p")), lambda n: F.substring(F.col("p"), F.lit(1), n))
     keys = hosts.select("u", "rows", F.col("key").alias("h"), F.explode(paths).alias("q")).select("u", "rows", F.concat("h", "q").alias("key"))
     possible = _possible(keys, rules, n_rules)
-    listed = rules.select("key", "said")
-    hits = possible.join(F.broadcast(listed) if is_small(listed) else listed.hint("shuffle_hash"), "key")
+    listed = rules.groupBy("key").agg(F.max("said").alias("said"))
+    if is_small(listed):
+        hits = possible.join(F.broadcast(listed), "key")
+    else:  # rules that most urls may fit, such as a whole top-level domain's, are spread
+        possible = stored(possible, "possible")
+        named = stored(possible.groupBy("key").agg(F.count(F.lit(1)).alias("n")).join(listed, "key"), "named")
+        hits = join_spread(possible, named, ["key"], ["said"], "n", ["u"])
     best = hits.groupBy("u").agg(F.max(F.struct(F.length("key").alias("n"), "key", "said")).alias("best"), F.max("rows").alias("rows"))
     u, rule, said, whole = (own_name(df, x) for x in ("listed_url", "listed_rule", "listed_said", "page"))
     best = stored(best.select(F.col("u").alias(u), F.col("best.key").alias(rule), F.col("best.said").alias(said), "rows"), "verdicts")
