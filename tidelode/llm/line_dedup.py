@@ -135,17 +135,20 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     lines = stored(repeated_lines(docs, id_col, text_col), "lines")
     later = later_copies(lines, min_words)
     gone = later.select(*_DOC, F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("ln"))
-    gone = stored(gone.groupBy(*_DOC).agg(F.collect_set("ln").alias("gone")), "gone")
+    gone = gone.groupBy(*_DOC).agg(F.array_sort(F.collect_set("ln")).alias("gone"))
+    before = F.concat(F.array(F.lit(-1)), F.slice("gone", 1, F.size("gone") - 1))
+    mask = F.flatten(F.zip_with("gone", before, lambda x, y: F.concat(F.array_repeat(F.lit(False), (x - y - 1).cast("int")), F.array(F.lit(True)))))
+    gone = stored(gone.select(*_DOC, F.size("gone").alias("n"), mask.alias("gone")), "gone")  # for each line up to the last that goes
     g, d, t, n, m = (own_name(docs, x) for x in ("gone", "did", "th", "n_lines", "n_deleted"))
-    gone = gone.select(F.col("did").alias(d), F.col("th").alias(t), F.col("gone").alias(g))
+    gone = gone.select(F.col("did").alias(d), F.col("th").alias(t), F.struct("n", "gone").alias(g))
     did, th = _keys(docs, id_col, text_col)
     out = docs.withColumns({d: did, t: th}).join(gone.hint("merge"), [d, t], "left")
-    kept = F.array_join(F.filter(_lines(F.col(text_col)), lambda x, i: ~F.array_contains(F.col(g), i)), "\n")
+    kept = F.array_join(F.filter(_lines(F.col(text_col)), lambda x, i: ~F.coalesce(F.get(F.col(f"{g}.gone"), i), F.lit(False))), "\n")
     left = F.when(F.col(g).isNull(), F.col(text_col)).otherwise(kept)
     lines_of = F.when(F.col(text_col).isNull() | (F.col(text_col) == ""), 0).otherwise(F.size(_lines(F.col(text_col))))
     out = out.select(
         *[left.alias(c) if c == text_col else F.col(c) for c in docs.columns],
         lines_of.cast("long").alias(n),
-        F.coalesce(F.size(g), F.lit(0)).cast("long").alias(m),
+        F.coalesce(F.col(f"{g}.n"), F.lit(0)).cast("long").alias(m),
     )
     return out, n, m
