@@ -103,12 +103,16 @@ def fit_sequential(df: DataFrame, k: int, column: str = "features", metric: str
     return centers
 
 
-def fit(df: DataFrame, k: int, model: str = "standard", metric: str = "euclidean", column: str = "features", seed: int = SEED) -> list[list[float]]:
-    """standard and ts are k-means; sequential takes any metric."""
+def fit(
+    df: DataFrame, k: int, model: str = "standard", metric: str = "euclidean", column: str = "features", seed: int = SEED, start: list[list[float]] | None = None, max_iter: int | None = None
+) -> list[list[float]]:
+    """standard and ts are k-means; sequential takes any metric, and centers to start from."""
+    if start is not None and model != "sequential":
+        raise DataError("only the sequential model starts from given centers")
     if model in ("standard", "ts"):
-        return fit_kmeans(df, k, column, seed)
+        return fit_kmeans(df, k, column, seed, max_iter or 300)
     if model == "sequential":
-        return fit_sequential(df, k, column, metric, seed=seed)
+        return fit_sequential(df, k, column, metric, max_iter or 100, seed, start=start)
     raise DataError(f"no such model: {model}")
 
 

@@ -161,16 +161,17 @@ class Miner:
         return framed(d, {"returns": lambda w: F.coalesce(F.lead("__d").over(w), F.lit(0.0))}, after=1)
 
     # the model
-    def fit(self, data: DataFrame, returns: DataFrame | None = None) -> float | None:
+    def fit(self, data: DataFrame, returns: DataFrame | None = None, start: list[list[float]] | None = None, max_iter: int | None = None) -> float | None:
         """Fit on data; the martin ratio of the chosen clusters' strategy, None without one.
 
-        returns: (series_id, pos, returns), the return from each position to the next."""
+        returns: (series_id, pos, returns), the return from each position to the next. start: centers that the
+        sequential model begins with."""
         c = self.config
         scaled = self._scaled(data, train=True).persist()
         rows = self._features(scaled).persist()
         try:
             self._training = data
-            self.centers = cluster.fit(rows, c.n_clusters, c.model_type.value, c.distance, seed=c.seed)
+            self.centers = cluster.fit(rows, c.n_clusters, c.model_type.value, c.distance, seed=c.seed, start=start, max_iter=max_iter)
             labels = self._assign(rows)
             r = self._returns(scaled, returns)
             self._select(labels, scaled, r)

@@ -756,9 +756,17 @@ def price_change(spark, d):
 _SCORER = scorer.MovementScorer((0.5, -0.25, 0.125, 1.0, -0.5, 0.25, 0.0, 0.75), 0.01, 0.2)
 
 
-@query("weight_importance", f"SELECT unnest({list(MOVEMENT)}) AS feature, unnest([{', '.join(f'round({abs(w)} / {sum(map(abs, _SCORER.weights))}::DOUBLE, 6) + 0.0' for w in _SCORER.weights)}]) AS importance")
+_WEIGHTS = f"""{_T_SQL},
+mm AS (SELECT [{", ".join("[" + ", ".join(f"sum(x[{i}] * x[{j}])" + (" + 0.01::DOUBLE" if i == j else "") for j in range(1, 9)) + f", sum(x[{i}] * target)]" for i in range(1, 9))}] AS m FROM t),
+gj AS (SELECT 0 AS k, m FROM mm UNION ALL SELECT k + 1, list_transform(range(1, 9), lambda r: CASE WHEN r = k + 1 THEN list_transform(m[r], lambda v: v / m[r][r])
+  ELSE list_transform(range(1, 10), lambda c: m[r][c] - m[r][k + 1] * m[k + 1][c] / m[k + 1][k + 1]) END) FROM gj WHERE k < 8),
+wt AS (SELECT list_transform(range(1, 9), lambda r: m[r][9]) AS w FROM gj WHERE k = 8)"""
+
+
+@query("weight_importance", f"WITH RECURSIVE {_WEIGHTS} SELECT unnest({list(MOVEMENT)}) AS feature, unnest(list_transform(w, lambda v: {s6('abs(v) / list_sum(list_transform(w, lambda u: abs(u)))')})) AS importance FROM wt")
 def weight_importance(spark, d):
-    return spark.createDataFrame(list(_SCORER.importance().items()), "feature string, importance double").withColumn("importance", r6(F.col("importance")))
+    fitted = scorer.MovementScorer.fit(_samples(spark, d))
+    return spark.createDataFrame(list(fitted.importance().items()), "feature string, importance double").withColumn("importance", r6(F.col("importance")))  # eight rows
 
 
 _P_SQL = f"""q AS (SELECT label AS cluster, embedding::DOUBLE[] AS x FROM embeddings), r AS (SELECT cluster, ({' + '.join(f'{w}::DOUBLE * (x[{9 + i}] + x[{17 + i}] + x[{25 + i}])' for i, w in enumerate(_SCORER.weights))}) / 3 AS raw FROM q),
@@ -807,7 +815,11 @@ def pattern_selection(spark, d):
     return found.select("cluster", r6(F.col("score")).alias("score"), "side")
 
 
-@query("scorer_fit")
+@query(
+    "scorer_fit",
+    f"""WITH RECURSIVE {_WEIGHTS}, y AS (SELECT vec_id, list_sum(list_transform(range(1, 9), lambda i: w[i] * x[i])) AS raw FROM t, wt), z AS (SELECT avg(raw) AS m, stddev_pop(raw) AS s FROM y)
+SELECT vec_id, {s6("least(greatest((raw - m) / (s + 1e-10) / 2, -1), 1)")} AS score FROM y, z""",
+)
 def scorer_fit(spark, d):
     s = _samples(spark, d)
     m = scorer.MovementScorer.fit(s)
@@ -979,6 +991,36 @@ def miner_fixed_signals(spark, d):
     return _fixed_miner(e).signals(e).select(SERIES, "pos", "signal", r6(F.col("confidence")).alias("confidence"))
 
 
+def _chain_sql(steps: int) -> str:
+    """Features, Lloyd's steps from the fixed centers, what clusters earn, and the sides that are chosen."""
+    parts = [_MINER_SQL, f"c0 AS (SELECT * FROM (VALUES {', '.join(f'({i}, {c}::DOUBLE[])' for i, c in enumerate(_FIXED))}) c(cluster, center))"]
+    near = "SELECT series_id, pos, any_value(z) AS z, arg_min(cluster, (dist, cluster)) AS cluster FROM (SELECT series_id, pos, z, cluster, list_distance(z, center) AS dist FROM z, c{}) GROUP BY 1, 2"
+    for k in range(steps):
+        mean = f"SELECT cluster, list(m ORDER BY i) AS center FROM (SELECT cluster, i, avg(e) AS m FROM (SELECT cluster, unnest(z) AS e, unnest(range(0, 3)) AS i FROM ({near.format(k)})) GROUP BY 1, 2) GROUP BY 1"
+        parts.append(f"c{k + 1} AS (SELECT c{k}.cluster, coalesce(m.center, c{k}.center) AS center FROM c{k} LEFT JOIN ({mean}) m USING (cluster))")
+    parts += [
+        f"l AS (SELECT series_id, pos, cluster FROM ({near.format(steps)}))",
+        "r AS (SELECT series_id, pos, coalesce(lead(y) OVER (PARTITION BY series_id ORDER BY pos) - y, 0) AS returns FROM sc)",
+        _hold_sql("l", 6),
+        "side AS (SELECT unnest([1, -1]) AS side)",
+        "g AS (SELECT hp.series_id, hp.cluster, side, hp.pos, r.returns * side AS returns FROM hp JOIN r USING (series_id, pos), side WHERE cluster IN (SELECT cluster FROM l GROUP BY 1 HAVING count(*) >= 10))",
+        _metric_sql("cluster, side", "g", "series_id, pos"),
+        "bs AS (SELECT *, compounded / nullif(ulcer, 0) AS mt, row_number() OVER (PARTITION BY cluster ORDER BY coalesce(compounded / nullif(ulcer, 0), '-infinity'::DOUBLE) DESC, side) AS k FROM z2)",
+        "chosen AS (SELECT cluster, side AS selected FROM bs WHERE k = 1 AND mt > 0 AND avg_return > 0 AND abs(0.4 * mt + 0.3 * coalesce(sharpe, 0) + 0.2 * coalesce(profit_factor, 0) + 0.1 * coalesce(win_rate, 0)) > 0)",
+    ]
+    sql = "WITH RECURSIVE " + ", ".join(parts).replace("z AS (SELECT cluster, side, sum(returns)", "z2 AS (SELECT cluster, side, sum(returns)")
+    return sql + f" SELECT cluster::INT AS cluster, side, coalesce(selected, 0)::INT AS selected, {_SHOWN_SQL} FROM z2 LEFT JOIN chosen USING (cluster)"
+
+
+@query("miner_chain", _chain_sql(2))
+def miner_chain(spark, d):
+    """Fit from fixed centers and evaluate: scaling, windows, features, clusters, holding periods, selection."""
+    e = _events(spark, d).select(SERIES, "pos", "value")
+    m = miner.Miner(miner.Config(n_lookback=LENGTH, n_pivots=3, n_clusters=4, dist_measure=3, model_type="sequential", evaluator_params={"min_samples": 10}))
+    m.fit(e, start=_FIXED, max_iter=2)
+    return _shown(m.evaluate(e), "cluster", "side", "selected")
+
+
 @query("miner_evaluate")
 def miner_evaluate(spark, d):
     e = _events(spark, d).select(SERIES, "pos", "value")
