@@ -65,6 +65,68 @@ def test_harness_and_folds(events):
     assert [r["fold"] for r in rows] == [0, 1] and set(miner.CV_METRICS) < set(rows[0])
 
 
+def test_folds_at_once_are_folds_one_by_one(events):
+    data = events.where("pos < 150").select("series_id", "pos", "value")
+    returns = data.withColumn("returns", (F.col("value") % 7 - 2.5) / 1000)
+    centers = [[-1.2, 0.0, 1.2], [1.2, 0.0, -1.2], [-0.7, 1.4, -0.7], [0.7, -1.4, 0.7]]
+    c = miner.Config(n_lookback=8, n_pivots=3, n_clusters=4, model_type="sequential", evaluator_params={"min_samples": 2})
+    got = {r["fold"]: r for r in miner.cross_validation(c, data, 2, centers, returns).collect()}
+    parts = windows.folds(returns, 2)
+    for fold in range(2):
+        train, test = (parts.where((F.col("fold") == fold) & (F.col("part") == p)) for p in ("train", "test"))
+        start = test.groupBy("series_id").agg(F.min("pos").alias("p"))
+        test = test.join(start, "series_id").withColumn("pos", F.col("pos") - F.col("p"))
+        m = miner.Miner(c)
+        m.fit(train.select("series_id", "pos", "value"), train, start=centers, max_iter=0)
+        assert m.centers == centers and m.long
+        want = m.report(test.select("series_id", "pos", "value"), test).first()
+        assert all(got[fold][k] == pytest.approx(want[k]) for k in want.asDict())
+    table = {(r["fold"], r["metric"]): r for r in miner.cv_table(miner.cross_validation(c, data, 2, centers, returns)).collect()}
+    both = [got[f]["sharpe"] for f in range(2)]
+    assert table[0, "sharpe"]["mean"] == pytest.approx(np.mean(both)) and table[1, "sharpe"]["std"] == pytest.approx(np.std(both))
+
+
+def test_fits_of_folds_are_fits_of_their_rows(spark):
+    v = spark.read.parquet(f"{DIR}/embeddings.parquet").select((F.col("vec_id") % 2).cast("int").alias("fold"), F.slice(F.col("embedding").cast("array<double>"), 1, 4).alias("features"))
+    got = cluster.fit_folds(v, 3, 2, max_iter=6)
+    for f in range(2):
+        assert np.allclose(got[f], sorted(cluster.fit_sequential(v.where(F.col("fold") == f), 3, max_iter=6)))
+    with pytest.raises(DataError):
+        cluster.fit_folds(v, 3, 3)
+
+
+def test_evaluators_and_reducers_of_ones_own(events):
+    from tidelode.operators import evaluate
+
+    def largest(labels, scaled, returns, params):
+        n = labels.groupBy("cluster").agg(F.count(F.lit(1)).alias("score"))
+        return n.where(F.col("score") >= params["least"]).withColumn("side", F.when(F.col("cluster") % 2 == 0, 1).otherwise(-1))
+
+    evaluate.register("largest", largest)
+    reducers.register("ends", lambda w, n: F.array(F.element_at(w, 1), F.element_at(w, -1)))
+    try:
+        c = miner.Config(n_lookback=8, n_pivots=2, n_clusters=2, evaluator_type="largest", reducer_type="ends", evaluator_params={"least": 1})
+        assert miner.Config.from_dict(c.to_dict()) == c
+        m = miner.Miner(c)
+        data = events.where("pos < 60").select("series_id", "pos", "value")
+        m.fit(data)
+        assert (m.long, m.short) == ([0], [1]) and m.summary()["n_selected"] == 2
+        assert m.evaluate(data).where("selected = 0").isEmpty()
+    finally:
+        del evaluate.CUSTOM["largest"], reducers.CUSTOM["ends"]
+    with pytest.raises(DataError):
+        miner.Config(evaluator_type="largest")
+
+
+def test_pairs_that_overlap(spark):
+    from tidelode.operators import evaluate
+
+    df = spark.createDataFrame([("a", 0, 1), ("a", 0, 7), ("b", 0, 3), ("a", 1, 4)], "series_id string, cluster int, pos long")
+    assert evaluate.require_apart(df, 5) is df
+    with pytest.raises(DataError):
+        evaluate.require_apart(df, 6)
+
+
 @pytest.mark.parametrize("bad", [{"n_clusters": 1}, {"wavelet": "no"}, {"reducer_type": "no"}, {"evaluator_params": {"x": 1}}, {"evaluator_params": {"min_samples": 0}}, {"min_movement": 1}, {"unknown": 1}])
 def test_bad_configs(bad):
     with pytest.raises(DataError):

@@ -61,6 +61,47 @@ def assign(df: DataFrame, centers: list[list[float]], column: str = "features",
     return df.withColumn(out, (F.array_position("__d", least) - 1).cast("int")).withColumn("distance", least).drop("__d")
 
 
+def assign_by_fold(df: DataFrame, centers: list[list[list[float]]], column: str = "features", fold: str = "fold") -> DataFrame:
+    """df with the nearest of its fold's centers (by Euclidean distance), numbered fold * k + center, and its distance."""
+    k, d = len(centers[0]), len(centers[0][0])
+    flat = F.element_at(F.lit([np.array(c, float).ravel().tolist() for c in centers]), F.col(fold) + 1)
+    each = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: distance.l2(F.col(column), F.slice("__f", i * d + 1, d)))
+    df = df.withColumn("__f", flat).withColumn("__d", each)
+    least = F.array_min("__d")
+    number = F.col(fold) * k + F.array_position("__d", least) - 1
+    return df.withColumns({"cluster": number.cast("int"), "distance": least}).drop("__f", "__d")
+
+
+def fit_folds(df: DataFrame, k: int, folds: int, column: str = "features", fold: str = "fold", max_iter: int = 100, seed: int = SEED, tol: float = 1e-8) -> list[list[list[float]]]:
+    """Centers for each fold of df (fold, features): every pass seeds, or moves, those of all folds at once.
+
+    Seeds are drawn as in seed_centers; only a row for each fold and center reaches the driver."""
+    rows = df.select(fold, column).persist()
+    try:
+        hashed = F.xxhash64(column, F.lit(seed))
+        first = dict(rows.groupBy(fold).agg(F.min_by(column, F.struct(hashed, F.col(column)))).collect())
+        if missing := [f for f in range(folds) if f not in first]:
+            raise DataError(f"no rows to cluster in folds {missing}")
+        centers = [[list(first[f])] for f in range(folds)]
+        for i in range(1, k):
+            u = (F.pmod(F.xxhash64(column, F.lit(seed), F.lit(i)), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
+            race = F.when(F.col("distance") > 0, -F.log(u) / (F.col("distance") * F.col("distance")))
+            drawn = assign_by_fold(rows, centers, column, fold).where(race.isNotNull()).groupBy(fold).agg(F.min_by(column, F.struct(race, F.col(column))))
+            found = dict(drawn.collect())
+            centers = [[*c, list(found.get(f, c[-1]))] for f, c in enumerate(centers)]
+        for _ in range(max_iter):
+            new = [[list(c) for c in of] for of in centers]
+            for number, center in update_centers(assign_by_fold(rows, centers, column, fold), column).collect():
+                new[number // k][number % k] = list(center)
+            done = np.allclose(new, centers, atol=tol)
+            centers = new
+            if done:
+                break
+    finally:
+        rows.unpersist()
+    return [_sorted_centers(c) for c in centers]
+
+
 def update_centers(assigned: DataFrame, column: str = "features", cluster: str = "cluster") -> DataFrame:
     """(cluster, center): the mean of each cluster's rows; one aggregation by cluster and coordinate."""
     each = assigned.select(cluster, F.posexplode(column).alias("i", "x")).groupBy(cluster, "i").agg(F.avg("x").alias("x"))
@@ -110,9 +151,9 @@ def fit(
     if start is not None and model != "sequential":
         raise DataError("only the sequential model starts from given centers")
     if model in ("standard", "ts"):
-        return fit_kmeans(df, k, column, seed, max_iter or 300)
+        return fit_kmeans(df, k, column, seed, 300 if max_iter is None else max_iter)
     if model == "sequential":
-        return fit_sequential(df, k, column, metric, max_iter or 100, seed, start=start)
+        return fit_sequential(df, k, column, metric, 100 if max_iter is None else max_iter, seed, start=start)
     raise DataError(f"no such model: {model}")
 
 

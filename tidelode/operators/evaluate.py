@@ -7,6 +7,7 @@ t to t + 1. Only a row for each cluster and direction reaches the driver, where
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,9 +16,16 @@ from tidelode.functions import metrics, student
 from tidelode.operators import cleaning, hold, reducers
 from tidelode.operators.ordered import SERIES, framed
 from tidelode.operators.scorer import MovementScorer, price_change
-from tidelode.schema import array_std
+from tidelode.schema import DataError, array_std
 
 KEYS = (SERIES, "cluster")
+#: Evaluators of one's own: name to a function of (labels, scaled, returns, params) that returns the chosen clusters as
+#: (cluster, side, score, ...), side 1 or -1.
+CUSTOM: dict[str, Callable[[DataFrame, DataFrame, DataFrame, dict], DataFrame]] = {}
+
+
+def register(name: str, choose: Callable[[DataFrame, DataFrame, DataFrame, dict], DataFrame]) -> None:
+    CUSTOM[name] = choose
 
 
 def cluster_returns(labels: DataFrame, returns: DataFrame, period: int) -> DataFrame:
@@ -172,6 +180,14 @@ def window_pairs(labels: DataFrame, values: DataFrame, n_future: int, min_moveme
     return pairs.join(hold.accept(pairs, 2 * f - 1, KEYS), [*KEYS, "pos"])
 
 
+def require_apart(pairs: DataFrame, span: int, by: tuple[str, ...] = KEYS) -> DataFrame:
+    """pairs, if those of the same keys lie more than span positions apart; else DataError. Reads pairs twice."""
+    n, apart = pairs.select(*by, "pos").distinct().count(), hold.accept(pairs, span, by).count()
+    if n != apart:
+        raise DataError(f"{n - apart} pairs overlap one before them")
+    return pairs
+
+
 def pair_quality(current: Column, future: Column, min_movement: float = 0.001, max_noise: float = 0.1) -> Column:
     """Both ranges reach their mean times min_movement; steps deviate by at most max_noise of it."""
     span = lambda v: F.array_max(v) - F.array_min(v)

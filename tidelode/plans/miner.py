@@ -65,6 +65,10 @@ class VectorPatternConfig:
         _check(0 < self.confidence < 1, "confidence must be between 0 and 1")
 
 
+def _name(kind: Enum | str) -> str:
+    return kind.value if isinstance(kind, Enum) else kind
+
+
 def _check(ok: bool, what: str) -> None:
     if not ok:
         raise DataError(what)
@@ -92,7 +96,9 @@ class Config:
     seed: int = 14
 
     def __post_init__(self):
-        for name, kind in (("model_type", ModelType), ("reducer_type", ReducerType), ("evaluator_type", EvaluatorType)):
+        for name, kind, own in (("model_type", ModelType, ()), ("reducer_type", ReducerType, reducers.CUSTOM), ("evaluator_type", EvaluatorType, evaluate.CUSTOM)):
+            if getattr(self, name) in own:
+                continue
             try:
                 object.__setattr__(self, name, kind(getattr(self, name)))
             except ValueError as e:
@@ -104,7 +110,10 @@ class Config:
         _check(0 < self.min_movement < 1 and 0 < self.mvr_alpha < 1, "min_movement and mvr_alpha must be between 0 and 1")
         self.evaluator()
 
-    def evaluator(self) -> HoldingPeriodConfig | VectorPatternConfig:
+    def evaluator(self) -> HoldingPeriodConfig | VectorPatternConfig | None:
+        """The evaluator's settings; None of one that was registered, which has evaluator_params."""
+        if self.evaluator_type in evaluate.CUSTOM:
+            return None
         kind = HoldingPeriodConfig if self.evaluator_type is EvaluatorType.HOLDING_PERIOD else VectorPatternConfig
         try:
             return kind(**self.evaluator_params)
@@ -149,7 +158,7 @@ class Miner:
         w = windows.sliding(scaled, c.n_lookback, "scaled")
         movement = dict(features=c.feature_selection, normalize_window=c.normalize_window, min_movement=c.min_movement, trend_window=min(c.trend_window, c.n_lookback), alpha=c.mvr_alpha)
         how = movement if c.reducer_type is ReducerType.MVR else {}
-        reduce = reducers.reducer(c.reducer_type.value, c.n_pivots, c.wavelet, reducers.DistanceMeasure(c.dist_measure), **how)
+        reduce = reducers.reducer(_name(c.reducer_type), c.n_pivots, c.wavelet, reducers.DistanceMeasure(c.dist_measure), **how)
         return features.transform_windows(w, reduce, c.n_pivots)
 
     def _returns(self, scaled: DataFrame, returns: DataFrame | None) -> DataFrame:
@@ -190,7 +199,10 @@ class Miner:
 
     def _select(self, labels: DataFrame, scaled: DataFrame, returns: DataFrame) -> None:
         e = self.config.evaluator()
-        if isinstance(e, HoldingPeriodConfig):
+        if e is None:
+            rows = evaluate.CUSTOM[self.config.evaluator_type](labels, scaled, returns, self.config.evaluator_params)
+            self.stats = [r.asDict() for r in rows.orderBy(F.desc("score"), "cluster").collect()]  # at most a row for each cluster
+        elif isinstance(e, HoldingPeriodConfig):
             both = evaluate.holding_metrics(labels, returns, self.config.hold_period, e.min_samples)
             best = evaluate.select_clusters(evaluate.better_side(both), e.baseline_threshold)
             self.stats = evaluate.with_interval([r.asDict() for r in best.collect()])  # at most a row for each cluster
@@ -229,7 +241,7 @@ class Miner:
         labels = self._assign(self._features(scaled))
         chosen = evaluate.cluster_signal(F.col("cluster"), self.long, self.short)
         e = self.config.evaluator()
-        return evaluate.holding_metrics(labels, self._returns(scaled, returns), self.config.hold_period, e.min_samples).withColumn("selected", chosen)
+        return evaluate.holding_metrics(labels, self._returns(scaled, returns), self.config.hold_period, e.min_samples if e else 1).withColumn("selected", chosen)
 
     def signals(self, data: DataFrame) -> DataFrame:
         """(series_id, pos, features, signal, confidence) of every window, by the features of the fit."""
@@ -297,8 +309,59 @@ class Miner:
 CV_METRICS = ("martin", "sharpe", "profit_factor", "win_rate", "max_drawdown")
 
 
+def cross_validation(config: Config, data: DataFrame, splits: int = 5, centers: list[list[float]] | None = None, returns: DataFrame | None = None) -> DataFrame:
+    """(fold, metrics): the strategy's metrics on each fold's test part, by a model of all before, for all folds at once.
+
+    A fold is part of a series' name, and of a cluster's number, so that every operator of the pipeline works on
+    all folds in one pass; what comes to the driver is a row for each fold and center. centers: the same for each
+    fold, instead of fitted ones; returns: (series_id, pos, returns), else those of the scaled values. For Euclidean
+    distances and holding periods."""
+    e = config.evaluator()
+    if not isinstance(e, HoldingPeriodConfig) or config.distance != "euclidean":
+        raise DataError("folds are evaluated at once by holding periods and Euclidean distances")
+    m = Miner(config)
+    data = data.select(SERIES, "pos", "value")
+    if returns is not None:
+        data = data.join(returns.select(SERIES, "pos", "returns"), [SERIES, "pos"])
+    parts = windows.folds(data, splits)
+    keyed = parts.withColumn(SERIES, F.concat_ws("|", F.col("fold").cast("string"), F.col(SERIES)))
+    start = keyed.where("part = 'test'").groupBy(SERIES).agg(F.min("pos").alias("__p"))
+    train = keyed.where("part = 'train'")
+    test = keyed.where("part = 'test'").join(start, SERIES).withColumn("pos", F.col("pos") - F.col("__p"))
+    given = lambda df: None if returns is None else df
+    of_fold = lambda df: df.withColumn("fold", F.split(F.col(SERIES), r"\|", 2)[0].cast("int"))
+    scaled = m._scaled(train, train=True).persist()
+    rows = of_fold(m._features(scaled)).persist()
+    try:
+        found = [centers] * splits if centers is not None else cluster.fit_folds(rows, config.n_clusters, splits, seed=config.seed)
+        labels = cluster.assign_by_fold(rows, found)
+        both = evaluate.holding_metrics(labels, m._returns(scaled, given(train)), config.hold_period, e.min_samples)
+        chosen = evaluate.select_clusters(evaluate.better_side(both), e.baseline_threshold).select("cluster", "side").collect()
+    finally:
+        rows.unpersist()
+        scaled.unpersist()
+    sides = {side: [r["cluster"] for r in chosen if r["side"] == side] for side in (1, -1)}
+    scaled = m._scaled(test, train=False)
+    labels = cluster.assign_by_fold(of_fold(m._features(scaled)), found)
+    r = of_fold(evaluate.strategy_returns(labels, m._returns(scaled, given(test)), sides[1], sides[-1]))
+    r = evaluate._pooled(r, ("fold",)).withColumn("pos", F.col("__p")).drop("__p")
+    return evaluate.metrics.performance(r, ["fold"])
+
+
+def cv_table(folds: DataFrame, names: tuple[str, ...] = CV_METRICS) -> DataFrame:
+    """(fold, metric, value, mean, std): each metric of each fold, and its mean and population deviation over the folds that have it."""
+    each = folds.select("fold", F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names])).alias("m")).select("fold", "m.*")
+    over = each.groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    return each.join(F.broadcast(over), "metric").select("fold", "metric", "value", "mean", "std")  # a row for each metric
+
+
 def cross_validate(config: Config, data: DataFrame, splits: int = 5) -> list[dict]:
-    """The strategy's metrics on each fold's test part, of a model fitted on all before; folds are few."""
+    """The strategy's metrics on each fold's test part, of a model fitted on all before; folds are few.
+
+    Of what cross_validation can't do at once, each fold has its own fit."""
+    if isinstance(config.evaluator(), HoldingPeriodConfig) and config.distance == "euclidean":
+        found = {r["fold"]: r for r in cross_validation(config, data, splits).collect()}
+        return [{"fold": f} | {k: found[f][k] if f in found else None for k in CV_METRICS} for f in range(splits)]
     out = []
     parts = windows.folds(data, splits).persist()
     for fold in range(splits):

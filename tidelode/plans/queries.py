@@ -991,6 +991,9 @@ def miner_fixed_signals(spark, d):
     return _fixed_miner(e).signals(e).select(SERIES, "pos", "signal", r6(F.col("confidence")).alias("confidence"))
 
 
+_DRIFT_SQL = "coalesce(asinh(value) - lag(asinh(value)) OVER (PARTITION BY series_id ORDER BY pos), 0) / 10 / 1000 + 0.0002::DOUBLE"
+
+
 def _chain_sql(steps: int) -> str:
     """Features, Lloyd's steps from the fixed centers, what clusters earn, and the sides that are chosen."""
     parts = [_MINER_SQL, f"c0 AS (SELECT * FROM (VALUES {', '.join(f'({i}, {c}::DOUBLE[])' for i, c in enumerate(_FIXED))}) c(cluster, center))"]
@@ -1000,7 +1003,7 @@ def _chain_sql(steps: int) -> str:
         parts.append(f"c{k + 1} AS (SELECT c{k}.cluster, coalesce(m.center, c{k}.center) AS center FROM c{k} LEFT JOIN ({mean}) m USING (cluster))")
     parts += [
         f"l AS (SELECT series_id, pos, cluster FROM ({near.format(steps)}))",
-        "r AS (SELECT series_id, pos, coalesce(lead(y) OVER (PARTITION BY series_id ORDER BY pos) - y, 0) AS returns FROM sc)",
+        f"r AS (SELECT series_id, pos, {_DRIFT_SQL} AS returns FROM e)",
         _hold_sql("l", 6),
         "side AS (SELECT unnest([1, -1]) AS side)",
         "g AS (SELECT hp.series_id, hp.cluster, side, hp.pos, r.returns * side AS returns FROM hp JOIN r USING (series_id, pos), side WHERE cluster IN (SELECT cluster FROM l GROUP BY 1 HAVING count(*) >= 10))",
@@ -1017,8 +1020,56 @@ def miner_chain(spark, d):
     """Fit from fixed centers and evaluate: scaling, windows, features, clusters, holding periods, selection."""
     e = _events(spark, d).select(SERIES, "pos", "value")
     m = miner.Miner(miner.Config(n_lookback=LENGTH, n_pivots=3, n_clusters=4, dist_measure=3, model_type="sequential", evaluator_params={"min_samples": 10}))
-    m.fit(e, start=_FIXED, max_iter=2)
-    return _shown(m.evaluate(e), "cluster", "side", "selected")
+    r = _drifting(_returns(spark, d))
+    m.fit(e, r, start=_FIXED, max_iter=2)
+    return _shown(m.evaluate(e, r), "cluster", "side", "selected")
+
+
+def _cv_sql(splits: int) -> str:
+    """The chain for each fold: scaled, and clusters chosen, by its train part, measured on its test part."""
+    start = _MINER_SQL.index("w AS (SELECT * FROM (SELECT series_id")
+    features = _MINER_SQL[start : _MINER_SQL.index("d AS (SELECT series_id, pos, cluster, list_distance(z")].rstrip().rstrip(",")
+    center = ", ".join(f"({i}, {c}::DOUBLE[])" for i, c in enumerate(_FIXED))
+    score = "0.4 * mt + 0.3 * coalesce(sharpe, 0) + 0.2 * coalesce(profit_factor, 0) + 0.1 * coalesce(win_rate, 0)"
+    train = _metric_sql("cluster, side", "g", "series_id, pos").replace("z AS (SELECT cluster, side, sum(returns)", "z2 AS (SELECT cluster, side, sum(returns)")
+    test = _metric_sql("fold", "tg", "series_id, pos")
+    for old, new in (("x AS (SELECT fold", "xx AS (SELECT fold"), ("FROM x)", "FROM xx)"), ("y AS (SELECT *", "yy AS (SELECT *"), ("FROM y GROUP BY", "FROM yy GROUP BY"), ("z AS (SELECT fold", "zz AS (SELECT fold")):
+        test = test.replace(old, new)
+    names = miner.CV_METRICS
+    parts = [
+        E_SQL,
+        "n AS (SELECT series_id, max(pos) + 1 AS n FROM e GROUP BY 1)",
+        f"ret AS (SELECT series_id, pos, {_DRIFT_SQL} AS returns FROM e)",
+        f"fo AS (SELECT e.series_id AS sid, e.pos, value, returns, k AS fold, n // {splits + 1} AS size, n - ({splits} - k) * (n // {splits + 1}) AS s FROM e JOIN n USING (series_id) JOIN ret ON ret.series_id = e.series_id AND ret.pos = e.pos, range(0, {splits}) r(k))",
+        "ef AS (SELECT fold, sid, CASE WHEN pos < s THEN 'train' ELSE 'test' END AS part, CASE WHEN pos < s THEN pos ELSE pos - s END AS pos, value, returns FROM fo WHERE pos < s + size)",
+        "mm AS (SELECT fold, sid, min(asinh(value)) AS lo, max(asinh(value)) AS hi FROM ef WHERE part = 'train' GROUP BY 1, 2)",
+        "sc AS (SELECT fold || '|' || part || '|' || sid AS series_id, pos, CASE WHEN lo = hi THEN 0.0 ELSE (asinh(value) - lo) / (hi - lo) END AS y FROM ef JOIN mm USING (fold, sid))",
+        features,
+        f"al AS (SELECT series_id, pos, split_part(series_id, '|', 1)::INT AS fold, split_part(series_id, '|', 2) AS part, split_part(series_id, '|', 1)::INT * {len(_FIXED)} + arg_min(c.cluster, (list_distance(z, center), c.cluster)) AS cluster FROM z, (VALUES {center}) c(cluster, center) GROUP BY 1, 2)",
+        "l AS (SELECT series_id, pos, cluster FROM al WHERE part = 'train')",
+        "r AS (SELECT fold || '|' || part || '|' || sid AS series_id, pos, returns FROM ef)",
+        _hold_sql("l", 6),
+        "side AS (SELECT unnest([1, -1]) AS side)",
+        "g AS (SELECT hp.series_id, hp.cluster, side, hp.pos, r.returns * side AS returns FROM hp JOIN r USING (series_id, pos), side WHERE cluster IN (SELECT cluster FROM l GROUP BY 1 HAVING count(*) >= 10))",
+        train,
+        "bs AS (SELECT *, compounded / nullif(ulcer, 0) AS mt, row_number() OVER (PARTITION BY cluster ORDER BY coalesce(compounded / nullif(ulcer, 0), '-infinity'::DOUBLE) DESC, side) AS k FROM z2)",
+        f"chosen AS (SELECT cluster, side FROM bs WHERE k = 1 AND mt > 0 AND avg_return > 0 AND abs({score}) > 0)",
+        "tg AS (SELECT fold, al.series_id, al.pos, returns * coalesce(side, 0) AS returns FROM al JOIN r USING (series_id, pos) LEFT JOIN chosen USING (cluster) WHERE part = 'test')",
+        test,
+        "mv AS (SELECT fold, compounded / nullif(ulcer, 0) AS martin, sharpe, profit_factor, win_rate, max_drawdown FROM zz)",
+        f"lo AS (SELECT fold, unnest({list(names)}) AS metric, unnest([{', '.join(names)}]) AS value FROM mv)",
+    ]
+    shown = f"SELECT fold, metric, {s6('value')} AS value, {s6('avg(value) OVER (PARTITION BY metric)')} AS mean, {s6('stddev_pop(value) OVER (PARTITION BY metric)')} AS std FROM lo"
+    return "WITH RECURSIVE " + ", ".join(parts) + " " + shown
+
+
+@query("cross_validation", _cv_sql(3))
+def cross_validation(spark, d):
+    """Three expanding folds at once, with fixed centers: what their own sides earn after them."""
+    e = _events(spark, d).select(SERIES, "pos", "value")
+    config = miner.Config(n_lookback=LENGTH, n_pivots=3, n_clusters=4, dist_measure=3, evaluator_params={"min_samples": 10})
+    out = miner.cv_table(miner.cross_validation(config, e, 3, _FIXED, _drifting(_returns(spark, d))))
+    return out.select("fold", "metric", *[r6(F.col(c)).alias(c) for c in ("value", "mean", "std")])
 
 
 @query("miner_evaluate")
