@@ -7,7 +7,7 @@ from tidelode.operators import cleaning
 from tidelode.plans import queries, registry
 
 DIR = "/root/testdata/sf0.001"
-PYTHON = {"miner_chain", "cross_validation", "wavelet_db2", "wavelet_sym5", "miner_predict", "miner_fixed_signals", "fft_topn", "haar_topn", "fft_wavelet", "pip_three_points", "pip_reduce", "wavelet_reduce", "mvr_reduce", "movement_features", "transform_windows", "dtw_distance", "mpdist_distance", "mpdist_sliding", "miner_evaluate", "miner_signals"}
+PYTHON = {"cross_validation", "wavelet_db2", "wavelet_sym5", "miner_predict", "miner_fixed_signals", "fft_topn", "haar_topn", "fft_wavelet", "pip_three_points", "pip_reduce", "wavelet_reduce", "mvr_reduce", "movement_features", "transform_windows", "dtw_distance", "mpdist_distance", "mpdist_sliding", "miner_evaluate", "miner_signals"}
 #: A row for each batch is put in order in one task.
 BATCHES = {"label_stability", "density_stability", "bayes_stability", "cusum_score", "histogram_drift", "stability_report", "memory_weights"}
 

@@ -17,6 +17,7 @@ from tidelode.operators import cleaning, hold, reducers
 from tidelode.operators.ordered import SERIES, framed
 from tidelode.operators.scorer import MovementScorer, price_change
 from tidelode.schema import DataError, array_std
+from tidelode.sources.scratch import stored
 
 KEYS = (SERIES, "cluster")
 #: Evaluators of one's own: name to a function of (labels, scaled, returns, params) that returns the chosen clusters as
@@ -37,7 +38,7 @@ def cluster_returns(labels: DataFrame, returns: DataFrame, period: int) -> DataF
 def holding_metrics(labels: DataFrame, returns: DataFrame, period: int, min_samples: int = 50, by: tuple[str, ...] = ("cluster",)) -> DataFrame:
     """A row for each cluster with enough members and each direction: metrics of its held returns, negated when short."""
     members = labels.groupBy(*by).agg(F.count(F.lit(1)).alias("members")).where(F.col("members") >= min_samples)
-    r = cluster_returns(labels, returns, period)
+    r = stored(cluster_returns(labels, returns, period), "held")  # it is read four times
     both = r.withColumn("side", F.explode(F.array(F.lit(1), F.lit(-1)))).withColumn("returns", F.col("returns") * F.col("side"))
     keys = (*by, "side")
     ordered = _pooled(both, keys)

@@ -17,6 +17,7 @@ from tidelode.operators.ordered import SERIES
 from tidelode.operators.scorer import MovementScorer
 from tidelode.schema import DataError
 from tidelode.sources import models
+from tidelode.sources.scratch import stored
 
 
 class ModelType(Enum):
@@ -238,7 +239,7 @@ class Miner:
         """Holding metrics of every cluster and direction on other data; the selection stays that of the fit."""
         self._fitted()
         scaled = self._scaled(data, train=False)
-        labels = self._assign(self._features(scaled))
+        labels = stored(self._assign(self._features(scaled)).select(SERIES, "pos", "cluster"), "labels")
         chosen = evaluate.cluster_signal(F.col("cluster"), self.long, self.short)
         e = self.config.evaluator()
         return evaluate.holding_metrics(labels, self._returns(scaled, returns), self.config.hold_period, e.min_samples if e else 1).withColumn("selected", chosen)

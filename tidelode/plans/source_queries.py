@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tidelode.plans import queries
 from tidelode.plans.queries import SERIES, r6, s6
 from tidelode.plans.registry import query
-from tidelode.plans.stream_queries import folder
 from tidelode.sources import market
+from tidelode.sources.scratch import folder
 
 _TYPES = "SELECT event_type, row_number() OVER (ORDER BY event_type) AS k FROM (SELECT DISTINCT event_type FROM events)"
 

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,26 +11,10 @@ from pyspark.sql import functions as F
 from tidelode.plans import queries
 from tidelode.plans.queries import SERIES, r6, s6
 from tidelode.plans.registry import ORACLES, query
+from tidelode.sources.scratch import folder
 from tidelode.sources.states import States
 from tidelode.streaming import online, transitions
 
-_own: dict[str, str] = {}
-
-
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one that the session names; a local session without one gets a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        app = spark.sparkContext.applicationId
-        shared = _own.setdefault(app, _own.get(app) or "file://" + tempfile.mkdtemp(prefix="tidelode-"))
-    path = f"{shared.rstrip('/')}/tidelode-{name}-{uuid.uuid4().hex}"
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
-
-
 @contextlib.contextmanager
 def keyed_state(spark: SparkSession) -> Iterator[None]:
     """Keyed state needs RocksDB's store while a query starts."""
