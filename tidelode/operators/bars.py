@@ -76,8 +76,3 @@ def align(fine: DataFrame, coarse: DataFrame, step: str | int, value: str = "val
     inner = Window.partitionBy(SERIES, "__b").orderBy("__at", "__src").rowsBetween(Window.unboundedPreceding, 0)
     both = both.withColumn("__l", F.last("__v", ignorenulls=True).over(inner)).join(carried, [SERIES, "__b"])
     return both.where("__src = 1").select("__row.*", F.coalesce("__l", "__c").alias("aligned"))
-
-
-#: Both directions of changing a series' frequency.
-upsample = resample
-downsample = align
