@@ -47,7 +47,7 @@ def fill_to_caps(sources: DataFrame, epochs: float, most: float, weights: tuple[
     s = s.withColumn("cap", F.col("source_size") * F.lit(float(most)))
     s = numbered(s, [F.col("cap") / F.col("weight"), F.col("rank")], "turn")
     words, weight = s.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
-    s = stored(offsets(offsets(s, [], "turn", "cap", "caps"), [], "turn", "weight", "weights"), "caps")
+    s = stored(offsets(s, [], "turn", ["cap", "weight"], ["caps", "weights"]), "caps")
     level = (F.lit(float(words) * epochs) - F.col("caps")) / (F.lit(weight) - F.col("weights"))
     free = s.withColumn("level", level).where(F.col("cap") > F.col("level") * F.col("weight"))
     level = free.agg(F.min_by("level", "turn")).first()[0]
@@ -97,7 +97,10 @@ class Mix:
         )
         s, o = placed.alias("s"), offset.alias("o")
         same = F.col("s.source").eqNullSafe(F.col("o.source")) & (F.col("s.bucket") == F.col("o.bucket"))
-        self.documents = s.join(o, same).select("s.doc_id", "s.source", "s.size", "s.th", "s.bucket", "s.place", (F.col("offset") + F.col("within")).alias("start"))
+        documents = s.join(o, same).select("s.doc_id", "s.source", "s.size", "s.th", "s.bucket", "s.place", (F.col("offset") + F.col("within")).alias("start"))
+        # stored, as slots are: in one plan with the texts each of its many updates costs the driver memory
+        self.documents = stored(documents, "documents")
+        self._slots: DataFrame | None = None
 
     def _with_slots(self, sources: DataFrame) -> DataFrame:
         blocks = F.ceil(F.col("source_size") / self.block_words).cast("long")
@@ -132,6 +135,11 @@ class Mix:
 
     def slots(self) -> DataFrame:
         """(shard, slot, rank, source, block): every slot of the output and the block it takes."""
+        if self._slots is None:
+            self._slots = stored(self._taking(), "slots")
+        return self._slots
+
+    def _taking(self) -> DataFrame:
         starts = offsets(self._counts(), ["rank"], "shard", "n", "before").select("shard", "rank", "before")
         s = self._drawn.withColumn("turn", F.row_number().over(Window.partitionBy("shard", "rank").orderBy("slot")) - 1)
         s = s.join(starts, ["shard", "rank"]).withColumn("k", F.col("before") + F.col("turn"))
