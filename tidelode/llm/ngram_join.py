@@ -157,15 +157,15 @@ def _meet(frequencies: bool):
         if prints:
             owner = np.concatenate([np.frombuffer(x.as_buffer(), np.uint16) for x in part.column("owners")])
             h = np.concatenate(prints)
-            held = np.ones(len(h), np.int64)
+            held = np.ones(len(h), np.uint32)
             held[owner == _SEVERAL] = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in part.column("more")])
             sizes = np.array([len(x) for x in prints])
             row = np.repeat(np.arange(len(prints), dtype=np.uint32), sizes)
             order = np.argsort(h)
             h, owner, row, held = h[order], owner[order], row[order], held[order]
             starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-            total = np.repeat(np.add.reduceat(held, starts), np.diff(np.append(starts, len(h))))
-            alone = total == 1
+            total = np.add.reduceat(held, starts, dtype=np.int64)
+            alone = starts[total == 1]
             both, n = np.unique(row[alone].astype(np.int64) << 16 | owner[alone], return_counts=True)
             ends = np.searchsorted(both, np.arange(len(prints) + 1, dtype=np.int64) << 16)
             data = [(both[a:b] & 0xFFFF).astype(np.uint16).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
@@ -173,7 +173,7 @@ def _meet(frequencies: bool):
             more = [b""] * len(prints)
             if frequencies:
                 step = np.empty(len(h), np.uint8)
-                step[order] = np.minimum(np.log2(total) * 8, 255).astype(np.uint8)
+                step[order] = np.repeat(np.minimum(np.log2(total) * 8, 255).astype(np.uint8), np.diff(np.append(starts, len(h))))
                 at = np.concatenate(([0], np.cumsum(sizes)))
                 more = [step[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
             cols = [pa.array(data, pa.binary()), pa.array(counts, pa.binary()), pa.array(more, pa.binary())]

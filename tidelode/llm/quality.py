@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import own_name
-from .shingles import CHUNK_BYTES, _power_tables, mix
+from .shingles import _power_tables, mix
 
 BUCKETS = 1 << 14
 DIMS = 32
@@ -38,6 +38,8 @@ WINDOW = 2
 TRAIN_ROWS = 20_000
 THRESHOLD = 0.3
 _BLOCKS = 16
+#: Bytes of text hashed at once; the arrays in flight take some hundred times as much, in each Python worker of an executor.
+CHUNK_BYTES = 1 << 16
 _U = np.uint64
 #: 0 white space, 1 letters, digits and all beyond ASCII, 2 other marks.
 _KIND = np.full(256, 2, np.uint8)
@@ -97,14 +99,11 @@ def context_sums(text: DataFrame) -> np.ndarray:
             for _, _, w, n in _words(batch.column(0)):
                 count += np.bincount(w, minlength=BUCKETS)
                 doc = np.repeat(np.arange(len(n)), n)
-                at, sign = [], []
                 for d in range(1, WINDOW + 1):
                     same = doc[d:] == doc[:-d]
                     x, y = w[:-d][same], w[d:][same]
                     for i, j in ((x, y), (y, x)):
-                        at.append((i[:, None] * DIMS + dims[j]).ravel())
-                        sign.append(signs[j].ravel())
-                total += np.bincount(np.concatenate(at), np.concatenate(sign), BUCKETS * DIMS).astype(np.int64)
+                        np.add.at(total, (i[:, None] * DIMS + dims[j]).ravel(), signs[j].ravel())
         both = np.concatenate((total.reshape(BUCKETS, DIMS), count[:, None]), 1).reshape(_BLOCKS, -1)
         part = pa.array([TaskContext.get().partitionId() % groups] * _BLOCKS, pa.int32())
         yield pa.RecordBatch.from_arrays([pa.array(range(_BLOCKS), pa.int32()), part, pa.array([x.tobytes() for x in both], pa.binary())], names=["block", "part", "sums"])

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text hashed at once; the arrays in flight take some fifty times as much.
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 17
 
 _U = np.uint64
 _P = 0x9E3779B97F4A7C15
@@ -37,7 +37,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of _P and of its inverse, n of each at least."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 2 * CHUNK_BYTES)
+        size = 1 << (n - 1).bit_length()
         _powers.clear()
         for base in (_P, pow(_P, -1, 1 << 64)):
             t = np.full(size, base, _U)
